@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+Every report reads its tables once; there is no stream source, watermark, window or state in the
+reports being reproduced, so no streaming query is provided (see README, "Not built").
+"""
