@@ -1,3 +1,3 @@
 """Report pipelines and operator-level checks. Importing this package registers every query."""
 
-from . import primitives  # noqa: F401
+from . import ledger, primitives, schedule  # noqa: F401

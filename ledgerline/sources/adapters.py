@@ -145,7 +145,6 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 _adapter("ledger", """
 SELECT l_orderkey AS agreement_id,
        ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS id,
-       l_partkey AS line_part,
        CAST(l_shipdate AS DATE) AS transaction_date,
        CAST(CAST(l_shipdate AS DATE) - CAST(l_linenumber AS INT) AS TIMESTAMP) AS created_at,
        CASE WHEN l_returnflag = 'N' THEN 'scheduled'
@@ -192,3 +191,22 @@ SELECT employee_manifest_id, pay_date,
 FROM (SELECT DISTINCT o_custkey + 1000000 AS employee_manifest_id, CAST(l_shipdate AS DATE) AS pay_date
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) s
 """)
+
+_adapter("agreements_past_due", """
+SELECT o_orderkey AS agreement_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+       CAST(o_orderdate AS DATE) + 45 AS due_date
+FROM {orders}
+WHERE o_orderkey % 6 = 0
+""")
+
+_adapter("employer_subemployer_detail", """
+SELECT DISTINCT
+       c_nationkey AS employer_id,
+       'C' || CAST(c_nationkey AS STRING) || '_' || CAST(c_custkey % 3 AS STRING) AS company_code,
+       'Dept ' || CAST(c_nationkey AS STRING) || '-' || CAST(c_custkey % 3 AS STRING) AS sub_employer_name,
+       CASE WHEN (c_nationkey * 3 + c_custkey % 3) % 7 = 3 THEN NULL
+            WHEN (c_nationkey * 3 + c_custkey % 3) % 5 = 0 THEN 'disconnected'
+            WHEN (c_nationkey * 3 + c_custkey % 3) % 5 = 1 THEN 'inactive'
+            ELSE 'active' END AS sub_employer_status
+FROM {customer}
+""")
