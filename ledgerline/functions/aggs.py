@@ -24,11 +24,15 @@ def any_if(cond: Column) -> Column:
     return F.max(F.when(cond, F.lit(1)))
 
 
-def text_list(col: Column, sep: str = ",", distinct: bool = True) -> Column:
-    """group_concat: NULLs skipped, sorted ascending, NULL (not '') when nothing is left.
+def text_list(col: Column, sep: str = ",", distinct: bool = True, order_by: Column | None = None) -> Column:
+    """group_concat: NULLs skipped, sorted ascending (by ``order_by`` when given, else by the
+    text), NULL (not '') when nothing is left.
 
     ``collect_set`` / ``collect_list`` are partial aggregates (map-side combine), so the
     list per key is built incrementally, never by gathering the raw rows in one place.
     """
+    if order_by is not None:
+        pairs = F.array_sort(F.collect_list(F.struct(order_by.alias("k"), col.alias("v"))))
+        return F.nullif(F.array_join(F.transform(pairs, lambda x: x["v"]), sep), F.lit(""))
     gathered = F.collect_set(col) if distinct else F.collect_list(col)
     return F.nullif(F.array_join(F.array_sort(gathered), sep), F.lit(""))

@@ -73,7 +73,9 @@ SELECT n_nationkey AS employer_id,
        n_name AS name,
        CASE n_nationkey % 3 WHEN 0 THEN 'paystub_model' WHEN 1 THEN 'base_model' ELSE 'credit_model' END
          AS scoring_model_type,
-       DATE '1995-01-01' + CAST(100 * n_nationkey AS INT) AS go_live_date
+       DATE '1995-01-01' + CAST(100 * n_nationkey AS INT) AS go_live_date,
+       '{{"immutable_at": "' || CAST(DATE '1996-01-01' + CAST(60 * n_nationkey AS INT) AS STRING) || ' 00:00:00"}}'
+         AS additional_data
 FROM {nation}
 """)
 
@@ -151,6 +153,7 @@ SELECT l_orderkey AS agreement_id,
             WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN 'initial_payment'
             WHEN l_returnflag = 'A' THEN 'paid_payroll_deduction'
             WHEN l_linestatus = 'O' THEN 'past_due'
+            WHEN l_linenumber = 6 THEN 'return'
             ELSE 'Origination' END AS status,
        CASE WHEN l_returnflag = 'A' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
             ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS amount,
@@ -210,3 +213,46 @@ SELECT DISTINCT
             ELSE 'active' END AS sub_employer_status
 FROM {customer}
 """)
+
+_adapter("agreement_deduction_variances", """
+SELECT o_orderkey AS agreement_id, CAST((o_orderkey % 13) - 6 AS DECIMAL(18,2)) AS variance
+FROM {orders}
+WHERE o_orderkey % 5 = 0
+""")
+
+_adapter("ledger_exceptions", """
+SELECT o_orderkey AS agreement_id, 'exception: ' || o_orderpriority AS message
+FROM {orders}
+WHERE o_orderkey % 9 = 0
+""")
+
+_adapter("employee_manifest_order_log", """
+SELECT o_orderkey AS order_id, o_custkey + 1000000 AS employee_manifest_id,
+       CASE (o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) % 4
+            WHEN 0 THEN 'Weekly' WHEN 1 THEN 'Bi-Weekly' WHEN 2 THEN 'Semi-Monthly' ELSE 'Monthly' END
+         AS pay_frequency
+FROM {orders}
+""")
+
+_adapter("sales_order", """
+SELECT o_orderkey AS entity_id, o_custkey AS customer_id, c_nationkey AS employer_id,
+       o_orderkey AS quote_id, 'S' || CAST(o_orderkey AS STRING) AS increment_id,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS total_invoiced,
+       CAST(1 + o_orderkey % 5 AS DECIMAL(12,4)) AS total_qty_ordered,
+       CASE WHEN o_orderkey % 8 = 0 THEN CAST(-10 AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END
+         AS discount_amount,
+       o_orderdate AS created_at, 'complete' AS status
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+WHERE o_orderstatus = 'F'
+""")
+
+_adapter("agreement_scheduled_payment_variances", """
+SELECT o_orderkey AS agreement_id,
+       CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 100 / (3 * (1 + o_orderkey % 4))) / 100 AS DECIMAL(18,2))
+         AS payments_per_agreement,
+       CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 90 / (3 * (1 + o_orderkey % 4))) / 100 AS DECIMAL(18,2))
+         AS calc_payment_after_ip,
+       CAST(o_orderkey % 17 AS DECIMAL(18,2)) AS variance
+FROM {orders}
+WHERE o_orderkey % 7 = 0
+""")
