@@ -256,3 +256,64 @@ SELECT o_orderkey AS agreement_id,
 FROM {orders}
 WHERE o_orderkey % 7 = 0
 """)
+
+# Scoring records: event_id % 3 selects the record kind (0 fast track, 1 full score, 2 score null).
+_adapter("customer_score", """
+SELECT event_id AS id, user_id AS customer_id, ts AS created_at,
+  CASE event_id % 3
+  WHEN 0 THEN
+    '{{"fastTrack": "' || CASE WHEN event_id % 2 = 0 THEN 'pass' ELSE 'fail' END ||
+    '", "reason": "' || CASE event_id % 7 WHEN 0 THEN 'Tenure too short' WHEN 1 THEN 'Credit score required'
+                                         WHEN 2 THEN 'Not full-time employee' WHEN 3 THEN 'Not active'
+                                         WHEN 4 THEN 'Salary below criteria' WHEN 5 THEN 'tenure under 6 months'
+                                         ELSE 'Manual review' END ||
+    '", "canScore": ' || CASE WHEN event_id % 4 = 0 THEN 'false' ELSE 'true' END ||
+    ', "paycheckData": {{"estimatedSalary": ' || CAST(20000 + (event_id % 50) * 1000 AS STRING) ||
+    ', "requireCreditScore": ' || CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END || '}}}}'
+  WHEN 1 THEN
+    '{{"score": ' || CAST(450 + event_id % 200 AS STRING) ||
+    ', "tier": {{"is_approved": ' || CASE WHEN event_id % 4 = 3 THEN 'false' ELSE 'true' END ||
+    ', "model_type": "' || CASE event_id % 3 WHEN 0 THEN 'paystub_model' ELSE 'base_model' END ||
+    '", "down_payment_percent": ' || CAST(event_id % 4 * 5 AS STRING) ||
+    ', "max_term": ' || CAST(3 * (1 + event_id % 4) AS STRING) ||
+    ', "scoring_tier_id": ' || CAST(event_id % 6 AS STRING) || '}}' ||
+    ', "creditLimit": ' || CASE event_id % 10 WHEN 1 THEN '0.4' WHEN 4 THEN '0.5' WHEN 7 THEN '"0"'
+                               ELSE CAST(event_id % 3000 AS STRING) END ||
+    ', "request": {{"employment_type": "' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'full_time' END ||
+    '", "employment_length": ' || CAST(event_id % 120 AS STRING) ||
+    ', "aba_on_bad_list": ' || CASE WHEN event_id % 11 = 0 THEN 'true' ELSE 'false' END ||
+    ', "bin_on_bad_list": false}}' ||
+    ', "paycheckData": {{"estimatedSalary": ' || CAST(30000 + (event_id % 13) * 45000 AS STRING) ||
+    ', "payFrequency": "' || CASE event_id % 4 WHEN 0 THEN 'Weekly' WHEN 1 THEN 'Bi-Weekly'
+                                               WHEN 2 THEN 'Semi-Monthly' ELSE 'Monthly' END ||
+    '", "denied": false, "startDate": "2019-0' || CAST(1 + event_id % 9 AS STRING) ||
+    '-01", "hasTenure": true, "hasGoodYTD": ' || CASE WHEN event_id % 6 = 0 THEN 'false' ELSE 'true' END ||
+    ', "log": "' || CASE event_id % 5 WHEN 0 THEN 'Using 75% of reported income to estimate net salary'
+                                      WHEN 1 THEN 'Employment tenure is below minimum threshold'
+                                      WHEN 2 THEN '2 or more checks are below 75% of monthly average (3)'
+                                      WHEN 3 THEN 'Using paystub date for employment start date'
+                                      ELSE 'ok' END || '"}}}}'
+  ELSE '{{"score": null}}'
+  END AS data
+FROM {events}
+""")
+
+_adapter("sso_login_attempts", """
+SELECT CASE WHEN c_custkey % 5 = 0 THEN 'guest' || CAST(c_custkey AS STRING) || '@example.com'
+            ELSE lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END AS email,
+       c_nationkey AS employer_id, 1 AS attempt
+FROM {customer} WHERE c_custkey % 3 < 2
+UNION ALL
+SELECT CASE WHEN c_custkey % 5 = 0 THEN 'guest' || CAST(c_custkey AS STRING) || '@example.com'
+            ELSE lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END AS email,
+       c_nationkey AS employer_id, 2 AS attempt
+FROM {customer} WHERE c_custkey % 3 < 2
+""")
+
+_adapter("quote", """
+SELECT o_orderkey AS entity_id, o_custkey AS customer_id, o_orderdate AS created_at,
+       CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS is_active,
+       CAST(1 + o_orderkey % 7 AS DECIMAL(12,4)) AS items_qty,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS subtotal
+FROM {orders}
+""")
