@@ -210,7 +210,9 @@ SELECT DISTINCT
        CASE WHEN (c_nationkey * 3 + c_custkey % 3) % 7 = 3 THEN NULL
             WHEN (c_nationkey * 3 + c_custkey % 3) % 5 = 0 THEN 'disconnected'
             WHEN (c_nationkey * 3 + c_custkey % 3) % 5 = 1 THEN 'inactive'
-            ELSE 'active' END AS sub_employer_status
+            ELSE 'active' END AS sub_employer_status,
+       CAST(DATE '1995-01-01' + CAST(7 * (c_nationkey * 3 + c_custkey % 3) AS INT) AS TIMESTAMP)
+         + INTERVAL 5 HOUR AS sub_employer_created_at
 FROM {customer}
 """)
 
@@ -317,3 +319,39 @@ SELECT o_orderkey AS entity_id, o_custkey AS customer_id, o_orderdate AS created
        CAST(o_totalprice AS DECIMAL(18,2)) AS subtotal
 FROM {orders}
 """)
+
+_adapter("employer_department_history", """
+SELECT DISTINCT c_nationkey * 3 + c_custkey % 3 AS entity_id,
+       'C' || CAST(c_nationkey AS STRING) || '_' || CAST(c_custkey % 3 AS STRING) AS department_prefix,
+       'active' AS status,
+       CAST(DATE '1995-01-01' + CAST(7 * (c_nationkey * 3 + c_custkey % 3) AS INT) AS TIMESTAMP) + INTERVAL 3 HOUR
+         AS created_at
+FROM {customer}
+UNION ALL
+SELECT DISTINCT c_nationkey * 3 + c_custkey % 3 AS entity_id,
+       'C' || CAST(c_nationkey AS STRING) || '_' || CAST(c_custkey % 3 AS STRING) AS department_prefix,
+       CASE (c_nationkey * 3 + c_custkey % 3) % 5 WHEN 0 THEN 'disconnected' WHEN 1 THEN 'inactive'
+            ELSE 'active' END AS status,
+       CAST(DATE '1998-01-01' + CAST(5 * (c_nationkey * 3 + c_custkey % 3) AS INT) AS TIMESTAMP) + INTERVAL 2 HOUR
+         AS created_at
+FROM {customer}
+""")
+
+_adapter("company_payperiods", """
+SELECT employer_id * 1000000 + pay_period_id AS id, employer_id, 'CO' || CAST(employer_id AS STRING) AS company_id,
+       pay_period_id, period_start + 14 AS check_date,
+       CASE WHEN pay_period_id % 3 = 0 THEN 'open' ELSE 'complete' END AS status,
+       CAST(pay_period_id % 7 + 1 AS INT) AS num_checks,
+       CASE WHEN pay_period_id % 3 = 0 THEN NULL ELSE CAST(period_start + 15 AS TIMESTAMP) END AS completed_at,
+       '{{"intervalCode": "' || CASE WHEN employer_id % 2 = 0 THEN 'MONTHLY' ELSE 'SEMI_MONTHLY' END ||
+       '", "description": "' || CASE WHEN employer_id % 2 = 0 THEN 'Monthly' ELSE 'Semi-Monthly' END ||
+       '", "startDate": "' || CAST(period_start AS STRING) || 'T00:00:00Z' ||
+       '", "endDate": "' || CAST(period_start + 27 AS STRING) || 'T00:00:00Z"' ||
+       CASE WHEN pay_period_id % 5 = 0 THEN ''
+            ELSE ', "submitByDate": "' || CAST(period_start + 10 AS STRING) || 'T12:30:00Z"' END ||
+       ', "checkDate": "' || CAST(period_start + 14 AS STRING) || 'T00:00:00Z"}}' AS raw_data
+FROM (SELECT DISTINCT c_nationkey AS employer_id,
+             CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS pay_period_id,
+             CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start
+      FROM {orders} JOIN {customer} ON o_custkey = c_custkey) p
+""")
