@@ -20,3 +20,25 @@ def split_cents(total: Column, parts: Column, n: Column | None = None) -> Column
     if n is None:
         return base, remainder
     return F.when(n + 1 == parts, base + remainder).otherwise(base).cast("decimal(18,2)")
+
+
+def exact_div(num: Column, den: Column, scale: int, unit: int = 100) -> Column:
+    """``num / den`` rounded half-up to ``scale`` decimals, computed exactly.
+
+    ``num`` and ``den`` are decimals with at most ``log10(unit)`` decimals (cents by default), so
+    ``num * unit`` and ``den * unit`` are whole numbers and the quotient is an integer division.
+    This is the database's decimal division (dividend scale + 4, half-up); NULL when ``den`` is 0.
+    """
+    n = (num * unit).cast("bigint")
+    d = (den * unit).cast("bigint")
+    k = 10 ** scale
+    q = idiv(F.abs(n) * (2 * k) + F.abs(d), F.abs(d) * 2)
+    signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
+    return F.when(d != 0, (signed.cast("decimal(38,0)") / k).cast(f"decimal(28,{scale})"))
+
+
+def idiv(a: Column, b: Column) -> Column:
+    """Exact floor division of non-negative whole numbers (no floating point, no rounding)."""
+    a = a.cast("decimal(38,0)")
+    b = b.cast("decimal(38,0)")
+    return ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")

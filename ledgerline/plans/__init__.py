@@ -1,3 +1,3 @@
 """Report pipelines and operator-level checks. Importing this package registers every query."""
 
-from . import employers, ledger, pastdue, primitives, schedule, scoring  # noqa: F401
+from . import employers, ledger, orders, pastdue, primitives, schedule, scoring  # noqa: F401

@@ -33,3 +33,27 @@ def norm(col: Column | str) -> Column:
 
 def lit_date(value: dt.date) -> Column:
     return F.lit(value).cast("date")
+
+
+def sql_exact_div(num: str, den: str, scale: int, unit: int = 100) -> str:
+    """DuckDB text of ``functions.money.exact_div`` (used by the oracle statements)."""
+    n = f"CAST(({num}) * {unit} AS BIGINT)"
+    dd = f"CAST(({den}) * {unit} AS BIGINT)"
+    k = 10 ** scale
+    return (f"CASE WHEN {dd} <> 0 THEN CAST(CAST(sign({n}) * sign({dd}) * ((abs({n}) * {2 * k} + abs({dd})) "
+            f"// (abs({dd}) * 2)) AS DOUBLE) / {k} AS DECIMAL(28,{scale})) END")
+
+
+def sql_months_between(start: str, end_year: int, end_month: int, end_day: int) -> str:
+    """Whole months from a date ``start`` to a fixed date, database style (a month counts once its
+    day is reached)."""
+    return (f"CAST(({end_year} - year({start})) * 12 + ({end_month} - month({start})) "
+            f"- CASE WHEN {end_day} < day({start}) THEN 1 ELSE 0 END AS BIGINT)")
+
+
+def sql_months_diff(start: str, end: str) -> str:
+    """Whole months between two dates, database style: truncated toward zero in both directions."""
+    def fwd(a, b):
+        return (f"((year({b}) - year({a})) * 12 + (month({b}) - month({a})) "
+                f"- CASE WHEN day({b}) < day({a}) THEN 1 ELSE 0 END)")
+    return f"CAST(CASE WHEN {end} >= {start} THEN {fwd(start, end)} ELSE -{fwd(end, start)} END AS BIGINT)"

@@ -355,3 +355,76 @@ FROM (SELECT DISTINCT c_nationkey AS employer_id,
              CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start
       FROM {orders} JOIN {customer} ON o_custkey = c_custkey) p
 """)
+
+_adapter("scoring_clarity_score", """
+SELECT c_custkey AS customer_id, CAST(600 + c_custkey % 250 AS INT) AS clarity_score,
+       CAST(480 + c_custkey % 150 AS INT) AS clear_credit_risk_score,
+       CAST(520 + c_custkey % 300 AS INT) AS vantage_4_score
+FROM {customer} WHERE c_custkey % 4 <> 0
+""")
+
+_adapter("customer_supplemental", """
+SELECT c_custkey AS customer_id,
+       CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey + 9000000 END AS customer_signup_id,
+       CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+       CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS is_fast_track,
+       CAST(c_custkey % 500 AS INT) AS scoring_points_bme
+FROM {customer} WHERE c_custkey % 11 <> 5
+""")
+
+_adapter("customer_signups", """
+SELECT c_custkey + 9000000 AS id, CAST(c_acctbal AS DECIMAL(18,2)) * 12 AS salary,
+       CAST(c_custkey % 60 AS INT) AS tenure, 'Employer ' || CAST(c_nationkey AS STRING) AS employer_name
+FROM {customer}
+""")
+
+_adapter("customer_bank", """
+SELECT c_custkey + 5000000 AS employee_id, c_nationkey AS employer_id,
+       '0' || CAST(11000000 + c_custkey % 37 AS STRING) AS bank_routing_number,
+       CAST(40000000 + c_custkey * 7 AS STRING) AS bank_account_number
+FROM {customer}
+UNION ALL
+SELECT c_custkey + 5000000 AS employee_id, c_nationkey AS employer_id,
+       '0' || CAST(21000000 + c_custkey % 11 AS STRING) AS bank_routing_number,
+       CAST(70000000 + c_custkey * 3 AS STRING) AS bank_account_number
+FROM {customer} WHERE c_custkey % 3 = 0
+""")
+
+_adapter("sales_order_item", """
+SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS item_id,
+       l_orderkey AS order_id, l_partkey AS product_id, 'SKU-' || CAST(l_partkey AS STRING) AS sku,
+       'Product ' || CAST(l_partkey AS STRING) AS name,
+       CAST(l_quantity AS DECIMAL(12,4)) AS qty_ordered,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DECIMAL(12,4)) ELSE CAST(0 AS DECIMAL(12,4)) END
+         AS qty_refunded,
+       CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS DECIMAL(12,4)) ELSE CAST(0 AS DECIMAL(12,4)) END
+         AS qty_shipped,
+       CAST(l_extendedprice AS DECIMAL(18,2)) AS base_row_total,
+       CAST(CAST(l_shipdate AS DATE) - 2 AS TIMESTAMP) AS created_at,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END
+         AS amount_refunded,
+       CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) AS fulfillment_cost,
+       CAST(l_discount AS DECIMAL(4,2)) * 100 AS fulfillment_shipping_cost,
+       CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'Vendor ' || CAST(l_suppkey % 4 AS STRING) END
+         AS fulfillment_vendor
+FROM {lineitem}
+""")
+
+_adapter("sales_creditmemo", """
+SELECT l_orderkey AS order_id, CAST(max(CAST(l_shipdate AS DATE)) + 10 AS TIMESTAMP) AS created_at
+FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey
+""")
+
+_adapter("calendar", """
+SELECT DISTINCT CAST(l_shipdate AS DATE) - 2 AS calendar_date,
+       CAST(date_trunc('week', CAST(l_shipdate AS DATE) - 2) AS DATE) AS week_start_date
+FROM {lineitem}
+""")
+
+_adapter("sales_order_item_product_hierarchy", """
+SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS item_id,
+       'Catalog' AS category_l2, p_type AS category_l3, p_brand AS category_l4,
+       CASE WHEN p_size > 25 THEN 'Large' ELSE 'Small' END AS category_l5,
+       CASE WHEN p_size % 10 = 0 THEN 'Clearance' END AS category_l6
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+""")
