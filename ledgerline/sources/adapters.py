@@ -240,6 +240,7 @@ _adapter("sales_order", """
 SELECT o_orderkey AS entity_id, o_custkey AS customer_id, c_nationkey AS employer_id,
        o_orderkey AS quote_id, 'S' || CAST(o_orderkey AS STRING) AS increment_id,
        CAST(o_totalprice AS DECIMAL(18,2)) AS total_invoiced,
+       CAST(o_totalprice AS DECIMAL(18,2)) AS subtotal_incl_tax,
        CAST(1 + o_orderkey % 5 AS DECIMAL(12,4)) AS total_qty_ordered,
        CASE WHEN o_orderkey % 8 = 0 THEN CAST(-10 AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END
          AS discount_amount,
@@ -428,3 +429,61 @@ SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumb
        CASE WHEN p_size % 10 = 0 THEN 'Clearance' END AS category_l6
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """)
+
+_adapter("quote_item", """
+SELECT l_orderkey AS quote_id, l_partkey AS product_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS row_total,
+       CAST(l_quantity AS DECIMAL(12,4)) AS qty
+FROM {lineitem}
+""")
+
+# Web requests: page_id % 5 = 0 is the checkout page, 1 the provider-transition landing page,
+# some pages are shop paths, the rest keep the path of their URL.
+_adapter("requests", """
+SELECT page_id AS id, page_id % 150 AS session_id,
+       CASE WHEN page_id % 5 = 0 THEN '/checkout'
+            WHEN page_id % 5 = 1 THEN '/pinwheel/transition'
+            WHEN page_id % 7 = 2 THEN '/shop/product/' || CAST(page_id % 40 AS STRING) || '/item-' || CAST(page_id % 13 AS STRING)
+            WHEN page_id % 7 = 3 THEN '/shop/category/' || CAST(page_id % 9 AS STRING)
+            WHEN page_id % 7 = 4 THEN '/account/'
+            ELSE regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) END AS path,
+       'GET' AS method,
+       CAST(CAST(DATE '2024-01-31' AS STRING) || ' ' || lpad(CAST(page_id % 24 AS STRING), 2, '0') || ':00:00' AS TIMESTAMP)
+         AS created_at
+FROM {pages}
+""")
+
+_adapter("sessions", """
+SELECT DISTINCT user_id AS id, 'S' || CAST(user_id AS STRING) AS session_id,
+       CASE WHEN user_id % 10 = 9 THEN NULL ELSE user_id END AS customer_id,
+       CAST(DATE '2024-01-01' AS TIMESTAMP) AS created_at
+FROM {events}
+""")
+
+_adapter("user_log", """
+SELECT event_id AS id, 'S' || CAST(user_id AS STRING) AS session_id, ts AS created_at,
+       CASE WHEN event_id % 13 = 0 THEN 'Pinwheel transition: Other'
+            WHEN event_id % 13 = 1 THEN 'Pinwheel transition: Paychex'
+            WHEN event_type = 'signup' THEN 'Pinwheel:open'
+            WHEN event_type = 'click' THEN 'Pinwheel:select_platform'
+            WHEN event_type = 'view' THEN 'Pinwheel:login_attempt'
+            WHEN event_type = 'error' THEN 'Pinwheel:error'
+            ELSE 'Pinwheel:success' END AS message
+FROM {events}
+""")
+
+_adapter("card_attempt_history", """
+SELECT event_id AS id, user_id AS customer_id, user_id * 10 + event_id % 3 AS card_id,
+       CASE WHEN event_id % 2 = 0 THEN 'gateway_a' ELSE 'gateway_b' END AS gateway,
+       CASE event_type WHEN 'purchase' THEN 'Approved' WHEN 'error' THEN 'Insufficient funds'
+                       WHEN 'view' THEN 'declined' WHEN 'signup' THEN 'approved' ELSE 'Do not honor' END AS error_message,
+       ts AS attempt_date
+FROM {events}
+""")
+
+_adapter("stored_card", """
+SELECT DISTINCT user_id * 10 + event_id % 3 AS id,
+       '{{"cc_type": "' || CASE WHEN (user_id + event_id % 3) % 2 = 0 THEN 'VI' ELSE 'MC' END ||
+       '", "cc_last4": "' || lpad(CAST((user_id * 37 + event_id % 3 * 11) % 10000 AS STRING), 4, '0') || '"}}'
+         AS additional
+FROM {events} WHERE (user_id * 10 + event_id % 3) % 7 <> 4
+""")
