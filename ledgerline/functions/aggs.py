@@ -24,7 +24,8 @@ def any_if(cond: Column) -> Column:
     return F.max(F.when(cond, F.lit(1)))
 
 
-def text_list(col: Column, sep: str = ",", distinct: bool = True, order_by: Column | None = None) -> Column:
+def text_list(col: Column, sep: str = ",", distinct: bool = True, order_by: Column | None = None,
+              empty_as_null: bool = True) -> Column:
     """group_concat: NULLs skipped, sorted ascending (by ``order_by`` when given, else by the
     text), NULL (not '') when nothing is left.
 
@@ -35,4 +36,7 @@ def text_list(col: Column, sep: str = ",", distinct: bool = True, order_by: Colu
         pairs = F.array_sort(F.collect_list(F.struct(order_by.alias("k"), col.alias("v"))))
         return F.nullif(F.array_join(F.transform(pairs, lambda x: x["v"]), sep), F.lit(""))
     gathered = F.collect_set(col) if distinct else F.collect_list(col)
-    return F.nullif(F.array_join(F.array_sort(gathered), sep), F.lit(""))
+    joined = F.array_join(F.array_sort(gathered), sep)
+    if not empty_as_null:
+        return F.when(F.size(gathered) > 0, joined)
+    return F.nullif(joined, F.lit(""))

@@ -487,3 +487,73 @@ SELECT DISTINCT user_id * 10 + event_id % 3 AS id,
          AS additional
 FROM {events} WHERE (user_id * 10 + event_id % 3) % 7 <> 4
 """)
+
+# EAV catalogue. fixed values: attribute ids of the catalogue
+#   45 name (categories, type 3), 46 is_active (3), 67 include_in_menu (3), 73 name (products, type 4),
+#   97 status (4); store 0 is the default store.
+_adapter("eav_attribute", """
+SELECT * FROM (VALUES (45, 'name', 3), (46, 'is_active', 3), (67, 'include_in_menu', 3), (73, 'name', 4),
+                      (97, 'status', 4)) AS t(attribute_id, attribute_code, entity_type_id)
+""")
+
+# Category tree: 1 root / 2 default / 100+region / 200+nation / 1000+5*nation+segment
+_adapter("catalog_category_entity", """
+SELECT 1 AS entity_id, 50001 AS row_id, '1' AS path, 0 AS level
+UNION ALL SELECT 2, 50002, '1/2', 1
+UNION ALL SELECT 100 + r_regionkey, 50100 + r_regionkey, '1/2/' || CAST(100 + r_regionkey AS STRING), 2 FROM {region}
+UNION ALL SELECT 200 + n_nationkey, 50200 + n_nationkey,
+                 '1/2/' || CAST(100 + n_regionkey AS STRING) || '/' || CAST(200 + n_nationkey AS STRING), 3 FROM {nation}
+UNION ALL SELECT DISTINCT 1000 + 5 * c_nationkey + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
+                                                  WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END,
+                 51000 + 5 * c_nationkey + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
+                                                  WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END,
+                 '1/2/' || CAST(100 + n_regionkey AS STRING) || '/' || CAST(200 + c_nationkey AS STRING) || '/'
+                   || CAST(1000 + 5 * c_nationkey + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
+                           WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS STRING), 4
+          FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+""")
+
+_adapter("catalog_category_entity_varchar", """
+SELECT 50001 AS row_id, 45 AS attribute_id, 0 AS store_id, 'Root Catalog' AS value
+UNION ALL SELECT 50002, 45, 0, 'Default Category'
+UNION ALL SELECT 50002, 45, 1, 'Store One Default'
+UNION ALL SELECT 50100 + r_regionkey, 45, 0, r_name FROM {region}
+UNION ALL SELECT 50200 + n_nationkey, 45, 0, 'Nation ' || CAST(n_nationkey AS STRING) FROM {nation}
+UNION ALL SELECT 50200 + n_nationkey, 73, 0, 'wrong attribute' FROM {nation}
+UNION ALL SELECT DISTINCT 51000 + 5 * c_nationkey + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1
+                                                  WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END,
+                 45, 0, lower(c_mktsegment) || ' ' || CAST(c_nationkey AS STRING)
+          FROM {customer}
+""")
+
+_adapter("catalog_category_entity_int", """
+SELECT 50100 + r_regionkey AS row_id, 46 AS attribute_id, 0 AS store_id,
+       CASE WHEN r_regionkey = 3 THEN 0 ELSE 1 END AS value FROM {region}
+UNION ALL SELECT 50200 + n_nationkey, 67, 0, CASE WHEN n_nationkey % 4 = 0 THEN 0 ELSE 1 END FROM {nation}
+""")
+
+_adapter("catalog_product_entity", """
+SELECT p_partkey AS entity_id, p_partkey + 100000 AS row_id, 'SKU-' || CAST(p_partkey AS STRING) AS sku,
+       CASE WHEN p_size % 2 = 0 THEN 'simple' ELSE 'configurable' END AS type_id,
+       CAST(DATE '1994-01-01' + CAST(p_partkey % 700 AS INT) AS TIMESTAMP) AS created_at,
+       CAST(DATE '1996-01-01' + CAST(p_partkey % 900 AS INT) AS TIMESTAMP) AS updated_at
+FROM {part}
+""")
+
+_adapter("catalog_product_entity_varchar", """
+SELECT p_partkey + 100000 AS row_id, 73 AS attribute_id, 0 AS store_id, p_name AS value FROM {part}
+UNION ALL SELECT p_partkey + 100000, 73, 1, upper(p_name) FROM {part} WHERE p_partkey % 3 = 0
+""")
+
+_adapter("catalog_product_entity_int", """
+SELECT p_partkey + 100000 AS row_id, 97 AS attribute_id, 0 AS store_id,
+       CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS value FROM {part}
+""")
+
+_adapter("catalog_category_product", """
+SELECT p_partkey AS product_id, 200 + p_partkey % 25 AS category_id FROM {part} WHERE p_partkey % 11 <> 0
+UNION ALL
+SELECT p_partkey, 1000 + 5 * (p_partkey % 25) + p_partkey % 5 FROM {part} WHERE p_partkey % 7 = 0
+UNION ALL
+SELECT p_partkey, 100 + p_partkey % 5 FROM {part} WHERE p_partkey % 13 = 0
+""")
