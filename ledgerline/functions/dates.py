@@ -11,11 +11,18 @@ def whole_units(unit: str, start: Column, end: Column) -> Column:
     return F.timestamp_diff(unit.upper(), start, end)
 
 
-def shift_weekend(d: Column) -> Column:
-    """Saturday → Friday, Sunday → Friday (weekday(): Monday = 0)."""
+def shift_weekend(d: Column, timestamp: bool = False) -> Column:
+    """Saturday and Sunday move forward to the next Monday (weekday(): Monday = 0).
+
+    With ``timestamp=True`` the time of day is kept.
+    """
     wd = F.weekday(d)
-    return (F.when(wd == 5, F.date_sub(d, 1))
-             .when(wd == 6, F.date_sub(d, 2))
+    if timestamp:
+        return (F.when(wd == 5, d + F.expr("INTERVAL 2 DAYS"))
+                 .when(wd == 6, d + F.expr("INTERVAL 1 DAYS"))
+                 .otherwise(d))
+    return (F.when(wd == 5, F.date_add(d, 2))
+             .when(wd == 6, F.date_add(d, 1))
              .otherwise(d))
 
 

@@ -1,3 +1,3 @@
 """Report pipelines and operator-level checks. Importing this package registers every query."""
 
-from . import catalogue, employers, ledger, logs, orders, pastdue, primitives, schedule, scoring  # noqa: F401
+from . import catalogue, employers, ledger, logs, orders, pastdue, primitives, schedule, scoring, status  # noqa: F401

@@ -212,8 +212,8 @@ def month_hour_diff(spark, t):
 
 @register("weekend_shift", """
 SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INT) AS order_weekday,
-       CAST(CASE isodow(o_orderdate) WHEN 6 THEN CAST(o_orderdate AS DATE) - 1
-                                     WHEN 7 THEN CAST(o_orderdate AS DATE) - 2
+       CAST(CASE isodow(o_orderdate) WHEN 6 THEN CAST(o_orderdate AS DATE) + 2
+                                     WHEN 7 THEN CAST(o_orderdate AS DATE) + 1
                                      ELSE CAST(o_orderdate AS DATE) END AS DATE) AS shifted_date
 FROM orders
 """)

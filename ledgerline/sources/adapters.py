@@ -64,7 +64,9 @@ SELECT c_custkey AS entity_id,
        CASE WHEN c_custkey % 10 = 0 THEN 1 END AS missing_last_paystub,
        CAST(DATE '1994-06-01' + CAST(c_custkey % 365 AS INT) AS TIMESTAMP) AS created_at,
        CAST(550 + c_custkey % 300 AS INT) AS customer_score,
-       CAST(5 + c_custkey % 10 AS INT) AS deduction_due_days
+       CAST(5 + c_custkey % 10 AS INT) AS deduction_due_days,
+       CASE WHEN c_custkey % 17 = 0 THEN '1' ELSE '0' END AS deduction_code_blocked,
+       DATE '2001-07-01' + CAST(c_custkey % 14 AS INT) AS next_pay_date
 FROM {customer}
 """)
 
@@ -137,6 +139,7 @@ SELECT o_orderkey AS id,
        CASE o_orderstatus WHEN 'F' THEN 'Paid Off' WHEN 'O' THEN 'open' ELSE 'cancelled' END AS status,
        CASE o_orderkey % 6 WHEN 0 THEN CAST(o_totalprice AS DECIMAL(18,2))
                            WHEN 1 THEN CAST(0 AS DECIMAL(18,2)) END AS past_due_amount,
+       CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS DATE) + 60 END AS past_due_since,
        CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2))
             ELSE CAST(0 AS DECIMAL(18,2)) END AS balance,
        CAST(floor(CAST(o_totalprice AS DECIMAL(18,2)) * 100 / (3 * (1 + o_orderkey % 4))) / 100
@@ -190,9 +193,12 @@ JOIN (VALUES ('Weekly', 7), ('Bi-Weekly', 14), ('Semi-Monthly', 15), ('Monthly',
 _adapter("employee_paystubs", """
 SELECT employee_manifest_id, pay_date,
        CASE WHEN day(pay_date) % 2 = 0 THEN CAST(0 AS DECIMAL(18,2))
-            ELSE CAST(25 AS DECIMAL(18,2)) END AS deductions
-FROM (SELECT DISTINCT o_custkey + 1000000 AS employee_manifest_id, CAST(l_shipdate AS DATE) AS pay_date
-      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) s
+            ELSE CAST(25 AS DECIMAL(18,2)) END AS deductions,
+       '{{"payPeriodId": "' || CAST(nation * 1000000 + year(pay_date) * 100 + month(pay_date) AS STRING) || '"}}'
+         AS additional_data
+FROM (SELECT DISTINCT o_custkey + 1000000 AS employee_manifest_id, c_nationkey AS nation,
+                      CAST(l_shipdate AS DATE) AS pay_date
+      FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey) s
 """)
 
 _adapter("agreements_past_due", """
@@ -339,9 +345,9 @@ FROM {customer}
 """)
 
 _adapter("company_payperiods", """
-SELECT employer_id * 1000000 + pay_period_id AS id, employer_id, 'CO' || CAST(employer_id AS STRING) AS company_id,
+SELECT pay_period_id AS id, employer_id, 'C' || CAST(employer_id AS STRING) || '_0' AS company_id,
        pay_period_id, period_start + 14 AS check_date,
-       CASE WHEN pay_period_id % 3 = 0 THEN 'open' ELSE 'complete' END AS status,
+       CASE WHEN pay_period_id % 3 = 0 THEN 'OPEN' ELSE 'COMPLETED' END AS status,
        CAST(pay_period_id % 7 + 1 AS INT) AS num_checks,
        CASE WHEN pay_period_id % 3 = 0 THEN NULL ELSE CAST(period_start + 15 AS TIMESTAMP) END AS completed_at,
        '{{"intervalCode": "' || CASE WHEN employer_id % 2 = 0 THEN 'MONTHLY' ELSE 'SEMI_MONTHLY' END ||
@@ -352,7 +358,7 @@ SELECT employer_id * 1000000 + pay_period_id AS id, employer_id, 'CO' || CAST(em
             ELSE ', "submitByDate": "' || CAST(period_start + 10 AS STRING) || 'T12:30:00Z"' END ||
        ', "checkDate": "' || CAST(period_start + 14 AS STRING) || 'T00:00:00Z"}}' AS raw_data
 FROM (SELECT DISTINCT c_nationkey AS employer_id,
-             CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INT) AS pay_period_id,
+             c_nationkey * 1000000 + year(o_orderdate) * 100 + month(o_orderdate) AS pay_period_id,
              CAST(date_trunc('month', o_orderdate) AS DATE) AS period_start
       FROM {orders} JOIN {customer} ON o_custkey = c_custkey) p
 """)
@@ -369,7 +375,10 @@ SELECT c_custkey AS customer_id,
        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey + 9000000 END AS customer_signup_id,
        CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
        CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS is_fast_track,
-       CAST(c_custkey % 500 AS INT) AS scoring_points_bme
+       CAST(c_custkey % 500 AS INT) AS scoring_points_bme,
+       CASE WHEN c_custkey % 3 = 0 THEN 'paystub_model' ELSE 'base_model' END AS scoring_model_type,
+       CASE WHEN c_custkey % 2 = 0 THEN 'paystub' ELSE 'base' END AS customer_scoring_model_type,
+       CASE WHEN c_custkey % 19 = 0 THEN 'research note ' || CAST(c_custkey AS STRING) END AS paychex_research_notes
 FROM {customer} WHERE c_custkey % 11 <> 5
 """)
 
@@ -557,3 +566,29 @@ SELECT p_partkey, 1000 + 5 * (p_partkey % 25) + p_partkey % 5 FROM {part} WHERE
 UNION ALL
 SELECT p_partkey, 100 + p_partkey % 5 FROM {part} WHERE p_partkey % 13 = 0
 """)
+
+_adapter("scoring_tiers", """
+SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'paystub' ELSE 'base' END AS model_type,
+       CAST(c_custkey % 500 AS INT) AS points, CAST((c_custkey % 500) % 4 * 5 AS INT) AS down_payment_percent
+FROM {customer}
+""")
+
+_adapter("customer_pay_components", """
+SELECT user_id + 5000000 AS worker_id, ts - INTERVAL 8400 DAY AS sent_at FROM {events}
+""")
+
+_adapter("notes", """
+SELECT user_id AS customer_id, CASE WHEN event_id % 4 = 0 THEN 31 ELSE 12 END AS agent_id,
+       'note ' || CAST(event_id AS STRING) AS note_text
+FROM {events}
+""")
+
+_adapter("customer_not_deducting_monitoring", """
+SELECT c_custkey AS customer_id,
+       CAST(DATE '2000-01-01' + CAST(c_custkey % 600 AS INT) AS TIMESTAMP) AS created_at,
+       CAST(DATE '2000-02-01' + CAST(c_custkey % 500 AS INT) AS TIMESTAMP) AS first_pay_component_deduction_sent,
+       CAST(c_acctbal AS DECIMAL(18,2)) AS purchase_total,
+       CASE WHEN c_custkey % 2 = 0 THEN CAST(DATE '2000-06-01' + CAST(c_custkey % 400 AS INT) AS TIMESTAMP) END
+         AS resolved_at
+FROM {customer} WHERE c_custkey % 3 = 0
+""")
