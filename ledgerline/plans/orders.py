@@ -28,18 +28,24 @@ PAYMENT_STATUSES = ("paid_payroll_deduction", "initial_payment")
 
 
 def ledger_agreement_summary(ledger: DataFrame, *, as_of: dt.date = AS_OF) -> DataFrame:
-    """Per agreement: order total, payments, adjustments, pending, future scheduled amount,
-    current balance and last payment date, from the ledger rows that are not cancelled."""
+    """Per agreement, in one pass over the ledger rows that are not cancelled: order total,
+    payments, adjustments, pending, future scheduled amount, current balance, last payment
+    date, initial payment, and amount / status / comment of the latest payment."""
     live = ledger.where(F.col("cancelled_at").isNull())
     st, amt, td = F.col("status"), F.col("amount"), F.col("transaction_date")
+    is_pay = st.isin(*PAYMENT_STATUSES)
+    last = F.max_by(F.struct(amt.alias("amount"), st.alias("status"), F.col("comment").alias("comment")),
+                    F.when(is_pay, F.struct(td, F.col("id"))))
     return live.groupBy("agreement_id").agg(
         sum_if(st == "Origination", amt).alias("order_total"),
-        sum_if(st.isin(*PAYMENT_STATUSES), amt).alias("payments"),
+        sum_if(is_pay, amt).alias("payments"),
         F.coalesce(sum_if(st == "return", amt), F.lit(0).cast("decimal(18,2)")).alias("adjustments"),
         sum_if(st == "past_due", amt).alias("pending"),
         sum_if((st == "scheduled") & (td > lit_date(as_of)), amt).alias("scheduled_future"),
         F.sum(amt).alias("current_balance"),
-        max_if(st.isin(*PAYMENT_STATUSES), td).alias("last_payment_received"))
+        max_if(is_pay, td).alias("last_payment_received"),
+        F.round(sum_if(st == "initial_payment", amt), 2).alias("initial_payment"),
+        last.alias("_last"))
 
 
 def ledger_last_payment_detail(ledger: DataFrame) -> DataFrame:
@@ -83,17 +89,15 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
     now = F.lit(as_of_ts).cast("timestamp_ntz")
     today = lit_date(as_of_date)
     local_today = local_date(now, tz)
-    las = ledger_agreement_summary(ledger, as_of=as_of_date)
-    lpd = ledger_last_payment_detail(ledger).select(
-        "agreement_id", F.col("amount").alias("last_payment_amount"), F.col("status").alias("last_payment_type"),
-        F.col("comment").alias("last_payment_comment"))
+    las = ledger_agreement_summary(ledger, as_of=as_of_date).select(
+        "*", F.col("_last.amount").alias("last_payment_amount"), F.col("_last.status").alias("last_payment_type"),
+        F.col("_last.comment").alias("last_payment_comment")).drop("_last")
     a = agreements.select(F.col("id").alias("agreement_id"), "customer_id", "date_created", "magento_order_number",
                           "status", "total", "term", "payments")
-    balances = (las.join(agreements.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
+    balances = (las.select("agreement_id", "current_balance")
+                   .join(agreements.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
                    .join(customer.select(F.col("entity_id").alias("customer_id")), "customer_id")
                    .groupBy("customer_id").agg(F.sum("current_balance").alias("customer_current_balance")))
-    initial = (ledger.where((F.col("status") == "initial_payment") & F.col("cancelled_at").isNull())
-                     .groupBy("agreement_id").agg(F.round(F.sum("amount"), 2).alias("initial_payment")))
     seq = sequence_per_key(agreements.select(F.col("id").alias("agreement_id"), "customer_id"), ["customer_id"],
                            [F.col("agreement_id")], "cust_order_sequence").drop("customer_id")
     em = manifest.where(F.col("customer_id").isNotNull())
@@ -124,8 +128,8 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
           .join(csu, "customer_id", "left")
           .join(las.withColumnRenamed("payments", "las_payments")
                    .withColumnRenamed("current_balance", "agreement_current_balance"), "agreement_id", "left")
-          .join(apd, "agreement_id", "left").join(lpd, "agreement_id", "left")
-          .join(balances, "customer_id", "left").join(initial, "agreement_id", "left")
+          .join(apd, "agreement_id", "left")
+          .join(balances, "customer_id", "left")
           .join(seq, "agreement_id", "left").join(banks, "customer_id", "left")
           .join(cycle_types, "cycle_type", "left"))
     col = F.col

@@ -31,5 +31,17 @@ class Tables(dict):
         return df
 
 
+_OPEN: dict[tuple[int, str], Tables] = {}
+
+
 def load_tables(spark: SparkSession, root: str) -> Tables:
-    return Tables(spark, root)
+    """Table handles of ``root`` for this session, opened once and reused.
+
+    Only the lazy DataFrames (and the domain tables derived from them) are kept, never data:
+    every action still reads the files.
+    """
+    key = (id(spark), os.path.abspath(root))
+    t = _OPEN.get(key)
+    if t is None or t.spark is not spark:
+        t = _OPEN[key] = Tables(spark, root)
+    return t
