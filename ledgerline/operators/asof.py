@@ -34,9 +34,12 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
     both = r.unionByName(l)
     w_prev = (Window.partitionBy(*on).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_next = (Window.partitionBy(*on).orderBy("_t", "_side")
-              .rowsBetween(1, Window.unboundedFollowing))
+    # "after": scan the same time line backwards with a running frame. A frame reaching to the end
+    # of the partition would make Spark buffer the whole key; running frames stream.
+    # At equal instants left rows come first in this backward scan, so "after" stays strict.
+    w_next = (Window.partitionBy(*on).orderBy(F.col("_t").desc(), F.col("_side").desc())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = (both.withColumn(prev_name, F.last("_rt", ignorenulls=True).over(w_prev))
-               .withColumn(next_name, F.first("_rt", ignorenulls=True).over(w_next))
+               .withColumn(next_name, F.last("_rt", ignorenulls=True).over(w_next))
                .where(F.col("_side") == 1))
     return out.select(*lcols, prev_name, next_name)
