@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 
 def gaps(df: DataFrame, keys: Sequence[str], date_col: str, order: Sequence[str] = (),
-         prior_name: str = "prior_date", gap_name: str = "gap_days") -> DataFrame:
+         prior_name: str = "prior_date", gap_name: str = "gap_days", balanced: bool = True,
+         chunk_days: int = 32) -> DataFrame:
     """Add the previous ``date_col`` of the same key and the day gap to it.
 
     ``order`` adds tie-break columns after the date so equal dates get a stable order.
+    ``balanced`` (default) uses the chunked scan of ``operators.ordered`` (chunks of
+    ``chunk_days`` days) so one key with most of the rows does not end up in a single task.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(date_col), *[F.col(c) for c in order])
-    prior = F.lag(date_col).over(w)
-    return (df.withColumn(prior_name, prior)
-              .withColumn(gap_name, F.datediff(F.col(date_col), F.col(prior_name))))
+    sort = [F.col(date_col), *[F.col(c) for c in order]]
+    if balanced:
+        from .ordered import date_chunk, previous
+        out = previous(df, keys, sort, date_chunk(F.col(date_col), chunk_days), date_col, prior_name)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*sort)
+        out = df.withColumn(prior_name, F.lag(date_col).over(w))
+    return out.withColumn(gap_name, F.datediff(F.col(date_col), F.col(prior_name)))

@@ -36,7 +36,15 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def sequence_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                     name: str = "seq") -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` added as ``name``."""
+                     name: str = "seq", chunk: Column | None = None) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` added as ``name``.
+
+    With ``chunk`` (a value that never decreases along ``order``, e.g. ``ordered.id_chunk``) it
+    runs as a chunked scan (``operators.ordered``), so a key holding a large share of the rows
+    is split across tasks; ``order`` must then be unique within a key.
+    """
+    if chunk is not None:
+        from .ordered import sequence
+        return sequence(df, keys, order, chunk, name)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))

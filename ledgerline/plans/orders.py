@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import label, local_date, max_if, prefix_before, sum_if, text_list, whole_units
 from ..functions.money import exact_div
 from ..operators import asc_key, latest_per_key, literal_table, sequence_per_key
+from ..operators.ordered import id_chunk
 from ..registry import register, with_domain
 from .common import AS_OF, TZ, d, for_employer, lit_date, norm, sql_exact_div, sql_months_diff
 from .employers import _CES_DOMAIN, _CES_SQL, _ces
@@ -99,7 +100,8 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
                    .join(customer.select(F.col("entity_id").alias("customer_id")), "customer_id")
                    .groupBy("customer_id").agg(F.sum("current_balance").alias("customer_current_balance")))
     seq = sequence_per_key(agreements.select(F.col("id").alias("agreement_id"), "customer_id"), ["customer_id"],
-                           [F.col("agreement_id")], "cust_order_sequence").drop("customer_id")
+                           [F.col("agreement_id")], "cust_order_sequence",
+                           chunk=id_chunk(F.col("agreement_id"))).drop("customer_id")
     em = manifest.where(F.col("customer_id").isNotNull())
     acct = F.concat(F.lit("XXXX"), F.substring("bank_account_number", -4, 4))
     banks = (em.select("customer_id", "employee_id", "employer_id")

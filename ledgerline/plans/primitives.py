@@ -13,6 +13,7 @@ from ..functions import (any_if, band, flag_list, label, local_date, max_if, min
                          prefix_before, shift_weekend, split_cents, text_list, whole_units)
 from ..operators import (asc_key, asof_prev_next, gaps, latest_per_key, literal_table,
                          mode_per_key, semi_flag, sequence_per_key)
+from ..operators.ordered import id_chunk
 from ..registry import register
 
 AS_OF_TS = "2001-09-01 00:00:00"
@@ -63,7 +64,8 @@ FROM orders
 """)
 def order_sequence(spark, t):
     o = t["orders"].select("o_orderkey", "o_custkey")
-    return (sequence_per_key(o, ["o_custkey"], [F.col("o_orderkey")], "cust_order_sequence")
+    return (sequence_per_key(o, ["o_custkey"], [F.col("o_orderkey")], "cust_order_sequence",
+                             chunk=id_chunk(F.col("o_orderkey")))
             .withColumn("cust_order_sequence", F.col("cust_order_sequence").cast("bigint")))
 
 
