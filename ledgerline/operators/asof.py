@@ -34,17 +34,15 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
                     *[c for c in lcols if c not in on])
     both = r.unionByName(l)
     if balanced:
-        # Chunked scans (operators.ordered): a key with most of the rows is split across tasks
-        # by 32-day spans, and the nearest value crosses chunk boundaries through a summary.
-        from .ordered import date_chunk, fill_forward
-        chunk = date_chunk(F.col("_t"))
-        fwd = fill_forward(both, on, [F.col("_t"), F.col("_side")], chunk, "_rt", prev_name)
-        # backward scan = forward scan over negated time (left rows first at equal instants)
-        rev = fwd.where(F.col("_side") == 1).unionByName(
-            r.withColumn(prev_name, F.lit(None).cast(r.schema["_rt"].dataType)))
-        rev = rev.withColumn("_tn", -F.unix_micros(F.col("_t").cast("timestamp")))
-        bwd = fill_forward(rev, on, [F.col("_tn"), -F.col("_side")], -chunk, "_rt", next_name).drop("_tn")
-        return bwd.where(F.col("_side") == 1).select(*lcols, prev_name, next_name)
+        # One chunked pass (operators.ordered): a key with most of the rows is split across
+        # tasks by 32-day spans; the nearest value crosses chunk boundaries through a summary.
+        # Right rows sort before left rows at the same instant ("at or before" includes them);
+        # in the reversed order left rows come first ("after" stays strict).
+        from .ordered import date_chunk, fill_both
+        both = both.withColumn("_tn", -F.unix_micros(F.col("_t").cast("timestamp")))
+        out = fill_both(both, on, [F.col("_t"), F.col("_side")], [F.col("_tn"), -F.col("_side")],
+                        date_chunk(F.col("_t")), "_rt", prev_name, next_name)
+        return out.where(F.col("_side") == 1).select(*lcols, prev_name, next_name)
     w_prev = (Window.partitionBy(*on).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # "after": scan the same time line backwards with a running frame. A frame reaching to the end

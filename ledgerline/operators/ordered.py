@@ -82,3 +82,32 @@ def date_chunk(col: Column, days: int = 32) -> Column:
 def id_chunk(col: Column, size: int = 4096) -> Column:
     """Chunk of an integer ordering value: consecutive blocks of ``size``."""
     return F.floor(col / size)
+
+
+def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rev_order: Sequence[Column],
+              chunk: Column, value: str, prev_name: str, next_name: str) -> DataFrame:
+    """Forward fill (last non-null at or before the row along ``order``) and backward fill (first
+    non-null at or after the row, i.e. last non-null along ``rev_order``) in one chunked pass.
+
+    ``rev_order`` is the exact reverse of ``order`` (negated values). One partitioning by
+    (key, chunk) serves both running windows and one summary per (key, chunk) serves both carries.
+    """
+    keys = list(keys)
+    part = Window.partitionBy(*keys, "_c")
+    fwd = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bwd = part.orderBy(*rev_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (_chunked(df, chunk)
+             .withColumn("_ff", F.last(value, ignorenulls=True).over(fwd))
+             .withColumn("_bf", F.last(value, ignorenulls=True).over(bwd)))
+    present = F.col(value).isNotNull()
+    summary = local.groupBy(*keys, "_c").agg(
+        F.max_by(F.col(value), F.when(present, _pos(order))).alias("_lastv"),
+        F.min_by(F.col(value), F.when(present, _pos(order))).alias("_firstv"))
+    later = Window.partitionBy(*keys).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
+    summary = summary.select(*keys, "_c",
+                             F.last("_lastv", ignorenulls=True).over(_earlier_chunks(keys)).alias("_pcarry"),
+                             F.first("_firstv", ignorenulls=True).over(later).alias("_ncarry"))
+    out = local.join(summary, [*keys, "_c"])
+    return _drop(out.withColumn(prev_name, F.coalesce(F.col("_ff"), F.col("_pcarry")))
+                    .withColumn(next_name, F.coalesce(F.col("_bf"), F.col("_ncarry"))),
+                 "_c", "_ff", "_bf", "_pcarry", "_ncarry")

@@ -42,8 +42,11 @@ def agreements_with_paystubs(agreements: DataFrame, manifest: DataFrame, paystub
 
 def generate_schedule(agreements: DataFrame, manifest: DataFrame, paystubs: DataFrame,
                       pay_frequency_terms: DataFrame, *, employer_id: int | None = None,
-                      max_periods: int = 104) -> DataFrame:
-    a = agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
+                      max_periods: int = 104, with_paystubs: DataFrame | None = None) -> DataFrame:
+    """``with_paystubs``: the result of :func:`agreements_with_paystubs` when the caller already
+    has it (reports that need it twice compute the as-of lookup once)."""
+    a = with_paystubs if with_paystubs is not None else \
+        agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
     pft = F.broadcast(pay_frequency_terms.select("term", "pay_frequency", "num_periods",
                                                  "approx_pay_cycle_days"))
     b = a.join(pft, ["term", "pay_frequency"])
@@ -78,10 +81,21 @@ def generate_schedule(agreements: DataFrame, manifest: DataFrame, paystubs: Data
                     amount.alias("amount"), "diagnostics")
 
 
-def _schedule(spark, t, employer_id=None):
-    return generate_schedule(d(spark, t, "agreements"), d(spark, t, "employee_manifest"),
-                             d(spark, t, "employee_paystubs"), d(spark, t, "pay_frequency_terms"),
-                             employer_id=employer_id)
+def _with_paystubs(spark, t):
+    key = "@@agreements_with_paystubs"
+    if key not in t:
+        t[key] = agreements_with_paystubs(d(spark, t, "agreements"), d(spark, t, "employee_manifest"),
+                                          d(spark, t, "employee_paystubs"), None)
+    return t[key]
+
+
+def _schedule(spark, t):
+    key = "@@schedule"
+    if key not in t:
+        t[key] = generate_schedule(d(spark, t, "agreements"), d(spark, t, "employee_manifest"),
+                                   d(spark, t, "employee_paystubs"), d(spark, t, "pay_frequency_terms"),
+                                   with_paystubs=_with_paystubs(spark, t))
+    return t[key]
 
 
 _R11_SQL = """
@@ -222,7 +236,8 @@ def _q_schedule_start_compare(spark, t):
 
 def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest: DataFrame,
                             paystubs: DataFrame, status_attributes: DataFrame, schedule: DataFrame, *,
-                            employer_id: int | None = None, as_of: dt.date = AS_OF) -> DataFrame:
+                            employer_id: int | None = None, as_of: dt.date = AS_OF,
+                            with_paystubs: DataFrame | None = None) -> DataFrame:
     a = for_employer(agreements, employer_id)
     a_ids = a.select(F.col("id").alias("agreement_id"), F.col("status").alias("_astatus"))
     live = ledger.where(F.col("cancelled_at").isNull())
@@ -243,7 +258,9 @@ def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest:
                                 (-F.col("amount")).alias("amount"),
                                 F.lit("schedule_ledger").alias("analysis_source")))
     txns = payments.unionByName(model).unionByName(ledger_sched)
-    adim = agreements_with_paystubs(agreements, manifest, paystubs, employer_id).drop("agreement_status_") \
+    aw = with_paystubs if with_paystubs is not None else \
+        agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
+    adim = aw \
         .select("customer_id", "agreement_id", "magento_order_number", "agreement_status", "term",
                 "date_created", "employee_manifest_id", "pay_frequency", "total_amount",
                 "agreement_past_due_amt", "first_pay_date", "most_recent_pay_date")
@@ -300,7 +317,8 @@ detail AS (
 def _detail(spark, t):
     return schedule_compare_detail(d(spark, t, "ledger"), d(spark, t, "agreements"),
                                    d(spark, t, "employee_manifest"), d(spark, t, "employee_paystubs"),
-                                   d(spark, t, "ledger_status_attributes"), _schedule(spark, t), as_of=AS_OF)
+                                   d(spark, t, "ledger_status_attributes"), _schedule(spark, t), as_of=AS_OF,
+                                   with_paystubs=_with_paystubs(spark, t))
 
 
 @register("schedule_compare_detail",
