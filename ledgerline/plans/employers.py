@@ -77,7 +77,7 @@ def schedule_tieout(customer: DataFrame, manifest: DataFrame, department: DataFr
     em = manifest.where(norm("employment_status") != "terminated").select(
         "customer_id", F.col("id").alias("employee_manifest_id"), "company_code", "pay_frequency")
     ed = department.where(F.col("status") != "disconnected").select(F.col("department_prefix").alias("company_code"))
-    cd = F.broadcast(cycle_days.select("pay_frequency", "pay_frequency_cycle_days_w_buffer"))
+    cd = cycle_days.select("pay_frequency", "pay_frequency_cycle_days_w_buffer")
     lp = paystubs.groupBy("employee_manifest_id").agg(F.max("pay_date").alias("last_pay_date"))
     core = (c.join(em, "customer_id").join(ed, "company_code").join(cd, "pay_frequency", "left")
              .join(lp, "employee_manifest_id", "left")

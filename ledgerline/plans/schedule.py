@@ -47,8 +47,8 @@ def generate_schedule(agreements: DataFrame, manifest: DataFrame, paystubs: Data
     has it (reports that need it twice compute the as-of lookup once)."""
     a = with_paystubs if with_paystubs is not None else \
         agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
-    pft = F.broadcast(pay_frequency_terms.select("term", "pay_frequency", "num_periods",
-                                                 "approx_pay_cycle_days"))
+    pft = pay_frequency_terms.select("term", "pay_frequency", "num_periods",
+                                                 "approx_pay_cycle_days")
     b = a.join(pft, ["term", "pay_frequency"])
     cycle = F.col("approx_pay_cycle_days")
     first, recent, created = F.col("first_pay_date"), F.col("most_recent_pay_date"), F.col("date_created")
@@ -160,7 +160,7 @@ def schedule_start_compare(ledger: DataFrame, agreements: DataFrame, manifest: D
                            status_attributes: DataFrame, schedule: DataFrame, *,
                            employer_id: int | None = None, as_of: dt.date = AS_OF) -> DataFrame:
     a = for_employer(agreements, employer_id)
-    known = F.broadcast(status_attributes.select("status"))
+    known = status_attributes.select("status")
     l = ledger.join(known, "status")
     first_ledger = (l.where(F.col("status").isin("scheduled", "paid_payroll_deduction", "past_due"))
                      .join(a.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
@@ -170,7 +170,7 @@ def schedule_start_compare(ledger: DataFrame, agreements: DataFrame, manifest: D
         F.min("schedule_date").alias("first_schedule_per_model"),
         F.sum(F.when(F.col("schedule_date") < lit_date(as_of), F.col("amount"))).alias("expected_per_model"))
     em = manifest.where(F.col("customer_id").isNotNull()).select("customer_id", "pay_frequency")
-    pay_status = F.broadcast(status_attributes.where(F.col("count_as_payment") == "Yes").select("status"))
+    pay_status = status_attributes.where(F.col("count_as_payment") == "Yes").select("status")
     paid = (ledger.where(F.col("cancelled_at").isNull()).join(pay_status, "status")
                   .join(a.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
                   .join(em.select("customer_id"), "customer_id")
@@ -241,9 +241,8 @@ def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest:
     a = for_employer(agreements, employer_id)
     a_ids = a.select(F.col("id").alias("agreement_id"), F.col("status").alias("_astatus"))
     live = ledger.where(F.col("cancelled_at").isNull())
-    pay_status = F.broadcast(status_attributes.where(F.col("count_as_payment") == "Yes").select("status"))
-    sched_status = F.broadcast(status_attributes.where(F.col("include_in_schedule_calculation") == "Yes")
-                               .select("status"))
+    pay_status = status_attributes.where(F.col("count_as_payment") == "Yes").select("status")
+    sched_status = status_attributes.where(F.col("include_in_schedule_calculation") == "Yes").select("status")
     payments = live.join(pay_status, "status").join(a_ids, "agreement_id").select(
         "agreement_id", F.to_date("created_at").alias("effective_date"), "transaction_date",
         F.col("status").alias("transaction_type"), "amount", F.lit("payments").alias("analysis_source"))
