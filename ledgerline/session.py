@@ -28,10 +28,12 @@ DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "ledgerline") -> SparkSession:
+                app_name: str = "ledgerline", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -56,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def local_session(cpus: int | None = None) -> SparkSession:
+def local_session(cpus: int | None = None, driver_memory: str = "12g") -> SparkSession:
+    """Single-machine session (tests, benchmark). In local mode the driver JVM is the only
+    executor, so its heap is the memory of the whole job."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return get_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
+    return get_session(master=f"local[{cpus}]", shuffle_partitions=cpus, driver_memory=driver_memory)
