@@ -241,22 +241,27 @@ def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest:
     a = for_employer(agreements, employer_id)
     a_ids = a.select(F.col("id").alias("agreement_id"), F.col("status").alias("_astatus"))
     live = ledger.where(F.col("cancelled_at").isNull())
-    pay_status = status_attributes.where(F.col("count_as_payment") == "Yes").select("status")
-    sched_status = status_attributes.where(F.col("include_in_schedule_calculation") == "Yes").select("status")
-    payments = live.join(pay_status, "status").join(a_ids, "agreement_id").select(
-        "agreement_id", F.to_date("created_at").alias("effective_date"), "transaction_date",
-        F.col("status").alias("transaction_type"), "amount", F.lit("payments").alias("analysis_source"))
+    # Payments and ledger schedule rows come from one scan of the ledger: each row emits a
+    # payment entry, a schedule entry (sign flipped), both or none, depending on its status.
+    flags = status_attributes.select("status", (F.col("count_as_payment") == "Yes").alias("_pay"),
+                                     (F.col("include_in_schedule_calculation") == "Yes").alias("_sched"))
+    entry = F.explode(F.array(
+        F.when(F.col("_pay"), F.struct(F.to_date("created_at").alias("effective_date"), F.col("amount").alias("amount"),
+                                       F.lit("payments").alias("analysis_source"))),
+        F.when(F.col("_sched") & (F.col("_astatus") != "cancelled"),
+               F.struct(F.col("transaction_date").alias("effective_date"), (-F.col("amount")).alias("amount"),
+                        F.lit("schedule_ledger").alias("analysis_source")))))
+    ledger_rows = (live.join(flags, "status").join(a_ids, "agreement_id")
+                       .select("agreement_id", "transaction_date", "status", entry.alias("_e"))
+                       .where(F.col("_e").isNotNull())
+                       .select("agreement_id", F.col("_e.effective_date").alias("effective_date"), "transaction_date",
+                               F.col("status").alias("transaction_type"), F.col("_e.amount").alias("amount"),
+                               F.col("_e.analysis_source").alias("analysis_source")))
     model = schedule.select("agreement_id", F.col("schedule_date").alias("effective_date"),
                             F.col("schedule_date").alias("transaction_date"),
                             F.lit("schedule_model").alias("transaction_type"), "amount",
                             F.lit("schedule_model").alias("analysis_source"))
-    ledger_sched = (live.join(sched_status, "status").join(a_ids, "agreement_id")
-                        .where(F.col("_astatus") != "cancelled")
-                        .select("agreement_id", F.col("transaction_date").alias("effective_date"),
-                                "transaction_date", F.col("status").alias("transaction_type"),
-                                (-F.col("amount")).alias("amount"),
-                                F.lit("schedule_ledger").alias("analysis_source")))
-    txns = payments.unionByName(model).unionByName(ledger_sched)
+    txns = ledger_rows.unionByName(model)
     aw = with_paystubs if with_paystubs is not None else \
         agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
     adim = aw \
