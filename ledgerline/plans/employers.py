@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import label
-from ..operators import gaps, mode_per_key
+from ..operators import gaps
 from ..registry import register, with_domain
 from .common import AS_OF, TZ, d, for_employer, lit_date, norm
 
@@ -161,25 +161,27 @@ def pay_frequency_infer(manifest: DataFrame, paystubs: DataFrame, summary: DataF
     stubs = paystubs.where(F.col("pay_date") >= lit_date(since)).join(em_ids, "employee_manifest_id") \
                     .select("employee_manifest_id", "pay_date")
     g = gaps(stubs, ["employee_manifest_id"], "pay_date").where(F.col("prior_date").isNotNull())
-    modal = mode_per_key(g, ["employee_manifest_id"], "gap_days", "modal_gap")
+    # The gaps are read once: counted per (employee, gap); the modal gap and every gap statistic
+    # (min, max, mean, population standard deviation) come from those counts.
+    counted = g.groupBy("employee_manifest_id", "gap_days").agg(F.count("*").alias("_n"))
     s = stubs.groupBy("employee_manifest_id").agg(
         F.count("*").alias("n_paystubs"), F.min("pay_date").alias("first_pay"), F.max("pay_date").alias("last_pay"),
         F.count_distinct(F.dayofmonth("pay_date")).alias("distinct_dom"))
     s = s.withColumn("span_days", F.datediff("last_pay", "first_pay"))
-    n, cnt = F.count("gap_days"), F.col("_cnt")
-    gs = g.groupBy("employee_manifest_id").agg(
+    gap, n = F.col("gap_days").cast("bigint"), F.col("_n")
+    gs = counted.groupBy("employee_manifest_id").agg(
         F.min("gap_days").alias("min_gap"), F.max("gap_days").alias("max_gap"),
-        F.sum(F.col("gap_days").cast("bigint")).alias("_sum"), n.alias("_cnt"),
-        F.sum((F.col("gap_days") * F.col("gap_days")).cast("bigint")).alias("_sq"))
+        F.sum(gap * n).alias("_sum"), F.sum(n).alias("_cnt"), F.sum(gap * gap * n).alias("_sq"),
+        F.max_by(F.col("gap_days"), F.struct(n, -F.col("gap_days"))).alias("modal_gap"))
+    cnt = F.col("_cnt")
     var = (cnt * F.col("_sq") - F.col("_sum") * F.col("_sum")).cast("double") / (cnt * cnt).cast("double")
-    gs = gs.select("employee_manifest_id", "min_gap", "max_gap",
+    gs = gs.select("employee_manifest_id", "min_gap", "max_gap", "modal_gap",
                    _half_up_ratio(F.col("_sum"), cnt, 1).alias("avg_gap"),
                    F.round(F.sqrt(var), 2).alias("sd_gap"))
     e = for_employer(manifest, employer_id).select(F.col("id").alias("employee_manifest_id"), "customer_id",
                                                    "pay_frequency")
     ces = summary.where(F.col("total_orders") > 0).select(F.col("entity_id").alias("customer_id"))
-    j = (e.join(ces, "customer_id").join(s, "employee_manifest_id", "left").join(gs, "employee_manifest_id", "left")
-          .join(modal, "employee_manifest_id", "left"))
+    j = e.join(ces, "customer_id").join(s, "employee_manifest_id", "left").join(gs, "employee_manifest_id", "left")
     # implied paychecks per year: round(round(n / span, 4) * 365, 1), exact decimal arithmetic
     span = F.col("span_days")
     q4 = F.floor((F.col("n_paystubs") * 20000 + span) / (span * 2))
