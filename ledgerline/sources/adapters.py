@@ -182,12 +182,14 @@ SELECT * FROM (VALUES
 ) AS t(pay_frequency, pay_frequency_cycle_days, pay_frequency_cycle_days_w_buffer)
 """)
 
+# Instalment terms (months) x pay frequencies with their approximate cycle days; the number of
+# periods is floor(term * 30.4 / cycle days). Built from this rule as one literal list.
+_TERMS = (3, 6, 9, 12)
+_CYCLE = (("Weekly", 7), ("Bi-Weekly", 14), ("Semi-Monthly", 15), ("Monthly", 30))
 _adapter("pay_frequency_terms", """
-SELECT CAST(t.term AS INT) AS term, f.pay_frequency, CAST(f.days AS INT) AS approx_pay_cycle_days,
-       CAST(floor(t.term * 304 / (f.days * 10)) AS INT) AS num_periods
-FROM (VALUES (3), (6), (9), (12)) AS t(term)
-JOIN (VALUES ('Weekly', 7), ('Bi-Weekly', 14), ('Semi-Monthly', 15), ('Monthly', 30)) AS f(pay_frequency, days)
-  ON TRUE
+SELECT CAST(term AS INT) AS term, pay_frequency, CAST(days AS INT) AS approx_pay_cycle_days,
+       CAST(floor(term * 304 / (days * 10)) AS INT) AS num_periods
+FROM (VALUES """ + ", ".join(f"({t}, '{f}', {dd})" for t in _TERMS for f, dd in _CYCLE) + """) AS t(term, pay_frequency, days)
 """)
 
 _adapter("employee_paystubs", """
