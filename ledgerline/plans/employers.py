@@ -156,7 +156,9 @@ def _half_up_ratio(num, den, scale: int):
 
 
 def pay_frequency_infer(manifest: DataFrame, paystubs: DataFrame, summary: DataFrame, *,
-                        employer_id: int | None = None, since: dt.date = SINCE, min_stubs: int = 4) -> DataFrame:
+                        employer_id: int | None = None, since: dt.date = SINCE, min_stubs: int = 4,
+                        ordered: bool = False) -> DataFrame:
+    """``ordered=True`` sorts by employee id (a global range sort; off by default)."""
     em_ids = for_employer(manifest, employer_id).select(F.col("id").alias("employee_manifest_id"))
     stubs = paystubs.where(F.col("pay_date") >= lit_date(since)).join(em_ids, "employee_manifest_id") \
                     .select("employee_manifest_id", "pay_date")
@@ -193,11 +195,12 @@ def pay_frequency_infer(manifest: DataFrame, paystubs: DataFrame, summary: DataF
     inferred = label([((F.col("n_paystubs") < min_stubs) | mg.isNull(), "Insufficient"),
                       (mg.between(6, 8), "Weekly"), (mg.between(13, 16), biweekly_or_semi),
                       (mg.between(27, 35), "Monthly")], "Unknown")
-    return j.select(
+    out = j.select(
         "employee_manifest_id", "pay_frequency", "n_paystubs", "first_pay", "last_pay", "span_days", "min_gap",
         "modal_gap", "avg_gap", "max_gap", "sd_gap", "distinct_dom", implied.alias("implied_per_year"),
         inferred.alias("pay_frequency_inferred"), F.col("pay_frequency").alias("pay_frequency_actual"),
         F.when(F.col("n_paystubs") < min_stubs, "INSUFFICIENT_DATA").alias("data_quality_flag"))
+    return out.orderBy("employee_manifest_id") if ordered else out
 
 
 @register("pay_frequency_infer", with_domain(_CES_DOMAIN + ["employee_paystubs"], "WITH " + _CES_SQL + """,

@@ -59,3 +59,12 @@ def test_left_join_reports_keep_base_rows(spark):
     assert q(spark, "product_hierarchy").count() == domain(spark, t, "catalog_product_entity").count()
     logins = domain(spark, t, "sso_login_attempts").select("email").distinct().count()
     assert q(spark, "registration_funnel").count() == logins
+
+
+def test_ordered_option_sorts(spark):
+    from ledgerline.plans.scoring import scoring_detail
+    t = load_tables(spark, SF)
+    rows = scoring_detail(domain(spark, t, "customer_entity"), domain(spark, t, "customer_score"),
+                          domain(spark, t, "employee_manifest"), ordered=True).select("start_date", "salary").collect()
+    keys = [(r.start_date is not None, r.start_date, -(r.salary or 0)) for r in rows]
+    assert keys == sorted(keys)
