@@ -5,7 +5,9 @@ rows are cut into consecutive chunks of the ordering value (``chunk`` must never
 the order, e.g. 32-day spans of a date or blocks of ids). The window runs per (key, chunk), so a
 key with many rows spread over time is handled by many tasks. The values that cross a chunk
 boundary (running count, previous row, last non-null value) come from a summary with one row
-per (key, chunk), scanned per key in chunk order and joined back on (key, chunk).
+per (key, chunk), scanned per key in chunk order and joined back on (key, chunk). The summary is
+aggregated from the input rows, not from the window output, so it is partially aggregated on the
+map side and only one row per (key, chunk) and input partition is shuffled for it.
 
 Chunks are computed from the row values only, so every recomputation (retries, lost executors)
 assigns rows the same way. Everything is built-in Spark SQL; nothing is collected. ``order``
@@ -39,8 +41,9 @@ def _drop(df: DataFrame, *cols: str) -> DataFrame:
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str) -> DataFrame:
     """``row_number() over (partition by keys order by order)``; ``order`` unique within a key."""
     keys = list(keys)
-    local = _chunked(df, chunk).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(*order)))
-    summary = local.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    base = _chunked(df, chunk)
+    local = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(*order)))
+    summary = base.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
     summary = summary.select(*keys, "_c", F.coalesce(F.sum("_n").over(_earlier_chunks(keys)), F.lit(0)).alias("_off"))
     out = local.join(summary, [*keys, "_c"])
     return _drop(out.withColumn(name, F.col("_rn") + F.col("_off")), "_c", "_rn", "_off")
@@ -51,8 +54,9 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk:
     """``lag(value) over (partition by keys order by order)``."""
     keys = list(keys)
     w = Window.partitionBy(*keys, "_c").orderBy(*order)
-    local = _chunked(df, chunk).withColumn("_lag", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
-    summary = local.groupBy(*keys, "_c").agg(F.max_by(F.col(value), _pos(order)).alias("_lastv"))
+    base = _chunked(df, chunk)
+    local = base.withColumn("_lag", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
+    summary = base.groupBy(*keys, "_c").agg(F.max_by(F.col(value), _pos(order)).alias("_lastv"))
     prev_chunk = Window.partitionBy(*keys).orderBy("_c")
     summary = summary.select(*keys, "_c", F.lag("_lastv").over(prev_chunk).alias("_carry"))
     out = local.join(summary, [*keys, "_c"])
@@ -66,8 +70,9 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ch
     keys = list(keys)
     w = (Window.partitionBy(*keys, "_c").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = _chunked(df, chunk).withColumn("_ff", F.last(value, ignorenulls=True).over(w))
-    summary = local.groupBy(*keys, "_c").agg(
+    base = _chunked(df, chunk)
+    local = base.withColumn("_ff", F.last(value, ignorenulls=True).over(w))
+    summary = base.groupBy(*keys, "_c").agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), _pos(order))).alias("_lastv"))
     summary = summary.select(*keys, "_c", F.last("_lastv", ignorenulls=True).over(_earlier_chunks(keys)).alias("_carry"))
     out = local.join(summary, [*keys, "_c"])
@@ -96,11 +101,11 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rev_o
     part = Window.partitionBy(*keys, "_c")
     fwd = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bwd = part.orderBy(*rev_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (_chunked(df, chunk)
-             .withColumn("_ff", F.last(value, ignorenulls=True).over(fwd))
-             .withColumn("_bf", F.last(value, ignorenulls=True).over(bwd)))
+    base = _chunked(df, chunk)
+    local = (base.withColumn("_ff", F.last(value, ignorenulls=True).over(fwd))
+                 .withColumn("_bf", F.last(value, ignorenulls=True).over(bwd)))
     present = F.col(value).isNotNull()
-    summary = local.groupBy(*keys, "_c").agg(
+    summary = base.groupBy(*keys, "_c").agg(
         F.max_by(F.col(value), F.when(present, _pos(order))).alias("_lastv"),
         F.min_by(F.col(value), F.when(present, _pos(order))).alias("_firstv"))
     later = Window.partitionBy(*keys).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
