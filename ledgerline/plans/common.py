@@ -57,3 +57,10 @@ def sql_months_diff(start: str, end: str) -> str:
         return (f"((year({b}) - year({a})) * 12 + (month({b}) - month({a})) "
                 f"- CASE WHEN day({b}) < day({a}) THEN 1 ELSE 0 END)")
     return f"CAST(CASE WHEN {end} >= {start} THEN {fwd(start, end)} ELSE -{fwd(end, start)} END AS BIGINT)"
+
+
+def protect(col: Column | str, include_sensitive: bool) -> Column:
+    """Personal data (e-mail, birth date) in clear only when asked for; otherwise its SHA-256
+    hex digest, which still joins and groups the same way."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c if include_sensitive else F.sha2(c.cast("string"), 256)
