@@ -35,6 +35,12 @@ def lit_date(value: dt.date) -> Column:
     return F.lit(value).cast("date")
 
 
+def lit_ts(value: dt.datetime) -> Column:
+    """Wall-clock timestamp literal (timestamp_ntz) built from its ISO text, so the session
+    time zone never shifts it."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def sql_exact_div(num: str, den: str, scale: int, unit: int = 100) -> str:
     """DuckDB text of ``functions.money.exact_div`` (used by the oracle statements)."""
     n = f"CAST(({num}) * {unit} AS BIGINT)"

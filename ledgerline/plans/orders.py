@@ -18,7 +18,7 @@ from ..functions.money import exact_div
 from ..operators import asc_key, latest_per_key, literal_table, sequence_per_key
 from ..operators.ordered import id_chunk
 from ..registry import register, with_domain
-from .common import AS_OF, TZ, d, for_employer, lit_date, norm, sql_exact_div, sql_months_diff
+from .common import AS_OF, TZ, d, for_employer, lit_date, lit_ts, norm, sql_exact_div, sql_months_diff
 from .employers import _CES_DOMAIN, _CES_SQL, _ces
 
 AS_OF_TS = dt.datetime(2001, 6, 30, 3, 0, 0)
@@ -87,7 +87,7 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
                   customer: DataFrame, manifest: DataFrame, bank: DataFrame, *, as_of_ts: dt.datetime = AS_OF_TS,
                   tz: str = TZ, go_live_days: int = 30) -> DataFrame:
     as_of_date = as_of_ts.date()
-    now = F.lit(as_of_ts).cast("timestamp_ntz")
+    now = lit_ts(as_of_ts)
     today = lit_date(as_of_date)
     local_today = local_date(now, tz)
     las = ledger_agreement_summary(ledger, as_of=as_of_date).select(

@@ -27,7 +27,21 @@ class Adapter:
         return sorted(set(re.findall(r"(?<!\{)\{([a-z_]+)\}(?!\})", self.sql)))
 
     def spark(self, spark: SparkSession, tables) -> DataFrame:
-        return spark.sql(self.sql, **{t: tables[t] for t in self.inputs})
+        """Parse and analyse the SELECT with TIMESTAMP meaning TIMESTAMP_NTZ, so domain timestamps
+        are wall-clock values (as in the oracle) whatever the caller's session time zone is. The
+        caller's setting is restored right after; the analysed plan keeps the types."""
+        key = "spark.sql.timestampType"
+        old = spark.conf.get(key, None)
+        spark.conf.set(key, "TIMESTAMP_NTZ")
+        try:
+            df = spark.sql(self.sql, **{t: tables[t] for t in self.inputs})
+            df.schema  # noqa: B018  (force analysis while the setting is active)
+        finally:
+            if old is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, old)
+        return df
 
     def duckdb(self) -> str:
         return self.sql.format(**{t: t for t in self.inputs})
