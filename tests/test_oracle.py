@@ -8,11 +8,12 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
+from ledgerline.registry import QUERIES  # noqa: E402
 from tools.compare import digest, duck  # noqa: E402
 
 SF = os.environ.get("LEDGERLINE_TEST_SF", "/root/testdata/sf0.001")
 SQL = E.oracle_sql()
-QS = E.queries()
+QS = {name: build for name, build in E.queries().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -9,9 +9,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
+from ledgerline.registry import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QS = E.queries()
+QS = {name: build for name, build in E.queries().items() if name in QUERIES}
 
 
 def _plan(df):
