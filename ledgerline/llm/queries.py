@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import mark_contamination
+from .packing import pack, token_pieces
+from .simhash import near_duplicate_groups
 from .substring_dedup import remove_repeated_windows
 
 
@@ -22,8 +25,36 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("d.intervals").cast("long").alias("n_intervals"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, tokenizer_path())
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicate_groups(docs, shingle=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = mark_contamination(docs, table(spark, sf_dir, "benchmark"), n=10, out="c")
+    return got.select("doc_id", "c.n_words", "c.n_hit", F.size("c.items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("c.items", ","), 256).alias("items_sha256"),
+                      (F.col("c.n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {}
