@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import mark_contamination
+from .line_dedup import remove_repeated_lines
 from .packing import pack, token_pieces
 from .simhash import near_duplicate_groups
 from .substring_dedup import remove_repeated_windows
+from .toxicity import held_out, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("d.intervals").cast("long").alias("n_intervals"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    got = score_toxicity(docs, labels, out="t")
+    return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "t.score", "t.predicted", "t.evidence")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = remove_repeated_lines(docs, out="d")
+    return got.select("doc_id", "d.n_lines", "d.n_removed", F.sha2("d.kept_text", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -52,6 +67,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
