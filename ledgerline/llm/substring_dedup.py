@@ -3,7 +3,7 @@
 Method: Rabin-Karp hashes of every window of ``n`` consecutive words. Each task hashes its texts with
 prefix sums modulo 2**64, keeps the earliest occurrence of a hash among its own texts (the rest are known
 repeats), and sends the survivors in packed blocks to the partition that owns the hash range. There all
-occurrences of a hash meet, at most one per (input batch, hash), so a passage that a third of the corpus
+occurrences of a hash meet, at most one per (slice of input, hash), so a passage that a third of the corpus
 shares is no hot key. Every occurrence but the earliest is a repeat; repeated windows return to their
 document, where overlapping ones merge into maximal removal intervals.
 
@@ -31,6 +31,7 @@ from ._frames import free_name, order_id, shuffle_partitions, text_key
 from ._words import SPACE_SEPARATED, runs, windows, words
 
 WINDOW = 20
+SLICE_BYTES = 8 << 20       # text whose windows are in a task's memory at once, unless one text is longer
 _MARKS, _ENTRIES = 0, 1
 
 
@@ -85,47 +86,45 @@ def _earliest(hashes, ids, pos) -> tuple[np.ndarray, np.ndarray]:
     return order, (i != i[lead]) | (p != p[lead])
 
 
+def _blocks(ids_all: np.ndarray, keys_all: np.ndarray, texts: pa.Array, n: int, parts: int) -> list[tuple[int, bytes]]:
+    """(owner partition, packed block) of the windows of a slice of texts."""
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    for lo, hi in runs(texts):
+        w = words(texts, SPACE_SEPARATED, lo, hi, nul_is_word=True)
+        first, h = windows(w, n, 0)
+        _, owner = windows(w, n, 1)
+        row = w.doc[first] + lo
+        for c, v in zip(cols, (h, ids_all[row], keys_all[row].astype(np.uint32), w.pos[first].astype(np.int64),
+                               ((owner >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32))):
+            c.append(v)
+        del w
+    h, ids, keys, pos, owner = (np.concatenate(c) for c in cols)
+    del cols
+    rows: list[tuple[int, bytes]] = []
+    order, again = _earliest(h, ids, pos)
+    repeat, keep = order[again], order[~again]
+    del order, again
+    for kind, at, to in ((_MARKS, repeat, (ids[repeat] % parts).astype(np.uint32)), (_ENTRIES, keep, owner[keep])):
+        sort = np.lexsort((pos[at], keys[at], ids[at], to))
+        at, to = at[sort], to[sort]
+        cut = np.searchsorted(to, np.arange(parts + 1))
+        for k in np.unique(to).tolist():
+            x = at[cut[k]:cut[k + 1]]
+            rows.append((k, _pack(kind, ids[x], keys[x], pos[x], h[x] if kind == _ENTRIES else np.zeros(0, np.uint64))))
+    return rows
+
+
 def _scatter(n: int, parts: int):
-    """Arrow task: texts -> packed window blocks, one row a (batch, owner partition)."""
+    """Arrow task: texts -> packed window blocks, one row a (slice of the batch, owner partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_all = batch.column(0).to_numpy(zero_copy_only=False)
-            key_all = batch.column(1).to_numpy(zero_copy_only=False)
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            for lo, hi in runs(batch.column(2)):
-                w = words(batch.column(2), SPACE_SEPARATED, lo, hi, nul_is_word=True)
-                first, h = windows(w, n, 0)
-                _, owner = windows(w, n, 1)
-                row = w.doc[first] + lo
-                for c, v in zip(cols, (h, id_all[row], key_all[row].astype(np.uint32), w.pos[first].astype(np.int64),
-                                       (owner >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32))):
-                    c.append(v)
-            if not cols[0]:
-                continue
-            h, ids, keys, pos, owner = (np.concatenate(c) for c in cols)
-            del cols
-            order, again = _earliest(h, ids, pos)
-            rows: list[tuple[int, bytes]] = []
-            repeat = order[again]
-            if len(repeat):
-                to = repeat[np.argsort(ids[repeat] % parts, kind="stable")]
-                cut = np.searchsorted(ids[to] % parts, np.arange(parts + 1))
-                for k in range(parts):
-                    if cut[k] < cut[k + 1]:
-                        at = to[cut[k]:cut[k + 1]]
-                        at = at[np.lexsort((pos[at], keys[at], ids[at]))]
-                        rows.append((k, _pack(_MARKS, ids[at], keys[at], pos[at], np.zeros(0, np.uint64))))
-            keep = order[~again]
-            keep = keep[np.lexsort((pos[keep], keys[keep], ids[keep], owner[keep]))]
-            cut = np.searchsorted(owner[keep], np.arange(parts + 1).astype(np.uint64))
-            for k in range(parts):
-                if cut[k] < cut[k + 1]:
-                    at = keep[cut[k]:cut[k + 1]]
-                    rows.append((k, _pack(_ENTRIES, ids[at], keys[at], pos[at], h[at])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
-                                                  pa.array([r[1] for r in rows], pa.binary())], ["owner", "block"])
+            ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi in runs(batch.column(2), SLICE_BYTES):
+                rows = _blocks(ids[lo:hi], keys[lo:hi], batch.column(2).slice(lo, hi - lo), n, parts)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                                      pa.array([r[1] for r in rows], pa.binary())], ["owner", "block"])
 
     return run
 
