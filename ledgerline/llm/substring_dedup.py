@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._frames import free_name, order_id, shuffle_partitions, text_key
-from ._words import SPACE_SEPARATED, runs, windows, words
+from ._words import SPACE_SEPARATED, mix, runs, windows, words
 
 WINDOW = 20
 SLICE_BYTES = 8 << 20       # text whose windows are in a task's memory at once, unless one text is longer
@@ -129,28 +129,49 @@ def _scatter(n: int, parts: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow task of one owner partition: all occurrences of its hashes -> repeated starts by document."""
-    entries: list[list[np.ndarray]] = [[], [], [], []]
-    marks: list[list[np.ndarray]] = [[], [], []]
-    for batch in batches:
-        for block in batch.column("block").to_pylist():
-            kind, ids, keys, pos, h = _unpack(block)
-            for c, v in zip(marks if kind == _MARKS else entries, (ids, keys, pos, h)):
+def _meet(parts: int):
+    """Arrow task of one owner partition: all occurrences of its hashes -> repeated starts, packed by document partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: list[list[np.ndarray]] = [[], [], [], []]
+        marks: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for block in batch.column("block"):
+                kind, *cols = _unpack(block.as_py())
+                for c, v in zip(marks if kind == _MARKS else entries, cols):
+                    c.append(v)
+        if entries[0]:
+            ids, keys, pos, h = (np.concatenate(c) for c in entries)
+            del entries
+            order, again = _earliest(h, ids, pos)
+            at = order[again]
+            for c, v in zip(marks, (ids[at], keys[at], pos[at])):
                 c.append(v)
-    if entries[0]:
-        ids, keys, pos, h = (np.concatenate(c) for c in entries)
-        del entries
-        order, again = _earliest(h, ids, pos)
-        at = order[again]
-        for c, v in zip(marks, (ids[at], keys[at], pos[at])):
-            c.append(v)
-        del ids, keys, pos, h, order
-    if not marks[0]:
+            del ids, keys, pos, h, order
+        if not marks[0]:
+            return
+        ids, keys, pos = (np.concatenate(c) for c in marks)
+        to = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        sort = np.lexsort((pos, keys, ids, to))
+        ids, keys, pos, to = ids[sort], keys[sort], pos[sort], to[sort]
+        cut = np.searchsorted(to, np.arange(parts + 1))
+        for k in np.unique(to).tolist():
+            x = slice(cut[k], cut[k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()),
+                                              pa.array([_pack(_MARKS, ids[x], keys[x], pos[x], np.zeros(0, np.uint64))], pa.binary())],
+                                             ["owner", "block"])
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow task of one document partition: packed repeats -> one row a document."""
+    found = [_unpack(block.as_py())[1:4] for batch in batches for block in batch.column("block")]
+    if not found:
         return
-    found = list(_mark_blocks(*(np.concatenate(c) for c in marks)))
-    for i in range(0, len(found), 4096):
-        part = found[i:i + 4096]
+    rows = list(_mark_blocks(*(np.concatenate(c) for c in zip(*found))))
+    for i in range(0, len(rows), 4096):
+        part = rows[i:i + 4096]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()),
              pa.array([r[2] for r in part], pa.binary())], ["_rid", "_rkey", "starts"])
@@ -163,12 +184,8 @@ def _cut(n: int):
             ws = (t.as_py() or "").encode().split()
             n_words.append(len(ws))
             mine, gone = [], 0
-            if blocks.is_valid and len(blocks.as_py()):
-                edge = np.zeros(len(ws) + 1, np.int32)
-                for b in blocks.as_py():
-                    at = np.frombuffer(b, "<u4").cumsum()
-                    edge[at] = 1
-                starts = np.flatnonzero(edge)
+            if blocks.is_valid:
+                starts = np.unique(np.frombuffer(blocks.as_py(), "<u4").cumsum(dtype=np.int64))
                 delta = np.zeros(len(ws) + 1, np.int32)
                 np.add.at(delta, starts, 1)
                 np.add.at(delta, starts + n, -1)
@@ -189,14 +206,13 @@ def _cut(n: int):
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
-    """Starts of repeated windows: (_rid, _rkey, marks: packed start positions), one row a document that has any."""
+    """Starts of repeated windows: (_rid, _rkey, starts: packed positions), one row a document that has any."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     blocks = (docs.select(order_id(id_col), text_key(text_col), F.col(text_col).cast("string"))
               .mapInArrow(_scatter(n, parts), "owner int, block binary"))
-    starts = blocks.repartitionById(parts, F.col("owner")).mapInArrow(_repeats, "_rid long, _rkey long, starts binary")
-    # a document has at most one block a partition, so the list is bounded by its own length
-    return starts.groupBy("_rid", "_rkey").agg(F.collect_list("starts").alias("marks"))
+    met = blocks.repartitionById(parts, F.col("owner")).mapInArrow(_meet(parts), "owner int, block binary")
+    return met.repartitionById(parts, F.col("owner")).mapInArrow(_gather, "_rid long, _rkey long, starts binary")
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW,
