@@ -13,6 +13,7 @@ from .line_dedup import remove_repeated_lines
 from .packing import pack, token_pieces
 from .simhash import near_duplicate_groups
 from .substring_dedup import remove_repeated_windows
+from .topk import top_k
 from .toxicity import held_out, score_toxicity
 
 
@@ -34,6 +35,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "t.score", "t.predicted", "t.evidence")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = remove_repeated_lines(docs, out="d")
@@ -68,10 +73,48 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_exact_topk": op3_exact_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word, len(ws) AS n FROM w),
+        g AS (SELECT w.doc_id, k, array_to_string(ws[k:k + 19], ' ') AS gram FROM w, unnest(range(1, len(ws) - 18)) AS t(k)),
+        f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY gram ORDER BY doc_id, k) > 1 AS again FROM g),
+        c AS (SELECT p.doc_id, p.k, word, n, coalesce(max(again::INT) OVER (PARTITION BY p.doc_id ORDER BY p.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+              FROM p LEFT JOIN f USING (doc_id, k)),
+        a AS (SELECT doc_id, n, gone, word, k, gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) = 0 AS opens FROM c)
+        SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone = 0), '')) AS kept_sha256,
+               count(*) FILTER (WHERE opens)::BIGINT AS n_intervals
+        FROM documents d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id""",
+    "op3_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op10_benchmark_decontamination": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+        bg AS (SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[k:k + least(10, len(ws)) - 1], ' ') AS gram
+               FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS t(k) WHERE len(ws) > 0),
+        sizes AS (SELECT DISTINCT size FROM bg),
+        dg AS (SELECT doc_id, size, k, array_to_string(ws[k:k + size - 1], ' ') AS gram FROM w, sizes, unnest(range(1, len(ws) - size + 2)) AS t(k)),
+        hits AS (SELECT doc_id, k, size, item_id FROM dg JOIN bg USING (size, gram)),
+        covered AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS x FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+                  FROM hits GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
