@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import mark_contamination
+from .html_text import extract_main_text
 from .line_dedup import remove_repeated_lines
 from .packing import pack, token_pieces
+from .pii import BASE_KINDS, find_personal_data
 from .simhash import near_duplicate_groups
 from .substring_dedup import remove_repeated_windows
+from .token_counts import count_tokens
 from .topk import top_k
 from .toxicity import held_out, score_toxicity
 
@@ -57,11 +60,36 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicate_groups(docs, shingle=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary_path(), out="t").select("doc_id", "t.*")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = find_personal_data(docs, out="p")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    base = F.filter("p", lambda s: s.kind.isin(*BASE_KINDS))
+    counts = [F.size(F.filter("p", lambda s: s.kind == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return got.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("p")).alias("spans"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = mark_contamination(docs, table(spark, sf_dir, "benchmark"), n=10, out="c")
@@ -76,7 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_main_text": op6_html_main_text,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_token_counts": op8_token_counts,
+    "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
