@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds of a wall-clock timestamp since 1970-01-01 00:00, whatever the session time zone."""
+    day = F.unix_date(F.to_date(ts)).cast("long")
+    seconds = F.extract(F.lit("SECOND"), ts) * 1_000_000
+    return (day * 1440 + F.hour(ts) * 60 + F.minute(ts)) * 60_000_000 + seconds.cast("long")
+
+
 def whole_units(unit: str, start: Column, end: Column) -> Column:
     """TIMESTAMPDIFF(unit, start, end): whole units, truncated toward zero."""
     return F.timestamp_diff(unit.upper(), start, end)

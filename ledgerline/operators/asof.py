@@ -18,14 +18,15 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
     a key), both sides are unioned into one time line per key and scanned once by a window:
     right rows sort before left rows at the same instant, so "at or before" includes them and
     "after" excludes them. Cost is one shuffle by key and one sort, O(n log n), whatever the
-    number of right rows per key. Right times are de-duplicated first.
+    number of right rows per key. Right times are de-duplicated first. Every left row stays; one with
+    a NULL key or time has no neighbour.
     """
     on = list(on)
     lcols = left.columns
     lt, rt = left.schema[left_time].dataType, right.schema[right_time].dataType
-    tt = lt if lt == rt else "timestamp"
+    tt = lt if lt == rt else "timestamp_ntz"  # wall-clock: no session time zone in the order
     r = (right.select(*[F.col(k) for k in on], F.col(right_time).cast(tt).alias("_t"))
-              .where(F.col("_t").isNotNull()).distinct()
+              .dropna(subset=[*on, "_t"]).distinct()
               .select(*on, "_t", F.lit(0).alias("_side"), F.col("_t").cast(rt).alias("_rt"),
                       *[F.lit(None).cast(left.schema[c].dataType).alias(c)
                         for c in lcols if c not in on]))
@@ -39,10 +40,9 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
         # Right rows sort before left rows at the same instant ("at or before" includes them);
         # in the reversed order left rows come first ("after" stays strict).
         from .ordered import date_chunk, fill_both
-        both = both.withColumn("_tn", -F.unix_micros(F.col("_t").cast("timestamp")))
-        out = fill_both(both, on, [F.col("_t"), F.col("_side")], [F.col("_tn"), -F.col("_side")],
+        out = fill_both(both, on, [F.col("_t"), F.col("_side")], [F.col("_t").desc(), F.col("_side").desc()],
                         date_chunk(F.col("_t")), "_rt", prev_name, next_name)
-        return out.where(F.col("_side") == 1).select(*lcols, prev_name, next_name)
+        return _known_times(out.where(F.col("_side") == 1), prev_name, next_name).select(*lcols, prev_name, next_name)
     w_prev = (Window.partitionBy(*on).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # "after": scan the same time line backwards with a running frame. A frame reaching to the end
@@ -53,4 +53,9 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
     out = (both.withColumn(prev_name, F.last("_rt", ignorenulls=True).over(w_prev))
                .withColumn(next_name, F.last("_rt", ignorenulls=True).over(w_next))
                .where(F.col("_side") == 1))
-    return out.select(*lcols, prev_name, next_name)
+    return _known_times(out, prev_name, next_name).select(*lcols, prev_name, next_name)
+
+
+def _known_times(out: DataFrame, *names: str) -> DataFrame:
+    """No neighbour for a left row without a time: comparisons with NULL match nothing."""
+    return out.withColumns({n: F.when(F.col("_t").isNotNull(), F.col(n)) for n in names})

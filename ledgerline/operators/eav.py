@@ -10,10 +10,9 @@ def eav_value(values: DataFrame, attributes: DataFrame, code: str, entity_type:
               name: str = "value", key: str = "row_id") -> DataFrame:
     """``(key, name)`` rows of one attribute, looked up by its code and entity type, for one store.
 
-    The attribute dictionary filtered to one (code, entity type) pair has a single row, so it
-    is broadcast; the value table is only filtered and never shuffled for the lookup.
+    Adaptive execution broadcasts the filtered attribute dictionary if it proves small; nothing here assumes it.
     """
     attr = attributes.where((F.col("attribute_code") == code) & (F.col("entity_type_id") == entity_type)) \
                      .select("attribute_id")
-    return (values.where(F.col("store_id") == store).join(F.broadcast(attr), "attribute_id")
+    return (values.where(F.col("store_id") == store).join(attr, "attribute_id")
                   .select(key, F.col("value").alias(name)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import wall_micros
+
 
 def asc_key(col: Column, kind: str = "number") -> Column:
     """Turn an ascending sort key into one whose *maximum* is wanted.
@@ -16,7 +18,7 @@ def asc_key(col: Column, kind: str = "number") -> Column:
     if kind == "date":
         return -F.unix_date(col)
     if kind == "timestamp":
-        return -F.unix_micros(col.cast("timestamp"))
+        return -wall_micros(col)
     return -col
 
 

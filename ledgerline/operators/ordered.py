@@ -11,7 +11,8 @@ map side and only one row per (key, chunk) and input partition is shuffled for i
 
 Chunks are computed from the row values only, so every recomputation (retries, lost executors)
 assigns rows the same way. Everything is built-in Spark SQL; nothing is collected. ``order``
-holds plain ascending expressions; negate a value (and its chunk) to scan backwards.
+holds plain ascending expressions. Rows with a NULL key or a NULL ordering value stay: NULL is a key
+and a first chunk of its own, as in a window over the whole key.
 """
 
 from __future__ import annotations
@@ -34,6 +35,19 @@ def _earlier_chunks(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _later_chunks(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(local: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``local`` with the summary of its (key, chunk). NULL keys and NULL chunks are groups like any other, as
+    they are for a window, so the join is null-safe."""
+    names = [*keys, "_c"]
+    renamed = summary.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(names)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    return local.join(renamed, same).drop(*[f"_k{i}" for i in range(len(names))])
+
+
 def _drop(df: DataFrame, *cols: str) -> DataFrame:
     return df.drop(*cols)
 
@@ -45,7 +59,7 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk:
     local = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(*order)))
     summary = base.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
     summary = summary.select(*keys, "_c", F.coalesce(F.sum("_n").over(_earlier_chunks(keys)), F.lit(0)).alias("_off"))
-    out = local.join(summary, [*keys, "_c"])
+    out = _carried(local, summary, keys)
     return _drop(out.withColumn(name, F.col("_rn") + F.col("_off")), "_c", "_rn", "_off")
 
 
@@ -59,26 +73,11 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk:
     summary = base.groupBy(*keys, "_c").agg(F.max_by(F.col(value), _pos(order)).alias("_lastv"))
     prev_chunk = Window.partitionBy(*keys).orderBy("_c")
     summary = summary.select(*keys, "_c", F.lag("_lastv").over(prev_chunk).alias("_carry"))
-    out = local.join(summary, [*keys, "_c"])
+    out = _carried(local, summary, keys)
     out = out.withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
     return _drop(out, "_c", "_lag", "_rn", "_carry")
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, value: str,
-                 name: str) -> DataFrame:
-    """Last non-null ``value`` at or before each row within its key (running frame)."""
-    keys = list(keys)
-    w = (Window.partitionBy(*keys, "_c").orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    base = _chunked(df, chunk)
-    local = base.withColumn("_ff", F.last(value, ignorenulls=True).over(w))
-    summary = base.groupBy(*keys, "_c").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), _pos(order))).alias("_lastv"))
-    summary = summary.select(*keys, "_c", F.last("_lastv", ignorenulls=True).over(_earlier_chunks(keys)).alias("_carry"))
-    out = local.join(summary, [*keys, "_c"])
-    return _drop(out.withColumn(name, F.coalesce(F.col("_ff"), F.col("_carry"))), "_c", "_ff", "_carry")
-
-
 def date_chunk(col: Column, days: int = 32) -> Column:
     """Chunk of a date or timestamp: consecutive spans of ``days`` days."""
     return F.floor(F.unix_date(F.to_date(col)) / days)
@@ -94,7 +93,7 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rev_o
     """Forward fill (last non-null at or before the row along ``order``) and backward fill (first
     non-null at or after the row, i.e. last non-null along ``rev_order``) in one chunked pass.
 
-    ``rev_order`` is the exact reverse of ``order`` (negated values). One partitioning by
+    ``rev_order`` is the exact reverse of ``order`` (descending, so NULL values come last). One partitioning by
     (key, chunk) serves both running windows and one summary per (key, chunk) serves both carries.
     """
     keys = list(keys)
@@ -108,11 +107,10 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rev_o
     summary = base.groupBy(*keys, "_c").agg(
         F.max_by(F.col(value), F.when(present, _pos(order))).alias("_lastv"),
         F.min_by(F.col(value), F.when(present, _pos(order))).alias("_firstv"))
-    later = Window.partitionBy(*keys).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
     summary = summary.select(*keys, "_c",
                              F.last("_lastv", ignorenulls=True).over(_earlier_chunks(keys)).alias("_pcarry"),
-                             F.first("_firstv", ignorenulls=True).over(later).alias("_ncarry"))
-    out = local.join(summary, [*keys, "_c"])
+                             F.last("_firstv", ignorenulls=True).over(_later_chunks(keys)).alias("_ncarry"))
+    out = _carried(local, summary, keys)
     return _drop(out.withColumn(prev_name, F.coalesce(F.col("_ff"), F.col("_pcarry")))
                     .withColumn(next_name, F.coalesce(F.col("_bf"), F.col("_ncarry"))),
                  "_c", "_ff", "_bf", "_pcarry", "_ncarry")

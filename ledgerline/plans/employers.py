@@ -76,7 +76,7 @@ def schedule_tieout(customer: DataFrame, manifest: DataFrame, department: DataFr
     c = for_employer(customer, employer_id).select(F.col("entity_id").alias("customer_id"), "missing_last_paystub")
     em = manifest.where(norm("employment_status") != "terminated").select(
         "customer_id", F.col("id").alias("employee_manifest_id"), "company_code", "pay_frequency")
-    ed = department.where(F.col("status") != "disconnected").select(F.col("department_prefix").alias("company_code"))
+    ed = department.where(norm("status") != "disconnected").select(F.col("department_prefix").alias("company_code"))
     cd = cycle_days.select("pay_frequency", "pay_frequency_cycle_days_w_buffer")
     lp = paystubs.groupBy("employee_manifest_id").agg(F.max("pay_date").alias("last_pay_date"))
     core = (c.join(em, "customer_id").join(ed, "company_code").join(cd, "pay_frequency", "left")
@@ -266,7 +266,7 @@ def sub_employer_summary(manifest: DataFrame, summary: DataFrame, sub_employer:
         F.sum("total_orders").alias("total_order_count"), F.sum("total_order_dollars").alias("total_order_value"))
     es = sub_employer.select("company_code", "sub_employer_status")
     j = se.join(es, "company_code", "left").join(orders.drop("employer_id"), "company_code", "left")
-    st, n = F.col("sub_employer_status"), F.col("total_order_count")
+    st, n = norm("sub_employer_status"), F.col("total_order_count")
     cols = [*se.columns, "sub_employer_status", "employees_with_orders", "total_order_count", "total_order_value",
             F.when(st == "active", 1).alias("active_count"), F.when(st != "active", 1).alias("inactive_count"),
             F.when(n > 0, 1).alias("sub_employer_has_orders")]
@@ -324,7 +324,7 @@ def sub_employer_growth(sub_employer: DataFrame, history: DataFrame, summary: Da
     updated = history.select(   # no employer filter on this branch, as in the source
         F.col("department_prefix").alias("company_code"), cst("created_at").alias("event_date"), "status",
         F.lit("updated").alias("event_type"),
-        F.when(F.col("status") != "active", -1).otherwise(1).alias("sub_employer_count"))
+        F.when(norm("status") != "active", -1).otherwise(1).alias("sub_employer_count"))
     core = added.unionByName(updated)
     se = sub_employer.select("company_code", "sub_employer_name")
     orders = (for_employer(summary, employer_id).where(F.col("total_orders") > 0).groupBy("company_code")

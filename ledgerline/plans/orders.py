@@ -33,12 +33,12 @@ def ledger_agreement_summary(ledger: DataFrame, *, as_of: dt.date = AS_OF) -> Da
     payments, adjustments, pending, future scheduled amount, current balance, last payment
     date, initial payment, and amount / status / comment of the latest payment."""
     live = ledger.where(F.col("cancelled_at").isNull())
-    st, amt, td = F.col("status"), F.col("amount"), F.col("transaction_date")
+    st, amt, td = norm("status"), F.col("amount"), F.col("transaction_date")
     is_pay = st.isin(*PAYMENT_STATUSES)
-    last = F.max_by(F.struct(amt.alias("amount"), st.alias("status"), F.col("comment").alias("comment")),
+    last = F.max_by(F.struct(amt.alias("amount"), F.col("status"), F.col("comment").alias("comment")),
                     F.when(is_pay, F.struct(td, F.col("id"))))
     return live.groupBy("agreement_id").agg(
-        sum_if(st == "Origination", amt).alias("order_total"),
+        sum_if(st == "origination", amt).alias("order_total"),
         sum_if(is_pay, amt).alias("payments"),
         F.coalesce(sum_if(st == "return", amt), F.lit(0).cast("decimal(18,2)")).alias("adjustments"),
         sum_if(st == "past_due", amt).alias("pending"),
@@ -49,12 +49,6 @@ def ledger_agreement_summary(ledger: DataFrame, *, as_of: dt.date = AS_OF) -> Da
         last.alias("_last"))
 
 
-def ledger_last_payment_detail(ledger: DataFrame) -> DataFrame:
-    pays = ledger.where(F.col("cancelled_at").isNull() & F.col("status").isin(*PAYMENT_STATUSES))
-    return latest_per_key(pays, ["agreement_id"], [F.col("transaction_date"), F.col("id")],
-                          ["amount", "status", "comment"])
-
-
 _LEDGER_VIEWS_SQL = """
 las AS (
   SELECT agreement_id,
@@ -85,7 +79,7 @@ CYCLE_MAX_DAYS = [("Bi-Weekly", 14), ("Monthly", 31), ("Semi-Monthly", 15), ("We
 def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: DataFrame, employer: DataFrame,
                   supplemental: DataFrame, signups: DataFrame, ledger: DataFrame, past_due: DataFrame,
                   customer: DataFrame, manifest: DataFrame, bank: DataFrame, *, as_of_ts: dt.datetime = AS_OF_TS,
-                  tz: str = TZ, go_live_days: int = 30) -> DataFrame:
+                  tz: str = TZ, go_live_days: int = 30, include_sensitive: bool = False) -> DataFrame:
     as_of_date = as_of_ts.date()
     now = lit_ts(as_of_ts)
     today = lit_date(as_of_date)
@@ -103,16 +97,14 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
                            [F.col("agreement_id")], "cust_order_sequence",
                            chunk=id_chunk(F.col("agreement_id"))).drop("customer_id")
     em = manifest.where(F.col("customer_id").isNotNull())
-    acct = F.concat(F.lit("XXXX"), F.substring("bank_account_number", -4, 4))
+    # accounts are told apart by their whole number and only then masked
+    full = F.array_sort(F.collect_set("bank_account_number"))
+    shown = full if include_sensitive else F.array_sort(F.transform(full, lambda x: F.concat(F.lit("XXXX"), F.substring(x, -4, 4))))
     banks = (em.select("customer_id", "employee_id", "employer_id")
                .join(bank, ["employee_id", "employer_id"])
                .join(customer.select(F.col("entity_id").alias("customer_id")), "customer_id")
                .groupBy("customer_id").agg(text_list(F.col("bank_routing_number"), ",").alias("bank_routings"),
-                                           text_list(acct, ",").alias("bank_accounts")))
-    cycle_types = (em.groupBy(prefix_before(F.col("pay_cycle"), ":").alias("cycle_type")).agg(F.count("*").alias("n"))
-                     .join(literal_table(spark, CYCLE_MAX_DAYS, "cycle_type string, cycle_max_days int"),
-                           "cycle_type", "left")
-                     .select("cycle_type", "cycle_max_days"))
+                                           F.nullif(F.array_join(shown, ","), F.lit("")).alias("bank_accounts")))
     c = summary.select(
         F.col("entity_id").alias("customer_id"), "firstname", "lastname", "employer_name", "employer_detail_name",
         "salary", "employment_schedule", "start_date", "credit_limit", "first_order", "total_orders", "created_at",
@@ -133,7 +125,7 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
           .join(apd, "agreement_id", "left")
           .join(balances, "customer_id", "left")
           .join(seq, "agreement_id", "left").join(banks, "customer_id", "left")
-          .join(cycle_types, "cycle_type", "left"))
+          .withColumn("cycle_max_days", label([(F.col("cycle_type") == k, n) for k, n in CYCLE_MAX_DAYS])))
     col = F.col
     base = j.select(
         F.concat(col("firstname"), F.lit(" "), col("lastname")).alias("customer_name"),
@@ -224,8 +216,7 @@ order_sequence AS (
 bank_accounts AS (
   SELECT c.entity_id AS customer_id,
          string_agg(DISTINCT bank_routing_number, ',' ORDER BY bank_routing_number) AS bank_routings,
-         string_agg(DISTINCT 'XXXX' || right(bank_account_number, 4), ','
-                    ORDER BY 'XXXX' || right(bank_account_number, 4)) AS bank_accounts
+         array_to_string(list_sort(list_transform(list_distinct(list(bank_account_number)), lambda x: 'XXXX' || right(x, 4))), ',') AS bank_accounts
   FROM customer_entity c JOIN employee_manifest em ON c.entity_id = em.customer_id
        JOIN customer_bank cb ON em.employee_id = cb.employee_id AND em.employer_id = cb.employer_id
   GROUP BY c.entity_id),

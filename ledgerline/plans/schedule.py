@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import label, split_cents, step_date
 from ..operators import asof_prev_next, expand_periods
 from ..registry import register, with_domain
-from .common import AS_OF, d, for_employer, lit_date
+from .common import AS_OF, d, for_employer, lit_date, norm
 
 # ---------------------------------------------------------------------------------------------
 # R11
@@ -42,7 +42,7 @@ def agreements_with_paystubs(agreements: DataFrame, manifest: DataFrame, paystub
 
 def generate_schedule(agreements: DataFrame, manifest: DataFrame, paystubs: DataFrame,
                       pay_frequency_terms: DataFrame, *, employer_id: int | None = None,
-                      max_periods: int = 104, with_paystubs: DataFrame | None = None) -> DataFrame:
+                      max_periods: int | None = None, with_paystubs: DataFrame | None = None) -> DataFrame:
     """``with_paystubs``: the result of :func:`agreements_with_paystubs` when the caller already
     has it (reports that need it twice compute the as-of lookup once)."""
     a = with_paystubs if with_paystubs is not None else \
@@ -158,11 +158,14 @@ def _q_generate_schedule(spark, t):
 
 def schedule_start_compare(ledger: DataFrame, agreements: DataFrame, manifest: DataFrame,
                            status_attributes: DataFrame, schedule: DataFrame, *,
+                           ledger_statuses: DataFrame | None = None,
                            employer_id: int | None = None, as_of: dt.date = AS_OF) -> DataFrame:
+    """``ledger_statuses``: the table that lists the statuses of the first-date block, where it is not the one with the
+    payment attributes."""
     a = for_employer(agreements, employer_id)
-    known = status_attributes.select("status")
-    l = ledger.join(known, "status")
-    first_ledger = (l.where(F.col("status").isin("scheduled", "paid_payroll_deduction", "past_due"))
+    known = (status_attributes if ledger_statuses is None else ledger_statuses).select(norm("status").alias("_known"))
+    l = ledger.join(known, norm("status") == F.col("_known"))
+    first_ledger = (l.where(norm("status").isin("scheduled", "paid_payroll_deduction", "past_due"))
                      .join(a.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
                      .groupBy("customer_id", "agreement_id")
                      .agg(F.min("transaction_date").alias("first_schedule_per_ledger")))
@@ -170,8 +173,8 @@ def schedule_start_compare(ledger: DataFrame, agreements: DataFrame, manifest: D
         F.min("schedule_date").alias("first_schedule_per_model"),
         F.sum(F.when(F.col("schedule_date") < lit_date(as_of), F.col("amount"))).alias("expected_per_model"))
     em = manifest.where(F.col("customer_id").isNotNull()).select("customer_id", "pay_frequency")
-    pay_status = status_attributes.where(F.col("count_as_payment") == "Yes").select("status")
-    paid = (ledger.where(F.col("cancelled_at").isNull()).join(pay_status, "status")
+    pay_status = status_attributes.where(norm("count_as_payment") == "yes").select(norm("status").alias("_pays"))
+    paid = (ledger.where(F.col("cancelled_at").isNull()).join(pay_status, norm("status") == F.col("_pays"))
                   .join(a.select(F.col("id").alias("agreement_id"), "customer_id"), "agreement_id")
                   .join(em.select("customer_id"), "customer_id")
                   .groupBy("agreement_id").agg(F.sum("amount").alias("paid_amount")))
@@ -243,15 +246,15 @@ def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest:
     live = ledger.where(F.col("cancelled_at").isNull())
     # Payments and ledger schedule rows come from one scan of the ledger: each row emits a
     # payment entry, a schedule entry (sign flipped), both or none, depending on its status.
-    flags = status_attributes.select("status", (F.col("count_as_payment") == "Yes").alias("_pay"),
-                                     (F.col("include_in_schedule_calculation") == "Yes").alias("_sched"))
+    flags = status_attributes.select(norm("status").alias("_flag"), (norm("count_as_payment") == "yes").alias("_pay"),
+                                     (norm("include_in_schedule_calculation") == "yes").alias("_sched"))
     entry = F.explode(F.array(
         F.when(F.col("_pay"), F.struct(F.to_date("created_at").alias("effective_date"), F.col("amount").alias("amount"),
                                        F.lit("payments").alias("analysis_source"))),
-        F.when(F.col("_sched") & (F.col("_astatus") != "cancelled"),
+        F.when(F.col("_sched") & (norm("_astatus") != "cancelled"),
                F.struct(F.col("transaction_date").alias("effective_date"), (-F.col("amount")).alias("amount"),
                         F.lit("schedule_ledger").alias("analysis_source")))))
-    ledger_rows = (live.join(flags, "status").join(a_ids, "agreement_id")
+    ledger_rows = (live.join(flags, norm("status") == F.col("_flag")).join(a_ids, "agreement_id")
                        .select("agreement_id", "transaction_date", "status", entry.alias("_e"))
                        .where(F.col("_e").isNotNull())
                        .select("agreement_id", F.col("_e.effective_date").alias("effective_date"), "transaction_date",

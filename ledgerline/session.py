@@ -7,7 +7,6 @@ only fills in what is unset so it never overrides an operator's configuration.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,30 +33,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
-    for k, v in DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    running = SparkSession.getActiveSession()
+    if running is None:
+        for k, v in DEFAULTS.items():
+            builder = builder.config(k, v)
+        if shuffle_partitions:
+            builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting points at shared storage and is left alone. Only when it is unset
-    (local tests) a scratch folder is created for it.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
-
-
 def local_session(cpus: int | None = None, driver_memory: str = "12g") -> SparkSession:
     """Single-machine session (tests, benchmark). In local mode the driver JVM is the only
     executor, so its heap is the memory of the whole job."""

@@ -3,13 +3,15 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import (band, flag_list, json_present, json_str, label, path_part, prefix_before,
                                   shift_weekend, split_cents, step_date, text_list, trim_leading, whole_units)
-from ledgerline.functions.dates import first_of
+from ledgerline.functions.dates import first_of, wall_micros
 from ledgerline.functions.money import exact_div
-from ledgerline.operators import asof_prev_next, expand_periods, gaps, latest_per_key, mode_per_key, semi_flag
+from ledgerline.operators import asof_prev_next, expand_periods, gaps, latest_per_key, mode_per_key, semi_flag, sequence_per_key
+from ledgerline.operators.ordered import date_chunk
 from ledgerline.plans.common import norm
 
 
@@ -44,8 +46,49 @@ def test_step_date_month_end_and_half_month(spark):
 
 def test_expand_periods_bounds(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 104), (4, 105)], "id int, n int")
-    counts = {r.id: r.c for r in expand_periods(df, "n", 104).groupBy("id").agg(F.count("*").alias("c")).collect()}
-    assert counts == {2: 1, 3: 104, 4: 104}
+    counts = {r.id: r.c for r in expand_periods(df, "n").groupBy("id").agg(F.count("*").alias("c")).collect()}
+    assert counts == {2: 1, 3: 104, 4: 105}
+    with pytest.raises(Exception, match="more than 104 periods: 105"):
+        expand_periods(df, "n", 104).collect()
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_chunked_operators_keep_null_keys_and_null_order(spark):
+    rows = [(1, "2021-01-01"), (1, "2021-03-09"), (1, None), (None, "2021-02-02"), (None, "2021-02-12"), (None, None), (2, None)]
+    df = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "k int, i int, t string").withColumn("t", F.col("t").cast("date"))
+    got = gaps(df, ["k"], "t", order=["i"])
+    assert got.count() == len(rows) and _rows(got) == _rows(gaps(df, ["k"], "t", order=["i"], balanced=False))
+    balanced = sequence_per_key(df, ["k"], [F.col("t"), F.col("i")], chunk=date_chunk(F.col("t")))
+    assert _rows(balanced) == _rows(sequence_per_key(df, ["k"], [F.col("t"), F.col("i")]))
+    right = spark.createDataFrame([(1, "2021-01-05"), (None, "2021-02-05"), (2, None), (2, "2021-05-05")], "k int, r string") \
+        .withColumn("r", F.col("r").cast("date"))
+    both = [asof_prev_next(df, right, ["k"], "t", "r", balanced=b) for b in (True, False)]
+    assert _rows(both[0]) == _rows(both[1]) and both[0].count() == len(rows)
+    found = {r.i: (str(r.prev), str(r.next)) for r in both[0].collect()}
+    assert found == {0: ("None", "2021-01-05"), 1: ("2021-01-05", "None"), **{i: ("None", "None") for i in (2, 3, 4, 5, 6)}}
+
+
+def test_long_term_sums_to_its_total(spark):
+    df = spark.createDataFrame([(1, 130, Decimal("1000.01"))], "id int, n int, total decimal(18,2)")
+    base, rest = split_cents(F.col("total"), F.col("n"))
+    x = expand_periods(df.select("*", base.alias("b"), rest.alias("r")), "n", name="k")
+    amount = F.col("b") + F.when(F.col("k") + 1 == F.col("n"), F.col("r")).otherwise(F.lit(0))
+    assert x.agg(F.count("*"), F.sum(amount)).first()[:] == (130, Decimal("1000.01"))
+
+
+def test_clock_change_does_not_reorder_wall_clock_values(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        times = ["2021-03-14 01:59:59.5", "2021-03-14 02:30:00", "2021-03-14 03:10:00", "2021-11-07 01:30:00.000001"]
+        df = spark.createDataFrame([(t,) for t in times], "t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+        got = [r.m for r in df.select(wall_micros(F.col("t")).alias("m"), "t").orderBy("t").collect()]
+        assert got == sorted(got) and got[1] - got[0] == 1_800_500_000 + 0 and got[3] % 1_000_000 == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_band_edges(spark):
