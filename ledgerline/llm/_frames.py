@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST_ID = (1 << 63) - 1
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` from here on, unless the session has a smaller bound: what a Python task holds
+    at once then follows neither the rows nor the length of the texts (one text is the least)."""
+    if int(spark.conf.get(_BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+
+
+def text_of(df: DataFrame, col: str) -> Column:
+    """The text column as a string, to be handed to a Python function in bounded batches."""
+    bounded_batches(df.sparkSession)
+    return F.col(col).cast("string")
+
+
 def order_id(col: str) -> Column:
     """Document id as a never-null sort key: null ids come last."""
     return F.coalesce(F.col(col).cast("long"), F.lit(LAST_ID))

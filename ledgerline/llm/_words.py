@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20          # texts are hashed in runs of about this size to bound memory
+CHUNK_BYTES = 1_000_000         # texts are hashed in runs of about this size to bound memory
 _BYTE_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _U64 = np.uint64

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name
+from ._frames import free_name, text_of
 from ._words import ALNUM_LOWER, Words, runs, windows, words
 
 WINDOW = 10
@@ -127,7 +127,7 @@ def _items_table(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Da
                  pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.binary())],
                 ["item", "length", "hash", "words"])
 
-    return benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")) \
+    return benchmark.select(F.col(id_col).cast("string"), text_of(docs, text_col)) \
         .mapInArrow(expand, "item string, length int, hash long, words binary").distinct()
 
 
@@ -158,15 +158,15 @@ def _hits_by_join(docs: DataFrame, text_col: str, items: DataFrame, out: str, n:
         return _struct(rows)
 
     key, hits = free_name(docs, "_text_key"), free_name(docs, "_hits")
-    digest = F.sha2(F.col(text_col).cast("string"), 256)
-    texts = docs.select(digest.alias("key"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").dropDuplicates(["key"])
+    digest = F.sha2(text_of(docs, text_col), 256)
+    texts = docs.select(digest.alias("key"), text_of(docs, text_col).alias("text")).where("text IS NOT NULL").dropDuplicates(["key"])
     grams = items.groupBy("length", "hash", "words").agg(F.collect_set("item").alias("items"))
     found = (texts.mapInArrow(explode, "key string, first int, length int, hash long, words binary")
              .join(grams, ["length", "hash", "words"])
              .groupBy("key").agg(F.collect_list(F.struct("first", "length", "items")).alias(hits))
              .withColumnRenamed("key", key))
     joined = docs.withColumn(key, digest).join(found, key, "left")
-    return joined.withColumn(out, F.arrow_udf(merge, _TYPE)(F.col(text_col).cast("string"), F.col(hits))).drop(key, hits)
+    return joined.withColumn(out, F.arrow_udf(merge, _TYPE)(text_of(docs, text_col), F.col(hits))).drop(key, hits)
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -181,7 +181,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         return _hits_by_join(docs, text_col, items, out, n)
     rows = [(r.item, r.length, r.hash & (1 << 64) - 1, bytes(r.words)) for r in items.toLocalIterator()]
     shared = spark.sparkContext.broadcast(_Index(rows))
-    return docs.withColumn(out, _scanner(shared)(F.col(text_col).cast("string")))
+    return docs.withColumn(out, _scanner(shared)(text_of(docs, text_col)))
 
 
 def _keep_clean(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -208,6 +208,6 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     out = free_name(docs, "_contamination")
     marked = mark_contamination(docs, benchmark, text_col, out=out, **options)
     kept = marked.where(F.col(f"{out}.n_hit") <= F.col(f"{out}.n_words") * max_share)
-    cut = F.arrow_udf(_keep_clean, "string")(F.col(text_col).cast("string"), F.col(f"{out}.spans"))
+    cut = F.arrow_udf(_keep_clean, "string")(text_of(docs, text_col), F.col(f"{out}.spans"))
     text = F.when(F.col(f"{out}.n_hit") > 0, cut).otherwise(F.col(text_col))
     return kept.withColumn(text_col, text).drop(out)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import text_of
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
                   r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S)
@@ -243,4 +245,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text
     def of(batch: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py()) for x in batch], pa.string())
 
-    return pages.withColumn(out, F.arrow_udf(of, "string")(F.col(html_col).cast("string")))
+    return pages.withColumn(out, F.arrow_udf(of, "string")(text_of(pages, html_col)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name, order_id, stash, text_key
+from ._frames import free_name, order_id, stash, text_key, text_of
 
 MIN_LINES, LONG_WORDS = 3, 50
 _BACK, _AHEAD = 2, 4           # lines carried before a fingerprint, and from it on
@@ -70,7 +70,7 @@ def _emit(long_words: int):
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
                   long_words: int = LONG_WORDS) -> DataFrame:
     """(id, key, runs): for each document with a later repeat, its ranges of line numbers (end exclusive)."""
-    fps = stash(docs.select(order_id(id_col), text_key(text_col), F.col(text_col).cast("string")).mapInArrow(_emit(long_words), _FPS))
+    fps = stash(docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col)).mapInArrow(_emit(long_words), _FPS))
     first = stash(fps.groupBy("h").agg(F.min(F.struct("id", "pos", "key", "near")).alias("s"), F.count("*").alias("n")).where("n > 1"))
     later = fps.join(first, "h").where(F.struct("id", "pos") > F.struct("s.id", "s.pos"))
     equal = F.zip_with("near", "s.near", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -113,4 +113,4 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = repeated_runs(docs, id_col, text_col, **options).toDF(rid, rkey, runs)
     named = docs.withColumns({rid: order_id(id_col), rkey: text_key(text_col)})
     cut = F.arrow_udf(_cut, "kept_text string, n_lines long, n_removed long")
-    return named.join(found, [rid, rkey], "left").withColumn(out, cut(F.col(text_col).cast("string"), F.col(runs))).drop(rid, rkey, runs)
+    return named.join(found, [rid, rkey], "left").withColumn(out, cut(text_of(docs, text_col), F.col(runs))).drop(rid, rkey, runs)

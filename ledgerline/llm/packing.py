@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._frames import stash
+from ._frames import bounded_batches, stash, text_of
 
 CAPACITY, END_ID = 2048, 0
 OPEN_BINS = 1 << 16
 TASK_PIECES = 100_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r" ?[^ \n]+|\n")
 _UNUSUAL = re.compile(r"\s\s|[^\S \n]|<\||^[ ]|\s$")
 _encoders: dict[str, tuple[tiktoken.Encoding, dict[str, bytes]]] = {}
@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         return pa.array(out, pa.list_(kind))
 
     pieces = F.arrow_udf(cut, "array<struct<piece int, start long, length long, ids binary>>")
-    return docs.select(F.col(id_col), F.explode(pieces(F.col(text_col).cast("string"))).alias("p")).select(id_col, "p.*")
+    return docs.select(F.col(id_col), F.explode(pieces(text_of(docs, text_col))).alias("p")).select(id_col, "p.*")
 
 
 class BestFit:
@@ -137,6 +137,7 @@ class BestFit:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """``pieces`` (any columns, with a ``length`` of at most ``capacity``) plus sequence_id and offset."""
+    bounded_batches(pieces.sparkSession)
     pieces = stash(pieces)
     tasks = max(1, math.ceil(pieces.count() / task_pieces))
     more = [StructField("sequence_id", LongType()), StructField("offset", LongType())]

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import text_of
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "login")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -151,7 +153,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", out: str = "pii"
         rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_spans(t.as_py())] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
-    return docs.withColumn(out, F.arrow_udf(of, _SPANS)(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(of, _SPANS)(text_of(docs, text_col)))
 
 
 def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,4 +169,4 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
             rows.append("".join([*parts, raw[at:]]) if parts else raw)
         return pa.array(rows, pa.string())
 
-    return docs.withColumn(text_col, F.arrow_udf(of, "string")(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, F.arrow_udf(of, "string")(text_of(docs, text_col)))

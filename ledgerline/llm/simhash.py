@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import LAST_ID, free_name, order_id, stash, text_key
+from ._frames import LAST_ID, free_name, order_id, stash, text_key, text_of
 from .components import connected_components
 
 SHINGLE, MAX_BITS = 3, 2
@@ -52,11 +52,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text_col: str, shingle: int = SHINGLE):
+def fingerprint_column(docs: DataFrame, text_col: str, shingle: int = SHINGLE):
     def of(text: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in text], np.uint64).view(np.int64), pa.int64())
 
-    return F.arrow_udf(of, "long")(F.col(text_col).cast("string"))
+    return F.arrow_udf(of, "long")(text_of(docs, text_col))
 
 
 def _far(points: np.ndarray, one: np.uint64) -> np.ndarray:
@@ -212,7 +212,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row a row of ``docs``: ``id_col``, fingerprint (16 lowercase hex digits), component_id (least id reachable),
     and first (true for the one text that stands for its group: the least id, then the least text key)."""
     rows = stash(docs.select(order_id(id_col).alias("id"), text_key(text_col).alias("key"),
-                             fingerprint_column(text_col, shingle).alias("fp")))
+                             fingerprint_column(docs, text_col, shingle).alias("fp")))
     least = stash(rows.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("rep")))
     comps = stash(connected_components(link_fingerprints(least, max_bits)))
     known = least.join(comps, least.fp == comps.node, "left") \

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name, order_id, shuffle_partitions, text_key
+from ._frames import free_name, order_id, shuffle_partitions, text_key, text_of
 from ._words import SPACE_SEPARATED, mix, runs, windows, words
 
 WINDOW = 20
@@ -209,7 +209,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Starts of repeated windows: (_rid, _rkey, starts: packed positions), one row a document that has any."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    blocks = (docs.select(order_id(id_col), text_key(text_col), F.col(text_col).cast("string"))
+    blocks = (docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col))
               .mapInArrow(_scatter(n, parts), "owner int, block binary"))
     met = blocks.repartitionById(parts, F.col("owner")).mapInArrow(_meet(parts), "owner int, block binary")
     return met.repartitionById(parts, F.col("owner")).mapInArrow(_gather, "_rid long, _rkey long, starts binary")
@@ -223,4 +223,4 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = repeated_starts(docs, id_col, text_col, n).toDF(rid, rkey, marks)
     named = docs.withColumns({rid: order_id(id_col), rkey: text_key(text_col)})
     joined = named.join(found, [rid, rkey], "left")
-    return joined.withColumn(out, _cut(n)(F.col(text_col).cast("string"), F.col(marks))).drop(rid, rkey, marks)
+    return joined.withColumn(out, _cut(n)(text_of(docs, text_col), F.col(marks))).drop(rid, rkey, marks)

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import text_of
+
 WORD_MARK = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"[^ \t-\r]+")
 _DEAD = -1
 _TYPE = "n_words long, n_tokens long, n_unknown long"
@@ -120,4 +122,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
             unknown.append(lost)
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (words, tokens, unknown)], ["n_words", "n_tokens", "n_unknown"])
 
-    return docs.withColumn(out, F.arrow_udf(of, _TYPE)(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(of, _TYPE)(text_of(docs, text_col)))

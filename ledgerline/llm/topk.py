@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import shuffle_partitions
+from ._frames import bounded_batches, shuffle_partitions
 
 SCALE, K = 1024, 10
 FIRST_STEP, STEP = 32, 4       # entries read of each list before the first look at the bounds; then so many times as many
@@ -126,6 +126,7 @@ def _integers(scale: int):
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE,
           shards: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best inner products of each query among all other vectors."""
+    bounded_batches(vectors.sparkSession)
     cells = shards or shuffle_partitions(vectors.sparkSession)
     rows = max(1, round(math.sqrt(cells / 100)))  # queries are about a hundredth of the candidates
     across = max(1, cells // rows)

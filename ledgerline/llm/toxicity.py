@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name
+from ._frames import free_name, text_of
 from ._words import ALNUM_LOWER
 
 MAX_EXAMPLES = 20_000
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna() \
         .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     # at most max_examples rows of two numbers
     examples = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     terms = select_terms(examples)
@@ -258,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()),
                                            pa.array(evidence, pa.list_(pa.int64()))], ["score", "predicted", "evidence"])
 
-    return docs.withColumn(out, F.arrow_udf(of, _TYPE)(F.col(text_col).cast("string")))
+    return docs.withColumn(out, F.arrow_udf(of, _TYPE)(text_of(docs, text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
