@@ -127,7 +127,7 @@ def _items_table(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Da
                  pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.binary())],
                 ["item", "length", "hash", "words"])
 
-    return benchmark.select(F.col(id_col).cast("string"), text_of(docs, text_col)) \
+    return benchmark.select(F.col(id_col).cast("string"), text_of(benchmark, text_col)) \
         .mapInArrow(expand, "item string, length int, hash long, words binary").distinct()
 
 
