@@ -1,8 +1,8 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted lists.
 
 Learning: up to ``max_examples`` labelled texts (a bounded, documented sample: those with the smallest hash of their id). Terms
-are words and word beginnings of 4 to 6 bytes; those that tell the labels apart are selected by chi-square among the
-examples (presence counts), with a minimum support (3 texts, and 1 % of the toxic ones) and lift. One more term, present in every text, stands for the rest, so
+are words and word beginnings of 4 to 6 bytes; those that mark toxic examples are selected by chi-square
+(presence counts), with a minimum support (3 texts, and 1 % of the toxic ones) and lift. One more term, present in every text, stands for the rest, so
 that any two texts have a defined cosine. Document frequencies are counted over all texts of ``docs``.
 
 Scoring: a text's weights are (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), scaled to unit length. Equal example vectors are one
@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name, text_of
-from ._words import ALNUM_LOWER
+from ._frames import free_name, stash, text_of
+from ._words import ALNUM_LOWER, runs
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 512
+MAX_TERMS, MAX_CANDIDATES = 512, 20_000
 NEIGHBOURS = 15
 BLOCK = 64
 MIN_SUPPORT, MIN_SHARE, MIN_CHI_SQUARE, MIN_LIFT = 3, 0.01, 40.0, 3.0
@@ -52,34 +52,46 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow task: (toxic, text) -> (term, examples with it, toxic ones among them), summed a batch."""
-    for b in batches:
-        every: Counter = Counter()
-        toxic: Counter = Counter()
-        for label, text in zip(b.column(0).to_pylist(), b.column(1)):
-            mine = {t for w in set(_split(text.as_py())) for t in _terms(w)}
-            every.update(mine)
-            if label:
-                toxic.update(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(every.keys(), pa.binary()), pa.array(every.values(), pa.int64()),
-                                          pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "toxic"])
+def _count_terms(wanted=None):
+    """Arrow task: texts -> (term, texts with it), summed over slices of a batch; ``wanted``: only these terms (a broadcast set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in runs(b.column(0)):
+                counts: Counter = Counter()
+                for text in b.column(0).slice(lo, hi - lo):
+                    mine = {t for w in set(_split(text.as_py())) for t in _terms(w)}
+                    counts.update(mine if wanted is None else mine & wanted.value)
+                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+
+    return run
+
+
+def _presence(texts: DataFrame, wanted=None) -> DataFrame:
+    return texts.select(text_of(texts, "text")).mapInArrow(_count_terms(wanted), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
-    """The terms that tell toxic from other examples best: at most ``max_terms``, by chi-square of presence."""
+    """The terms that mark toxic examples best: at most ``max_terms``, by chi-square of presence.
+
+    Candidates are the terms that most toxic examples have (``MAX_CANDIDATES`` of those with the support);
+    only these are counted among all examples.
+    """
     examples = examples.dropDuplicates(["text", "toxic"])  # copies of a text are one witness for its words
     total, toxic = examples.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == total:
         return []
-    counts = examples.select("toxic", "text").mapInArrow(_count_terms, "term binary, n long, toxic long") \
-        .groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
-    n, a, rate = F.col("n").cast("double"), F.col("a").cast("double"), toxic / total
-    chi = F.pow(a - n * rate, 2) * total / (n * rate * (1 - rate) * F.greatest(total - n, F.lit(1.0)))
-    lift = (a / n) / rate
-    best = counts.where((n >= max(MIN_SUPPORT, MIN_SHARE * toxic)) & (chi >= MIN_CHI_SQUARE) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))) \
-        .orderBy(chi.desc(), "term").limit(max_terms)
-    return [bytes(r.term) for r in best.select("term").collect()]
+    candidates = {bytes(r.term): r.n for r in _presence(examples.where("toxic = 1")).where(F.col("n") >= max(MIN_SUPPORT, MIN_SHARE * toxic))
+                  .orderBy(F.col("n").desc(), "term").limit(MAX_CANDIDATES).collect()}
+    wanted = examples.sparkSession.sparkContext.broadcast(set(candidates))
+    rate, best = toxic / total, []
+    for r in _presence(examples, wanted).collect():  # at most MAX_CANDIDATES rows
+        term, n = bytes(r.term), r.n
+        a = candidates[term]
+        chi = (a - n * rate) ** 2 * total / (n * rate * (1 - rate) * max(total - n, 1))
+        if chi >= MIN_CHI_SQUARE and a / n / rate >= MIN_LIFT:
+            best.append((-chi, term))
+    return [term for _, term in sorted(best)[:max_terms]]
 
 
 class Vocabulary:
@@ -230,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
     # at most max_examples rows of two numbers
-    examples = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    examples = stash(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
     terms = select_terms(examples)
     shared = spark.sparkContext.broadcast(Vocabulary(terms))
     rows = [(r.id, dict(r.counts), r.toxic) for r in
