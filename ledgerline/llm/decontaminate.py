@@ -169,45 +169,72 @@ def _hits_by_join(docs: DataFrame, text_col: str, items: DataFrame, out: str, n:
     return joined.withColumn(out, F.arrow_udf(merge, _TYPE)(text_of(docs, text_col), F.col(hits))).drop(key, hits)
 
 
+def _broadcast(benchmark: DataFrame, item_col: str, item_text_col: str, n: int, most: int):
+    """The index as a broadcast, or None if the benchmark may need more than ``most`` bytes."""
+    size = benchmark.agg(F.sum(F.octet_length(text_of(benchmark, item_text_col)))).first()[0] or 0
+    if size * n > most:  # each byte of an item lies in at most n windows
+        return None
+    rows = [(r.item, r.length, r.hash & (1 << 64) - 1, bytes(r.words)) for r in _items_table(benchmark, item_col, item_text_col, n).toLocalIterator()]
+    return benchmark.sparkSession.sparkContext.broadcast(_Index(rows))
+
+
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                        item_text_col: str = "text", n: int = WINDOW, out: str = "contamination",
                        broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit (hit words), items (ids of the items found, sorted) and
     spans (maximal ranges of hit words, end exclusive)."""
-    spark = docs.sparkSession
-    items = _items_table(benchmark, item_col, item_text_col, n)
-    size = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
-    if size * n > broadcast_bytes:  # each byte of an item lies in at most n windows
-        return _hits_by_join(docs, text_col, items, out, n)
-    rows = [(r.item, r.length, r.hash & (1 << 64) - 1, bytes(r.words)) for r in items.toLocalIterator()]
-    shared = spark.sparkContext.broadcast(_Index(rows))
+    shared = _broadcast(benchmark, item_col, item_text_col, n, broadcast_bytes)
+    if shared is None:
+        return _hits_by_join(docs, text_col, _items_table(benchmark, item_col, item_text_col, n), out, n)
     return docs.withColumn(out, _scanner(shared)(text_of(docs, text_col)))
 
 
-def _keep_clean(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts without the words of ``spans``; what separated a removed range from the text before it goes with it."""
+def _without(text: pa.Array, spans: list[list[dict]]) -> list[str | None]:
+    """Texts without the words of ``spans``; what separated a removed range from the text before it stays, what lies inside goes."""
     out = []
     for t, ranges in zip(text, spans):
-        cuts = ranges.as_py()
-        if not t.is_valid or not cuts:
-            out.append(t.as_py())
-            continue
-        raw = t.as_py().encode()
-        w = words(pa.array([t.as_py()]), ALNUM_LOWER, 0, 1)
-        parts, at = [], 0
-        for c in cuts:
-            parts.append(raw[at:w.start[c["start"]]])
-            at = int(w.end[c["end"] - 1])
-        out.append(b"".join([*parts, raw[at:]]).decode())
-    return pa.array(out, pa.string())
+        raw = t.as_py()
+        if raw is not None and ranges:
+            w = words(pa.array([raw]), ALNUM_LOWER, 0, 1)
+            data, parts, at = raw.encode(), [], 0
+            for c in ranges:
+                parts.append(data[at:w.start[c["start"]]])
+                at = int(w.end[c["end"] - 1])
+            raw = b"".join([*parts, data[at:]]).decode()
+        out.append(raw)
+    return out
+
+
+def _cleaner(shared):
+    """Scan and cut in one function, so that a task holds one Python worker: n_words, n_hit and the clean text."""
+    def clean(text: pa.Array) -> pa.Array:
+        rows = []
+        for lo, hi in runs(text):
+            w = words(text, ALNUM_LOWER, lo, hi)
+            found = list(_results(w, list(shared.value.hits(w))))
+            rows += [(r[0], r[1], t) for r, t in zip(found, _without(text.slice(lo, hi - lo), [r[3] for r in found]))]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                           pa.array([r[2] for r in rows], pa.string())], ["n_words", "n_hit", "text"])
+
+    return F.arrow_udf(clean, "n_words long, n_hit long, text string")
+
+
+def _cut_marked(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array(_without(text, spans.to_pylist()), pa.string())
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_share: float = 0.5, **options) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text", n: int = WINDOW, max_share: float = 0.5,
+                         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without contamination, columns unchanged: a text with more than ``max_share`` of its words hit goes,
     and from the others the hit words go. Clean texts stay as they are."""
     out = free_name(docs, "_contamination")
-    marked = mark_contamination(docs, benchmark, text_col, out=out, **options)
+    shared = _broadcast(benchmark, item_col, item_text_col, n, broadcast_bytes)
+    if shared is None:
+        marked = mark_contamination(docs, benchmark, text_col, item_col, item_text_col, n, out, broadcast_bytes)
+        clean = F.arrow_udf(_cut_marked, "string")(text_of(docs, text_col), F.col(f"{out}.spans"))
+    else:
+        marked = docs.withColumn(out, _cleaner(shared)(text_of(docs, text_col)))
+        clean = F.col(f"{out}.text")
     kept = marked.where(F.col(f"{out}.n_hit") <= F.col(f"{out}.n_words") * max_share)
-    cut = F.arrow_udf(_keep_clean, "string")(text_of(docs, text_col), F.col(f"{out}.spans"))
-    text = F.when(F.col(f"{out}.n_hit") > 0, cut).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, text).drop(out)
+    return kept.withColumn(text_col, F.when(F.col(f"{out}.n_hit") > 0, clean).otherwise(F.col(text_col))).drop(out)

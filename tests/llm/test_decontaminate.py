@@ -61,10 +61,11 @@ def test_empty_tables(spark, docs_of):
     assert mark_contamination(docs_of([(1, "a")]).limit(0), spark.createDataFrame(BENCH_ROWS, BENCH)).count() == 0
 
 
-def test_removal(spark, docs_of):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_removal(spark, docs_of, limit):
     rows = [(1, "keep this text as it is and a long tail that is clean, so it stays; then " + P + " and more words follow here."),
             (2, P), (3, "Clean  text, unchanged!\n"), (4, None)]
-    got = {r.doc_id: r.text for r in remove_contamination(docs_of(rows), spark.createDataFrame([("b", P)], BENCH)).collect()}
+    got = {r.doc_id: r.text for r in remove_contamination(docs_of(rows), spark.createDataFrame([("b", P)], BENCH), broadcast_bytes=limit).collect()}
     assert set(got) == {1, 3, 4}
     assert got[3] == rows[2][1] and got[4] is None
     assert got[1] == "keep this text as it is and a long tail that is clean, so it stays; then  and more words follow here."
