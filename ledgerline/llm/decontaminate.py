@@ -216,7 +216,8 @@ def _cleaner(shared):
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                            pa.array([r[2] for r in rows], pa.string())], ["n_words", "n_hit", "text"])
 
-    return F.arrow_udf(clean, "n_words long, n_hit long, text string")
+    # not declared deterministic, or the filter on its result would be pushed below it and scan each text a second time
+    return F.arrow_udf(clean, "n_words long, n_hit long, text string").asNondeterministic()
 
 
 def _cut_marked(text: pa.Array, spans: pa.Array) -> pa.Array:
