@@ -6,7 +6,6 @@ sources/    reading tables and mapping raw tables to the domain tables the repor
 functions/  Column-level helpers (labels, bands, dates, JSON fields, paths, cents, text lists)
 operators/  DataFrame-level operators (latest per key, as-of lookup, gaps, mode, schedule expansion, ...)
 plans/      the report pipelines, one function per report
-streaming/  nothing: every report reads its tables once (see README)
 """
 
 __all__ = ["session"]

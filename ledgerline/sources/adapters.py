@@ -163,7 +163,8 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 
 _adapter("ledger", """
 SELECT l_orderkey AS agreement_id,
-       ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS id,
+       CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-'
+         || CAST(l_linenumber AS STRING) AS id,
        CAST(l_shipdate AS DATE) AS transaction_date,
        CAST(CAST(l_shipdate AS DATE) - CAST(l_linenumber AS INT) AS TIMESTAMP) AS created_at,
        CASE WHEN l_returnflag = 'N' THEN 'scheduled'
@@ -221,7 +222,7 @@ _adapter("agreements_past_due", """
 SELECT o_orderkey AS agreement_id, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
        CAST(o_orderdate AS DATE) + 45 AS due_date
 FROM {orders}
-WHERE o_orderkey % 6 = 0
+WHERE o_orderpriority = '1-URGENT'
 """)
 
 _adapter("employer_subemployer_detail", """
@@ -241,13 +242,13 @@ FROM {customer}
 _adapter("agreement_deduction_variances", """
 SELECT o_orderkey AS agreement_id, CAST((o_orderkey % 13) - 6 AS DECIMAL(18,2)) AS variance
 FROM {orders}
-WHERE o_orderkey % 5 = 0
+WHERE o_orderpriority = '2-HIGH'
 """)
 
 _adapter("ledger_exceptions", """
 SELECT o_orderkey AS agreement_id, 'exception: ' || o_orderpriority AS message
 FROM {orders}
-WHERE o_orderkey % 9 = 0
+WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
 """)
 
 _adapter("employee_manifest_order_log", """
@@ -279,7 +280,7 @@ SELECT o_orderkey AS agreement_id,
          AS calc_payment_after_ip,
        CAST(o_orderkey % 17 AS DECIMAL(18,2)) AS variance
 FROM {orders}
-WHERE o_orderkey % 7 = 0
+WHERE o_orderpriority = '3-MEDIUM'
 """)
 
 # Scoring records: event_id % 3 selects the record kind (0 fast track, 1 full score, 2 score null).
@@ -327,12 +328,12 @@ _adapter("sso_login_attempts", """
 SELECT CASE WHEN c_custkey % 5 = 0 THEN 'guest' || CAST(c_custkey AS STRING) || '@example.com'
             ELSE lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END AS email,
        c_nationkey AS employer_id, 1 AS attempt
-FROM {customer} WHERE c_custkey % 3 < 2
+FROM {customer}
 UNION ALL
 SELECT CASE WHEN c_custkey % 5 = 0 THEN 'guest' || CAST(c_custkey AS STRING) || '@example.com'
             ELSE lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END AS email,
        c_nationkey AS employer_id, 2 AS attempt
-FROM {customer} WHERE c_custkey % 3 < 2
+FROM {customer}
 """)
 
 _adapter("quote", """
@@ -383,7 +384,7 @@ _adapter("scoring_clarity_score", """
 SELECT c_custkey AS customer_id, CAST(600 + c_custkey % 250 AS INT) AS clarity_score,
        CAST(480 + c_custkey % 150 AS INT) AS clear_credit_risk_score,
        CAST(520 + c_custkey % 300 AS INT) AS vantage_4_score
-FROM {customer} WHERE c_custkey % 4 <> 0
+FROM {customer} WHERE c_acctbal < 7500
 """)
 
 _adapter("customer_supplemental", """
@@ -395,7 +396,7 @@ SELECT c_custkey AS customer_id,
        CASE WHEN c_custkey % 3 = 0 THEN 'paystub_model' ELSE 'base_model' END AS scoring_model_type,
        CASE WHEN c_custkey % 2 = 0 THEN 'paystub' ELSE 'base' END AS customer_scoring_model_type,
        CASE WHEN c_custkey % 19 = 0 THEN 'research note ' || CAST(c_custkey AS STRING) END AS paychex_research_notes
-FROM {customer} WHERE c_custkey % 11 <> 5
+FROM {customer} WHERE c_acctbal < 9000
 """)
 
 _adapter("customer_signups", """
@@ -413,11 +414,12 @@ UNION ALL
 SELECT c_custkey + 5000000 AS employee_id, c_nationkey AS employer_id,
        '0' || CAST(21000000 + c_custkey % 11 AS STRING) AS bank_routing_number,
        CAST(70000000 + c_custkey * 3 AS STRING) AS bank_account_number
-FROM {customer} WHERE c_custkey % 3 = 0
+FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
 """)
 
 _adapter("sales_order_item", """
-SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS item_id,
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-'
+         || CAST(l_linenumber AS STRING) AS item_id,
        l_orderkey AS order_id, l_partkey AS product_id, 'SKU-' || CAST(l_partkey AS STRING) AS sku,
        'Product ' || CAST(l_partkey AS STRING) AS name,
        CAST(l_quantity AS DECIMAL(12,4)) AS qty_ordered,
@@ -448,7 +450,8 @@ FROM {lineitem}
 """)
 
 _adapter("sales_order_item_product_hierarchy", """
-SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS item_id,
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-'
+         || CAST(l_linenumber AS STRING) AS item_id,
        'Catalog' AS category_l2, p_type AS category_l3, p_brand AS category_l4,
        CASE WHEN p_size > 25 THEN 'Large' ELSE 'Small' END AS category_l5,
        CASE WHEN p_size % 10 = 0 THEN 'Clearance' END AS category_l6
@@ -464,7 +467,7 @@ FROM {lineitem}
 # Web requests: page_id % 5 = 0 is the checkout page, 1 the provider-transition landing page,
 # some pages are shop paths, the rest keep the path of their URL.
 _adapter("requests", """
-SELECT page_id AS id, page_id % 150 AS session_id,
+SELECT page_id AS id, page_id % (SELECT max(user_id) + 1 FROM {events}) AS session_id,
        CASE WHEN page_id % 5 = 0 THEN '/checkout'
             WHEN page_id % 5 = 1 THEN '/pinwheel/transition'
             WHEN page_id % 7 = 2 THEN '/shop/product/' || CAST(page_id % 40 AS STRING) || '/item-' || CAST(page_id % 13 AS STRING)
@@ -472,7 +475,7 @@ SELECT page_id AS id, page_id % 150 AS session_id,
             WHEN page_id % 7 = 4 THEN '/account/'
             ELSE regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) END AS path,
        'GET' AS method,
-       CAST(CAST(DATE '2024-01-31' AS STRING) || ' ' || lpad(CAST(page_id % 24 AS STRING), 2, '0') || ':00:00' AS TIMESTAMP)
+       CAST(CAST(DATE '2024-01-31' - CAST(page_id % 4 AS INT) AS STRING) || ' ' || lpad(CAST(page_id % 24 AS STRING), 2, '0') || ':00:00' AS TIMESTAMP)
          AS created_at
 FROM {pages}
 """)
@@ -510,7 +513,7 @@ SELECT DISTINCT user_id * 10 + event_id % 3 AS id,
        '{{"cc_type": "' || CASE WHEN (user_id + event_id % 3) % 2 = 0 THEN 'VI' ELSE 'MC' END ||
        '", "cc_last4": "' || lpad(CAST((user_id * 37 + event_id % 3 * 11) % 10000 AS STRING), 4, '0') || '"}}'
          AS additional
-FROM {events} WHERE (user_id * 10 + event_id % 3) % 7 <> 4
+FROM {events} WHERE event_type <> 'purchase'
 """)
 
 # EAV catalogue. fixed values: attribute ids of the catalogue
@@ -567,7 +570,7 @@ FROM {part}
 
 _adapter("catalog_product_entity_varchar", """
 SELECT p_partkey + 100000 AS row_id, 73 AS attribute_id, 0 AS store_id, p_name AS value FROM {part}
-UNION ALL SELECT p_partkey + 100000, 73, 1, upper(p_name) FROM {part} WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey + 100000, 73, 1, upper(p_name) FROM {part} WHERE p_size > 30
 """)
 
 _adapter("catalog_product_entity_int", """
@@ -576,11 +579,11 @@ SELECT p_partkey + 100000 AS row_id, 97 AS attribute_id, 0 AS store_id,
 """)
 
 _adapter("catalog_category_product", """
-SELECT p_partkey AS product_id, 200 + p_partkey % 25 AS category_id FROM {part} WHERE p_partkey % 11 <> 0
+SELECT p_partkey AS product_id, 200 + p_partkey % 25 AS category_id FROM {part} WHERE p_size < 46
 UNION ALL
-SELECT p_partkey, 1000 + 5 * (p_partkey % 25) + p_partkey % 5 FROM {part} WHERE p_partkey % 7 = 0
+SELECT p_partkey, 1000 + 5 * (p_partkey % 25) + p_partkey % 5 FROM {part} WHERE p_size > 40
 UNION ALL
-SELECT p_partkey, 100 + p_partkey % 5 FROM {part} WHERE p_partkey % 13 = 0
+SELECT p_partkey, 100 + p_partkey % 5 FROM {part} WHERE p_size IN (10, 42)
 """)
 
 _adapter("scoring_tiers", """
@@ -606,5 +609,5 @@ SELECT c_custkey AS customer_id,
        CAST(c_acctbal AS DECIMAL(18,2)) AS purchase_total,
        CASE WHEN c_custkey % 2 = 0 THEN CAST(DATE '2000-06-01' + CAST(c_custkey % 400 AS INT) AS TIMESTAMP) END
          AS resolved_at
-FROM {customer} WHERE c_custkey % 3 = 0
+FROM {customer}
 """)
