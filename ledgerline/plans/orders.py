@@ -50,23 +50,20 @@ def ledger_agreement_summary(ledger: DataFrame, *, as_of: dt.date = AS_OF) -> Da
 
 
 _LEDGER_VIEWS_SQL = """
+live AS (
+  SELECT agreement_id, id, transaction_date, amount, status, comment, lower(rtrim(status)) AS st,
+         lower(rtrim(status)) IN ('initial_payment', 'paid_payroll_deduction') AS pays
+  FROM ledger WHERE cancelled_at IS NULL),
 las AS (
-  SELECT agreement_id,
-         sum(CASE WHEN status = 'Origination' THEN amount END) AS order_total,
-         sum(CASE WHEN status IN ('paid_payroll_deduction', 'initial_payment') THEN amount END) AS payments,
-         coalesce(sum(CASE WHEN status = 'return' THEN amount END), 0) AS adjustments,
-         sum(CASE WHEN status = 'past_due' THEN amount END) AS pending,
-         sum(CASE WHEN status = 'scheduled' AND transaction_date > DATE '2001-06-30' THEN amount END) AS scheduled_future,
-         sum(amount) AS current_balance,
-         max(CASE WHEN status IN ('paid_payroll_deduction', 'initial_payment') THEN transaction_date END)
-           AS last_payment_received
-  FROM ledger WHERE cancelled_at IS NULL GROUP BY agreement_id),
-lpd AS (
-  SELECT agreement_id, amount, status, comment FROM (
-    SELECT agreement_id, amount, status, comment,
-           row_number() OVER (PARTITION BY agreement_id ORDER BY transaction_date DESC, id DESC) AS rn
-    FROM ledger WHERE cancelled_at IS NULL AND status IN ('paid_payroll_deduction', 'initial_payment')) x
-  WHERE rn = 1)
+  SELECT agreement_id, sum(amount) AS agreement_current_balance, sum(amount) FILTER (st = 'origination') AS order_total,
+         sum(amount) FILTER (pays) AS payments, ifnull(sum(amount) FILTER (st = 'return'), 0) AS adjustments,
+         sum(amount) FILTER (st = 'past_due') AS pending,
+         sum(amount) FILTER (st = 'scheduled' AND transaction_date > DATE '2001-06-30') AS scheduled_future,
+         sum(amount) FILTER (st = 'initial_payment') AS initial_payment,
+         max(transaction_date) FILTER (pays) AS last_payment_received,
+         first({'amount': amount, 'status': status, 'comment': comment} ORDER BY transaction_date DESC, id DESC)
+           FILTER (pays) AS newest
+  FROM live GROUP BY agreement_id)
 """
 
 # fixed values: pay-cycle type -> longest cycle in days
@@ -203,122 +200,87 @@ _R03_DOMAIN = _CES_DOMAIN + ["scoring_clarity_score", "customer_supplemental", "
                              "agreements_past_due", "customer_bank"]
 
 _R03_SQL = "WITH " + _CES_SQL + "," + _LEDGER_VIEWS_SQL + f""",
-balances AS (
-  SELECT customer_id, sum(current_balance) AS current_balance
-  FROM las JOIN agreements a ON las.agreement_id = a.id JOIN customer_entity c ON a.customer_id = c.entity_id
-  GROUP BY customer_id),
-initial_payments AS (
-  SELECT agreement_id, round(sum(amount), 2) AS initial_payment FROM ledger
-  WHERE status = 'initial_payment' AND cancelled_at IS NULL GROUP BY agreement_id),
-order_sequence AS (
-  SELECT customer_id, id, row_number() OVER (PARTITION BY customer_id ORDER BY id) AS cust_order_sequence
-  FROM agreements),
-bank_accounts AS (
-  SELECT c.entity_id AS customer_id,
-         string_agg(DISTINCT bank_routing_number, ',' ORDER BY bank_routing_number) AS bank_routings,
-         array_to_string(list_sort(list_transform(list_distinct(list(bank_account_number)), lambda x: 'XXXX' || right(x, 4))), ',') AS bank_accounts
-  FROM customer_entity c JOIN employee_manifest em ON c.entity_id = em.customer_id
-       JOIN customer_bank cb ON em.employee_id = cb.employee_id AND em.employer_id = cb.employer_id
-  GROUP BY c.entity_id),
-cycle_days AS (
-  SELECT cycle_type,
-         CASE cycle_type WHEN 'Bi-Weekly' THEN 14 WHEN 'Monthly' THEN 31 WHEN 'Semi-Monthly' THEN 15
-                         WHEN 'Weekly' THEN 7 END AS cycle_max_days
-  FROM (SELECT CASE WHEN strpos(pay_cycle, ':') > 0 THEN substring(pay_cycle, 1, strpos(pay_cycle, ':') - 1)
-                    ELSE '' END AS cycle_type, count(1) AS num_employees
-        FROM employee_manifest WHERE customer_id IS NOT NULL GROUP BY 1) b),
-base_data AS (
-  SELECT c.firstname || ' ' || c.lastname AS customer_name, a.date_created AS agreement_created,
-    c.employer_name AS partner, c.employer_detail_name, c.salary, c.employment_schedule AS ft_pt,
-    {sql_months_diff("c.start_date", "DATE '2001-06-30'")} AS tenure_months,
-    cc.clarity_score, cc.clear_credit_risk_score, cc.vantage_4_score, a.magento_order_number,
-    a.status AS agreement_status, c.credit_limit AS spending_limit,
-    c.credit_limit - balances.current_balance AS customer_spending_limit_remaining, a.total AS purchase_amount,
-    las.order_total, las.payments, las.adjustments, las.pending, las.scheduled_future, a.term,
-    CAST(a.term AS BIGINT) AS term_months, a.payments AS payment_amt, c.first_order,
-    c.total_orders - 1 AS number_prior_purchases, CAST(c.created_at AS DATE) AS registered_date,
-    c.customer_score AS bme_score, balances.current_balance AS customer_current_balance,
-    las.current_balance AS agreement_current_balance, las.last_payment_received, a.id AS agreement_id,
-    c.entity_id AS customer_id, e.scoring_model_type, e.go_live_date, csu.salary AS salary_self_reported,
-    csu.tenure AS tenure_self_reported, csu.employer_name AS employer_self_reported,
-    initial_payments.initial_payment, order_sequence.cust_order_sequence,
-    last_payment_received AS last_payment_received_date,
-    datediff('day', last_payment_received, DATE '2001-06-30') AS days_since_payment,
-    apd.amount AS past_due_amount, datediff('day', apd.due_date, DATE '2001-06-30') AS days_past_due,
-    {sql_exact_div("-initial_payments.initial_payment", "a.total", 6)} AS ip_pct,
-    c.start_date AS employee_start_date,
-    {sql_months_diff("c.start_date", "a.date_created")} AS tenure_months_at_order,
-    1 AS total_orders, CASE WHEN apd.amount > 0 THEN 1 ELSE 0 END AS orders_past_due, c.employment_status,
-    bank_accounts.bank_routings, bank_accounts.bank_accounts, cycle_days.cycle_type, cycle_days.cycle_max_days,
-    c.deduction_due_days, lpd.amount AS last_payment_amount, lpd.status AS last_payment_type,
-    lpd.comment AS last_payment_comment
-  FROM ces c
-  JOIN agreements a ON c.entity_id = a.customer_id
-  LEFT JOIN scoring_clarity_score cc ON c.entity_id = cc.customer_id
-  LEFT JOIN employer e ON c.employer_id = e.employer_id
-  LEFT JOIN customer_supplemental cs ON c.entity_id = cs.customer_id
-  LEFT JOIN customer_signups csu ON cs.customer_signup_id = csu.id
-  LEFT JOIN las ON a.id = las.agreement_id
-  LEFT JOIN agreements_past_due apd ON a.id = apd.agreement_id
-  LEFT JOIN lpd ON a.id = lpd.agreement_id
-  LEFT JOIN balances ON a.customer_id = balances.customer_id
-  LEFT JOIN initial_payments ON a.id = initial_payments.agreement_id
-  LEFT JOIN order_sequence ON a.id = order_sequence.id
-  LEFT JOIN bank_accounts ON a.customer_id = bank_accounts.customer_id
-  LEFT JOIN cycle_days ON CASE WHEN strpos(c.pay_cycle, ':') > 0 THEN substring(c.pay_cycle, 1, strpos(c.pay_cycle, ':') - 1)
-                               ELSE '' END = cycle_days.cycle_type),
-ip_bands AS (
-  SELECT base_data.*, CASE WHEN ip_pct BETWEEN .095 AND .105 THEN '10_pct' WHEN ip_pct BETWEEN .245 AND .255 THEN '25_pct'
-                           WHEN ip_pct BETWEEN .495 AND .505 THEN '50_pct' END AS ip_band
-  FROM base_data),
-bands AS (
-  SELECT ip_bands.*, CASE WHEN ip_band IS NULL THEN 'fast_track' ELSE ip_band END AS fast_track_status,
-    CASE WHEN tenure_months_at_order BETWEEN 0 AND 6 THEN '0-6' WHEN tenure_months_at_order BETWEEN 7 AND 9 THEN '7-9'
-         WHEN tenure_months_at_order BETWEEN 10 AND 12 THEN '10-12' ELSE '12+' END AS tenure_band_at_order,
-    CASE WHEN scoring_model_type = 'paystub_model' THEN 'paystub_model'
-         WHEN clear_credit_risk_score IS NULL THEN 'base_model - no score required'
-         WHEN clear_credit_risk_score <= 500 THEN '0-500' WHEN clear_credit_risk_score <= 550 THEN '501-550'
-         WHEN clear_credit_risk_score <= 575 THEN '551-575' WHEN clear_credit_risk_score <= 600 THEN '576-600'
-         WHEN clear_credit_risk_score > 600 THEN '600+' END AS clear_credit_risk_band,
-    CASE WHEN agreement_created > DATE '2001-06-30' - 15 THEN 'agreement within last 15 days'
-         WHEN days_since_payment > 120 THEN '121+' WHEN days_since_payment > 90 THEN '91-120'
-         WHEN days_since_payment > 60 THEN '61-90' WHEN days_since_payment > 30 THEN '31-60'
-         WHEN days_since_payment > 15 THEN '15-30' WHEN days_since_payment > 0 THEN '0-30'
-         ELSE 'no payments made' END AS days_since_payment_band,
-    cycle_max_days + deduction_due_days AS max_agreement_duration,
-    agreement_created + (cycle_max_days + deduction_due_days) AS agreement_latest_start,
-    CAST(agreement_created + (cycle_max_days + deduction_due_days) + to_months(CAST(term_months AS INT)) AS DATE)
-      AS agreement_latest_end
-  FROM ip_bands),
-today AS (SELECT CAST(timezone('America/Chicago', timezone('UTC', TIMESTAMP '2001-06-30 03:00:00')) AS DATE) AS d),
-all_data AS (
-  SELECT bands.*,
-    CASE WHEN agreement_latest_end < (SELECT d FROM today) THEN 'Agreement Period Complete'
-         ELSE 'Agreement Period Still Open' END AS agreement_period_evaluation,
-    CASE WHEN agreement_latest_end <= agreement_created THEN NULL
-         WHEN (SELECT d FROM today) >= agreement_latest_end THEN CAST(1 AS DECIMAL(28,4))
-         WHEN (SELECT d FROM today) <= agreement_created THEN CAST(0 AS DECIMAL(28,4))
-         ELSE {sql_exact_div("datediff('day', agreement_created, (SELECT d FROM today))",
-                             "datediff('day', agreement_created, agreement_latest_end)", 4, unit=1)} END
-      AS pct_agreement_duration_elapsed,
-    {sql_exact_div("-(payments + adjustments)", "order_total", 6)} AS pct_order_paid_off,
-    CASE WHEN go_live_date >= DATE '2001-06-30' - 30 THEN 'employer go-live within last 30 days'
-         ELSE 'employer go-live over 30 days ago' END AS employer_go_live_category
-  FROM bands)
-SELECT all_data.*,
-  CASE WHEN employer_go_live_category = 'employer go-live within last 30 days' THEN past_due_amount
-       WHEN lower(rtrim(employment_status)) = 'terminated' THEN agreement_current_balance
-       WHEN agreement_period_evaluation = 'Agreement Period Complete' THEN agreement_current_balance
-       WHEN days_since_payment > (cycle_max_days * 2) THEN agreement_current_balance
-       WHEN days_since_payment_band = 'no payments made' THEN agreement_current_balance
-       ELSE past_due_amount END AS past_due_amount_adjusted,
-  CASE WHEN employer_go_live_category = 'employer go-live within last 30 days' THEN 'employer go-live within last 30 days'
-       WHEN lower(rtrim(employment_status)) = 'terminated' THEN 'terminated employee'
-       WHEN agreement_period_evaluation = 'Agreement Period Complete' THEN 'Agreement Period Complete'
-       WHEN days_since_payment > (cycle_max_days * 2) THEN 'No payment in last two pay cycles'
-       WHEN days_since_payment_band = 'no payments made' THEN 'No payments made'
-       ELSE 'Standard System Past-Due' END AS past_due_amount_adjusted_reason
-FROM all_data
+clock AS (SELECT DATE '2001-06-30' AS today,
+                 CAST(timezone('America/Chicago', timezone('UTC', TIMESTAMP '2001-06-30 03:00:00')) AS DATE) AS here),
+owed AS (
+  SELECT ag.customer_id, sum(las.agreement_current_balance) AS customer_current_balance
+  FROM agreements ag JOIN las ON las.agreement_id = ag.id JOIN customer_entity c ON c.entity_id = ag.customer_id
+  GROUP BY ag.customer_id),
+accounts AS (
+  SELECT em.customer_id, array_to_string(list_sort(list(DISTINCT cb.bank_routing_number)), ',') AS bank_routings,
+         array_to_string(list_sort([concat('XXXX', right(x, 4)) for x in list(DISTINCT cb.bank_account_number)]), ',') AS bank_accounts
+  FROM employee_manifest em JOIN customer_bank cb USING (employee_id, employer_id)
+  WHERE em.customer_id IN (SELECT entity_id FROM customer_entity) GROUP BY em.customer_id),
+cycles AS (FROM (VALUES ('Bi-Weekly', 14), ('Monthly', 31), ('Semi-Monthly', 15), ('Weekly', 7)) AS v(cycle_type, cycle_max_days)),
+orders AS (   -- the agreement with everything known about its buyer; today's dates beside it
+  SELECT ag.id AS agreement_id, ag.customer_id, ag.magento_order_number, ag.date_created AS agreement_created,
+         ag.status AS agreement_status, ag.total AS purchase_amount, ag.term, CAST(ag.term AS BIGINT) AS term_months,
+         ag.payments AS payment_amt, count(*) OVER (PARTITION BY ag.customer_id ORDER BY ag.id) AS cust_order_sequence,
+         c.firstname || ' ' || c.lastname AS customer_name, c.employer_name AS partner, c.employer_detail_name, c.salary,
+         c.employment_schedule AS ft_pt, c.credit_limit AS spending_limit, c.first_order, c.start_date AS employee_start_date,
+         c.total_orders - 1 AS number_prior_purchases, CAST(c.created_at AS DATE) AS registered_date, c.employment_status,
+         c.customer_score AS bme_score, c.deduction_due_days,
+         if(contains(c.pay_cycle, ':'), split_part(c.pay_cycle, ':', 1), '') AS cycle_type,
+         cc.clarity_score, cc.clear_credit_risk_score, cc.vantage_4_score, e.scoring_model_type, e.go_live_date,
+         su.salary AS salary_self_reported, su.tenure AS tenure_self_reported, su.employer_name AS employer_self_reported,
+         due.amount AS past_due_amount, clock.today - due.due_date AS days_past_due,
+         las.* EXCLUDE (agreement_id, newest), las.newest.amount AS last_payment_amount,
+         las.newest.status AS last_payment_type, las.newest.comment AS last_payment_comment,
+         las.last_payment_received AS last_payment_received_date,
+         clock.today - las.last_payment_received AS days_since_payment, clock.*
+  FROM clock, agreements ag
+  JOIN ces c ON c.entity_id = ag.customer_id
+  LEFT JOIN las ON las.agreement_id = ag.id LEFT JOIN agreements_past_due due ON due.agreement_id = ag.id
+  LEFT JOIN employer e ON e.employer_id = c.employer_id LEFT JOIN scoring_clarity_score cc ON cc.customer_id = ag.customer_id
+  LEFT JOIN customer_supplemental sp ON sp.customer_id = ag.customer_id
+  LEFT JOIN customer_signups su ON su.id = sp.customer_signup_id),
+measured AS (
+  SELECT orders.*, cycle_max_days, owed.customer_current_balance, accounts.bank_routings, accounts.bank_accounts,
+         spending_limit - owed.customer_current_balance AS customer_spending_limit_remaining,
+         {sql_exact_div("-initial_payment", "purchase_amount", 6)} AS ip_pct,
+         {sql_months_diff("employee_start_date", "today")} AS tenure_months,
+         {sql_months_diff("employee_start_date", "agreement_created")} AS tenure_months_at_order,
+         cycle_max_days + deduction_due_days AS max_agreement_duration,
+         agreement_created + (cycle_max_days + deduction_due_days) AS agreement_latest_start,
+         {sql_exact_div("-(payments + adjustments)", "order_total", 6)} AS pct_order_paid_off
+  FROM orders LEFT JOIN cycles USING (cycle_type) LEFT JOIN owed USING (customer_id) LEFT JOIN accounts USING (customer_id)),
+ended AS (
+  SELECT measured.*, CAST(agreement_latest_start + to_months(CAST(term AS INT)) AS DATE) AS agreement_latest_end,
+         CASE WHEN ip_pct BETWEEN 0.095 AND 0.105 THEN '10_pct' WHEN ip_pct BETWEEN 0.245 AND 0.255 THEN '25_pct'
+              WHEN ip_pct BETWEEN 0.495 AND 0.505 THEN '50_pct' END AS ip_band,
+         CASE WHEN scoring_model_type = 'paystub_model' THEN scoring_model_type
+              WHEN clear_credit_risk_score IS NULL THEN 'base_model - no score required'
+              ELSE (SELECT min_by(name, top) FROM (VALUES (500, '0-500'), (550, '501-550'), (575, '551-575'), (600, '576-600'),
+                                                         (2147483647, '600+')) AS v(top, name)
+                    WHERE clear_credit_risk_score <= top) END AS clear_credit_risk_band,
+         CASE WHEN today - agreement_created < 15 THEN 'agreement within last 15 days'
+              ELSE ifnull((SELECT max_by(name, above) FROM (VALUES (0, '0-30'), (15, '15-30'), (30, '31-60'), (60, '61-90'),
+                                                                  (90, '91-120'), (120, '121+')) AS v(above, name)
+                           WHERE days_since_payment > above), 'no payments made') END AS days_since_payment_band,
+         ifnull((SELECT min_by(name, top) FROM (VALUES (6, '0-6'), (9, '7-9'), (12, '10-12')) AS v(top, name)
+                 WHERE tenure_months_at_order >= 0 AND tenure_months_at_order <= top), '12+') AS tenure_band_at_order,
+         'employer go-live ' || if(today - go_live_date <= 30, 'within last 30 days', 'over 30 days ago')
+           AS employer_go_live_category
+  FROM measured),
+judged AS (
+  SELECT *, CASE WHEN today - go_live_date <= 30 THEN 'employer go-live within last 30 days'
+                 WHEN lower(rtrim(employment_status)) = 'terminated' THEN 'terminated employee'
+                 WHEN here > agreement_latest_end THEN 'Agreement Period Complete'
+                 WHEN days_since_payment > 2 * cycle_max_days THEN 'No payment in last two pay cycles'
+                 WHEN days_since_payment_band = 'no payments made' THEN 'No payments made'
+                 ELSE 'Standard System Past-Due' END AS past_due_amount_adjusted_reason
+  FROM ended)
+SELECT * EXCLUDE (today, here), 1 AS total_orders, CAST(ifnull(past_due_amount > 0, false) AS INT) AS orders_past_due,
+       ifnull(ip_band, 'fast_track') AS fast_track_status,
+       'Agreement Period ' || if(here > agreement_latest_end, 'Complete', 'Still Open') AS agreement_period_evaluation,
+       -- elapsed share of the period, between 0 and 1; unknown for an empty period or an unknown end today
+       CASE WHEN agreement_latest_end <= agreement_created THEN NULL WHEN here <= agreement_created AND NOT ifnull(here >= agreement_latest_end, false) THEN 0
+            WHEN here >= agreement_latest_end THEN 1
+            ELSE {sql_exact_div("(here - agreement_created)", "(agreement_latest_end - agreement_created)", 4, unit=1)} END
+         AS pct_agreement_duration_elapsed,
+       if(past_due_amount_adjusted_reason IN ('employer go-live within last 30 days', 'Standard System Past-Due'),
+          past_due_amount, agreement_current_balance) AS past_due_amount_adjusted
+FROM judged
 """
 
 
@@ -382,26 +344,25 @@ _R09_DOMAIN = ["sales_order_item", "sales_order", "agreements", "employer", "emp
                "sales_order_item_product_hierarchy", "customer_supplemental", "employer_department", "calendar",
                "sales_creditmemo"]
 _R09_SQL = """
-WITH core AS (
-  SELECT soi.order_id, soi.item_id, soi.product_id, soi.sku, soi.name AS product_name, soi.qty_ordered,
-    soi.qty_refunded, soi.qty_shipped, soi.base_row_total, soi.created_at AS sales_order_item_created,
-    soi.amount_refunded, soi.fulfillment_cost, soi.fulfillment_shipping_cost,
-    coalesce(soi.fulfillment_vendor, 'unknown') AS fulfillment_vendor, a.id AS agreement_id, a.magento_order_number,
-    a.status AS agreement_status, a.sale_date, e.name AS employer_name, em.employment_status,
-    ed.status AS disconnect_status, em.start_date, em.salary, cs.gender, cs.is_fast_track, cs.scoring_points_bme,
-    c.week_start_date, cm.created_at AS returned_date_approximate,
-    CASE WHEN cm.created_at >= a.sale_date THEN datediff('day', a.sale_date, cm.created_at) END AS days_purchase_to_return,
-    soiph.category_l2, soiph.category_l3, soiph.category_l4, soiph.category_l5, soiph.category_l6
-  FROM sales_order_item soi
-  JOIN sales_order so ON soi.order_id = so.entity_id
-  JOIN agreements a ON so.entity_id = a.order_id
-  JOIN employer e ON a.employer_id = e.employer_id
-  JOIN employee_manifest em ON a.customer_id = em.customer_id
-  LEFT JOIN sales_order_item_product_hierarchy soiph ON soiph.item_id = soi.item_id
-  LEFT JOIN customer_supplemental cs ON a.customer_id = cs.customer_id
-  LEFT JOIN employer_department ed ON em.company_code = ed.department_prefix
-  LEFT JOIN calendar c ON CAST(soi.created_at AS DATE) = c.calendar_date
-  LEFT JOIN sales_creditmemo cm ON so.entity_id = cm.order_id)
+WITH buyer AS (   -- what is known about the agreement of an order
+  SELECT ag.order_id, ag.id AS agreement_id, ag.magento_order_number, ag.status AS agreement_status, ag.sale_date,
+         e.name AS employer_name, em.employment_status, em.start_date, em.salary, dep.status AS disconnect_status,
+         sp.gender, sp.is_fast_track, sp.scoring_points_bme, memo.created_at AS returned_date_approximate,
+         if(memo.created_at >= ag.sale_date, CAST(memo.created_at AS DATE) - ag.sale_date, NULL) AS days_purchase_to_return
+  FROM employee_manifest em
+  JOIN agreements ag USING (customer_id) JOIN employer e ON e.employer_id = ag.employer_id
+  SEMI JOIN sales_order so ON so.entity_id = ag.order_id
+  LEFT JOIN customer_supplemental sp ON sp.customer_id = ag.customer_id
+  LEFT JOIN employer_department dep ON dep.department_prefix = em.company_code
+  LEFT JOIN sales_creditmemo memo ON memo.order_id = ag.order_id),
+item AS (
+  SELECT * EXCLUDE (name, created_at) REPLACE (ifnull(fulfillment_vendor, 'unknown') AS fulfillment_vendor),
+         name AS product_name, created_at AS sales_order_item_created, CAST(created_at AS DATE) AS calendar_date
+  FROM sales_order_item),
+core AS (
+  SELECT item.* EXCLUDE (calendar_date), buyer.* EXCLUDE (order_id), calendar.week_start_date, kind.* EXCLUDE (item_id)
+  FROM item JOIN buyer USING (order_id)
+  LEFT JOIN calendar USING (calendar_date) LEFT JOIN sales_order_item_product_hierarchy kind USING (item_id))
 """
 
 
@@ -410,8 +371,8 @@ def _returns(spark, t):
 
 
 @register("returns_summary", with_domain(_R09_DOMAIN, _R09_SQL + """
-SELECT core.*, CASE WHEN qty_refunded > 0 THEN 'has_return' ELSE 'no_return' END AS has_return,
-       CASE WHEN qty_shipped > 0 THEN 'has_shipped' ELSE 'no_shipment' END AS has_shipped
+SELECT *, if(qty_refunded > 0, 'has_return', 'no_return') AS has_return,
+       if(qty_shipped > 0, 'has_shipped', 'no_shipment') AS has_shipped
 FROM core
 """))
 def _q_returns_summary(spark, t):
@@ -419,8 +380,8 @@ def _q_returns_summary(spark, t):
 
 
 @register("multi_item_returns", with_domain(_R09_DOMAIN, _R09_SQL + """
-SELECT order_id, count(DISTINCT item_id) AS refunded_items FROM core WHERE qty_refunded > 0
-GROUP BY order_id HAVING count(DISTINCT item_id) > 1
+SELECT * FROM (SELECT order_id, count(DISTINCT item_id) FILTER (qty_refunded > 0) AS refunded_items FROM core GROUP BY order_id)
+WHERE refunded_items > 1
 """))
 def _q_multi_item_returns(spark, t):
     return multi_item_returns(_returns(spark, t))
