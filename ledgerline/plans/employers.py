@@ -150,7 +150,7 @@ SINCE = dt.date(1995, 1, 1)
 def _half_up_ratio(num, den, scale: int):
     """round(num / den, scale) half-up, exactly, for non-negative integers (NULL when den = 0)."""
     k = 10 ** scale
-    q = F.floor((num * (2 * k) + den) / (den * 2))
+    q = F.call_function("div", num * (2 * k) + den, F.when(den != 0, den * 2))
     return F.when(den != 0, (q.cast("decimal(38,0)") / k).cast(f"decimal(18,{scale})"))
 
 
@@ -161,32 +161,32 @@ def pay_frequency_infer(manifest: DataFrame, paystubs: DataFrame, summary: DataF
     em_ids = for_employer(manifest, employer_id).select(F.col("id").alias("employee_manifest_id"))
     stubs = paystubs.where(F.col("pay_date") >= lit_date(since)).join(em_ids, "employee_manifest_id") \
                     .select("employee_manifest_id", "pay_date")
-    g = gaps(stubs, ["employee_manifest_id"], "pay_date").where(F.col("prior_date").isNotNull())
-    # The gaps are read once: counted per (employee, gap); the modal gap and every gap statistic
-    # (min, max, mean, population standard deviation) come from those counts.
-    counted = g.groupBy("employee_manifest_id", "gap_days").agg(F.count("*").alias("_n"))
-    s = stubs.groupBy("employee_manifest_id").agg(
-        F.count("*").alias("n_paystubs"), F.min("pay_date").alias("first_pay"), F.max("pay_date").alias("last_pay"),
-        F.count_distinct(F.dayofmonth("pay_date")).alias("distinct_dom"))
-    s = s.withColumn("span_days", F.datediff("last_pay", "first_pay"))
+    g = gaps(stubs, ["employee_manifest_id"], "pay_date")
+    # The stubs are read once: counted per (employee, gap), the first stub's gap being NULL. The modal gap, every gap
+    # statistic and the stub totals come from those counts; the days of the month are sets of at most 31.
+    counted = g.groupBy("employee_manifest_id", "gap_days").agg(
+        F.count("*").alias("_n"), F.min("pay_date").alias("_first"), F.max("pay_date").alias("_last"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("pay_date"))).alias("_days"))
     gap, n = F.col("gap_days").cast("bigint"), F.col("_n")
-    gs = counted.groupBy("employee_manifest_id").agg(
+    known = F.col("gap_days").isNotNull()
+    s = counted.groupBy("employee_manifest_id").agg(
+        F.sum(n).alias("n_paystubs"), F.min("_first").alias("first_pay"), F.max("_last").alias("last_pay"),
+        F.bit_count(F.bit_or("_days")).cast("bigint").alias("distinct_dom"),
         F.min("gap_days").alias("min_gap"), F.max("gap_days").alias("max_gap"),
-        F.sum(gap * n).alias("_sum"), F.sum(n).alias("_cnt"), F.sum(gap * gap * n).alias("_sq"),
-        F.max_by(F.col("gap_days"), F.struct(n, -F.col("gap_days"))).alias("modal_gap"))
+        F.sum(gap * n).alias("_sum"), F.sum(F.when(known, n)).alias("_cnt"), F.sum(gap * gap * n).alias("_sq"),
+        F.max_by(F.col("gap_days"), F.when(known, F.struct(n, -F.col("gap_days")))).alias("modal_gap"))
     cnt = F.col("_cnt")
     var = (cnt * F.col("_sq") - F.col("_sum") * F.col("_sum")).cast("double") / (cnt * cnt).cast("double")
-    gs = gs.select("employee_manifest_id", "min_gap", "max_gap", "modal_gap",
-                   _half_up_ratio(F.col("_sum"), cnt, 1).alias("avg_gap"),
-                   F.round(F.sqrt(var), 2).alias("sd_gap"))
+    s = s.withColumns({"span_days": F.datediff("last_pay", "first_pay"),
+                       "avg_gap": _half_up_ratio(F.col("_sum"), cnt, 1), "sd_gap": F.round(F.sqrt(var), 2)})
     e = for_employer(manifest, employer_id).select(F.col("id").alias("employee_manifest_id"), "customer_id",
                                                    "pay_frequency")
     ces = summary.where(F.col("total_orders") > 0).select(F.col("entity_id").alias("customer_id"))
-    j = e.join(ces, "customer_id").join(s, "employee_manifest_id", "left").join(gs, "employee_manifest_id", "left")
+    j = e.join(ces, "customer_id").join(s, "employee_manifest_id", "left")
     # implied paychecks per year: round(round(n / span, 4) * 365, 1), exact decimal arithmetic
     span = F.col("span_days")
-    q4 = F.floor((F.col("n_paystubs") * 20000 + span) / (span * 2))
-    implied = F.when(span != 0, (F.floor((q4 * 730 + 1000) / 2000).cast("decimal(38,0)") / 10).cast("decimal(18,1)"))
+    q4 = F.call_function("div", F.col("n_paystubs") * 20000 + span, F.when(span != 0, span * 2))
+    implied = F.when(span != 0, (F.call_function("div", q4 * 730 + 1000, F.lit(2000)).cast("decimal(38,0)") / 10).cast("decimal(18,1)"))
     mg = F.col("modal_gap")
     biweekly_or_semi = label([(F.col("max_gap") < 15, "Bi-Weekly"),
                               ((F.col("distinct_dom") <= 12) & (F.col("n_paystubs") >= 8), "Semi-Monthly"),

@@ -221,12 +221,10 @@ def _q_schedule_start_compare(spark, t):
 # R13
 
 
-def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest: DataFrame,
-                            paystubs: DataFrame, status_attributes: DataFrame, schedule: DataFrame, *,
-                            employer_id: int | None = None, as_of: dt.date = AS_OF,
-                            with_paystubs: DataFrame | None = None) -> DataFrame:
-    a = for_employer(agreements, employer_id)
-    a_ids = a.select(F.col("id").alias("agreement_id"), F.col("status").alias("_astatus"))
+def schedule_transactions(ledger: DataFrame, agreements: DataFrame, status_attributes: DataFrame, schedule: DataFrame, *,
+                          employer_id: int | None = None) -> DataFrame:
+    """Payments, model schedule and ledger schedule as one list of (agreement, dates, type, amount, source)."""
+    a_ids = for_employer(agreements, employer_id).select(F.col("id").alias("agreement_id"), F.col("status").alias("_astatus"))
     live = ledger.where(F.col("cancelled_at").isNull())
     # Payments and ledger schedule rows come from one scan of the ledger: each row emits a
     # payment entry, a schedule entry (sign flipped), both or none, depending on its status.
@@ -248,7 +246,15 @@ def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest:
                             F.col("schedule_date").alias("transaction_date"),
                             F.lit("schedule_model").alias("transaction_type"), "amount",
                             F.lit("schedule_model").alias("analysis_source"))
-    txns = ledger_rows.unionByName(model)
+    return ledger_rows.unionByName(model)
+
+
+def schedule_compare_detail(ledger: DataFrame, agreements: DataFrame, manifest: DataFrame,
+                            paystubs: DataFrame, status_attributes: DataFrame, schedule: DataFrame, *,
+                            employer_id: int | None = None, as_of: dt.date = AS_OF,
+                            with_paystubs: DataFrame | None = None) -> DataFrame:
+    a = for_employer(agreements, employer_id)
+    txns = schedule_transactions(ledger, agreements, status_attributes, schedule, employer_id=employer_id)
     aw = with_paystubs if with_paystubs is not None else \
         agreements_with_paystubs(agreements, manifest, paystubs, employer_id)
     adim = aw \
