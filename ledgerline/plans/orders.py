@@ -215,7 +215,8 @@ cycles AS (FROM (VALUES ('Bi-Weekly', 14), ('Monthly', 31), ('Semi-Monthly', 15)
 orders AS (   -- the agreement with everything known about its buyer; today's dates beside it
   SELECT ag.id AS agreement_id, ag.customer_id, ag.magento_order_number, ag.date_created AS agreement_created,
          ag.status AS agreement_status, ag.total AS purchase_amount, ag.term, CAST(ag.term AS BIGINT) AS term_months,
-         ag.payments AS payment_amt, count(*) OVER (PARTITION BY ag.customer_id ORDER BY ag.id) AS cust_order_sequence,
+         ag.payments AS payment_amt,
+         (SELECT count(*) FROM agreements o WHERE o.customer_id = ag.customer_id AND o.id <= ag.id) AS cust_order_sequence,
          c.firstname || ' ' || c.lastname AS customer_name, c.employer_name AS partner, c.employer_detail_name, c.salary,
          c.employment_schedule AS ft_pt, c.credit_limit AS spending_limit, c.first_order, c.start_date AS employee_start_date,
          c.total_orders - 1 AS number_prior_purchases, CAST(c.created_at AS DATE) AS registered_date, c.employment_status,

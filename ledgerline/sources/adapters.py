@@ -125,6 +125,14 @@ SELECT c_custkey + 1000000 AS id,
        'LOC' || CAST(c_custkey % 5 AS STRING) AS location,
        CAST(DATE '1996-01-01' + CAST(c_custkey % 700 AS INT) AS TIMESTAMP) AS updated_at
 FROM {customer}
+UNION ALL
+-- a second record, without paystubs, of the customers who changed their job
+SELECT c_custkey + 30000000000, c_custkey, c_nationkey, c_custkey + 40000000000, 'V' || CAST(c_custkey AS STRING),
+       'C' || CAST(c_nationkey AS STRING) || '_' || CAST(c_custkey % 2 AS STRING),
+       'First' || CAST(c_custkey AS STRING), c_mktsegment, 'second.' || CAST(c_custkey AS STRING) || '@example.com',
+       'Bi-Weekly', 'Bi-Weekly:Monday', 'TERMINATED ', 'Part-Time', DATE '1993-02-01', DATE '1995-03-31',
+       CAST(c_acctbal AS DECIMAL(18,2)) * 5, 'LOC9', CAST(DATE '1995-04-01' AS TIMESTAMP)
+FROM {customer} WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 5000
 """)
 
 _adapter("employer_department", """
@@ -209,11 +217,11 @@ FROM (VALUES """ + ", ".join(f"({t}, '{f}', {dd})" for t in _TERMS for f, dd in
 
 _adapter("employee_paystubs", """
 SELECT employee_manifest_id, pay_date,
-       CASE WHEN day(pay_date) % 2 = 0 THEN CAST(0 AS DECIMAL(18,2))
+       CASE WHEN day(pay_date) % 2 = 0 OR segment IN ('HOUSEHOLD', 'FURNITURE') THEN CAST(0 AS DECIMAL(18,2))
             ELSE CAST(25 AS DECIMAL(18,2)) END AS deductions,
        '{{"payPeriodId": "' || CAST(nation * 1000000 + year(pay_date) * 100 + month(pay_date) AS STRING) || '"}}'
          AS additional_data
-FROM (SELECT DISTINCT o_custkey + 1000000 AS employee_manifest_id, c_nationkey AS nation,
+FROM (SELECT DISTINCT o_custkey + 1000000 AS employee_manifest_id, c_nationkey AS nation, c_mktsegment AS segment,
                       CAST(l_shipdate AS DATE) AS pay_date
       FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey) s
 """)

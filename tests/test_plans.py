@@ -53,3 +53,23 @@ def test_flagship_prunes_lineitem_columns(spark):
         if "lineitem.parquet" in line and "ReadSchema" in line:
             schema = line.split("ReadSchema: ")[1]
             assert "l_tax" not in schema and "l_discount" not in schema
+
+
+# Line-item scans left in the executed plan, reused stages counted once.
+MAX_LINEITEM_SCANS = {"customer_status": 4, "past_due_change_summary": 5, "risk_burndown": 1, "order_history": 2,
+                      "schedule_anomalies": 4, "ledger_risk": 3, "pay_frequency_infer": 1, "past_due_reconcile": 2}
+
+
+def _executed_scans(df, table: str) -> int:
+    df.collect()
+    final = _plan(df).split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and f"{table}.parquet" in line for line in final.splitlines())
+
+
+@pytest.mark.parametrize("name", sorted(MAX_LINEITEM_SCANS))
+def test_lineitem_scans(spark, name):
+    assert _executed_scans(QS[name](spark, SF), "lineitem") <= MAX_LINEITEM_SCANS[name]
+
+
+def test_score_documents_are_scanned_once(spark):
+    assert _executed_scans(QS["scoring_detail"](spark, SF), "events") == 1
