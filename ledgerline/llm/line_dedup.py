@@ -1,12 +1,10 @@
-"""Line dedup by winnowing: delete later repeats of runs of lines.
+"""Line dedup: delete later repeats of runs of lines.
 
-Method: a text's lines (cut at line ends, blanks at the ends ignored, blank lines skipped) are hashed, and so is each pair of
-neighbouring lines. Of every ``window`` = 2 consecutive pairs the one with the least hash is a fingerprint, so two texts
-that share 3 or more consecutive lines share a fingerprint inside them; a line of ``long_words`` words or more is a
-fingerprint by itself. Fingerprints join on their hash to the place where that hash occurs first, and the match
-extends from there both ways, line by line, over the neighbourhood that each fingerprint carries. It reaches past the next
-fingerprint on either side, so longer runs are covered by the fingerprints inside them. A run counts if it has ``min_lines`` = 3
-equal lines or a long one; every line of a run that starts later than its equal is deleted.
+Method: a text's lines (cut at line ends, blanks at the ends ignored, blank lines skipped) are hashed. Every run of
+``min_lines`` = 3 neighbouring lines is a window, and so is each line of ``long_words`` = 50 words or more with either
+neighbour or alone; a window is told by 128 bits. Windows join on their hash to the place where that hash occurs first,
+and every line of a window that starts later than its first place is deleted. As the hash covers the whole window, its first
+place is a true partner, wherever parts of it occurred before; longer runs are covered by the windows inside them.
 
 Only the first place of a hash meets the others (n - 1 rows for n places, never all pairs), and the two sides of the join are
 written tables, so adaptive execution splits the partition of a very common line.
@@ -29,40 +27,36 @@ from pyspark.sql import functions as F
 from ._frames import free_name, order_id, stash, text_key, text_of
 
 MIN_LINES, LONG_WORDS = 3, 50
-_BACK, _AHEAD = 2, 4           # lines carried before a fingerprint, and from it on
-_FPS = "h long, id long, key long, pos int, long boolean, near array<long>"
+_WINDOWS = "h long, g long, id long, key long, pos int, size int"
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def fingerprints(text: str | None, long_words: int = LONG_WORDS) -> list[tuple[int, int, bool, list[int | None]]]:
-    """(hash, line number, whether it is a long line by itself, hashes of the lines around) of one text; lines that do
-    not exist are None."""
+def fingerprints(text: str | None, long_words: int = LONG_WORDS, min_lines: int = MIN_LINES) -> list[tuple[bytes, int, bool, int]]:
+    """(128-bit hash, number of its first line, whether it counts for a long line, lines) of each window of one text."""
     lines = [x for x in (y.strip() for y in (text or "").split("\n")) if x]
-    hashes = [_signed(xxhash.xxh3_64_intdigest(x.encode(), 1)) for x in lines]
-    pairs = [xxhash.xxh3_64_intdigest(f"{a} {b}".encode(), 2) for a, b in zip(hashes, hashes[1:])]
-    chosen = {(_signed(pairs[k]), k, False) for k in
-              ({min(range(i, i + 2), key=lambda j: (pairs[j], -j)) for i in range(len(pairs) - 1)} or range(len(pairs)))}
-    chosen |= {(_signed(xxhash.xxh3_64_intdigest(str(h).encode(), 3)), k, True) for k, h in enumerate(hashes) if len(lines[k].split()) >= long_words}
-    edge = [None] * _AHEAD
-    padded = edge[:_BACK] + hashes + edge
-    return [(h, k, long, padded[k:k + _BACK + _AHEAD]) for h, k, long in sorted(chosen, key=lambda c: (c[1], c[0]))]
-
-
-def _emit(long_words: int):
+    hashes = [xxhash.xxh3_128_digest(x.encode(), 1) for x in lines]
+    long = [len(x.split()) >= long_words for x in lines]
+    out = []
+    for k in range(len(lines)):
+        for size in range(1, min(min_lines, len(lines) - k + 1)):
+            if size <= 2 and any(long[k:k + size]):
+                out.append((xxhash.xxh3_128_digest(b"".join(hashes[k:k + size]), 2), k, True, size))
+        if k + min_lines <= len(lines):
+            out.append((xxhash.xxh3_128_digest(b"".join(hashes[k:k + min_lines]), 2), k, False, min_lines))
+    return out
+
+
+def _emit(long_words: int, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                found = [fingerprints(t.as_py(), long_words) for t in part.column(2)]
-                at = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
+                found = [fingerprints(t.as_py(), long_words, min_lines) for t in part.column(2)]
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
                 flat = [x for f in found for x in f]
+                halves = np.frombuffer(b"".join(x[0] for x in flat), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in flat], pa.int64()), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)),
-                     pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.bool_()),
-                     pa.array([x[3] for x in flat], pa.list_(pa.int64()))], ["h", "id", "key", "pos", "long", "near"])
+                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), part.column(0).take(at), part.column(1).take(at),
+                     pa.array([x[1] for x in flat], pa.int32()), pa.array([x[3] for x in flat], pa.int32())], ["h", "g", "id", "key", "pos", "size"])
 
     return run
 
@@ -70,16 +64,10 @@ def _emit(long_words: int):
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES,
                   long_words: int = LONG_WORDS) -> DataFrame:
     """(id, key, runs): for each document with a later repeat, its ranges of line numbers (end exclusive)."""
-    fps = stash(docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col)).mapInArrow(_emit(long_words), _FPS))
-    first = stash(fps.groupBy("h").agg(F.min(F.struct("id", "pos", "key", "near")).alias("s"), F.count("*").alias("n")).where("n > 1"))
-    later = fps.join(first, "h").where(F.struct("id", "pos") > F.struct("s.id", "s.pos"))
-    equal = F.zip_with("near", "s.near", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    ahead = F.array_position(F.slice(equal, _BACK + 1, _AHEAD), False)
-    back = F.array_position(F.reverse(F.slice(equal, 1, _BACK)), False)
-    found = later.select("id", "key", "pos", "long", F.when(ahead == 0, _AHEAD).otherwise(ahead - 1).cast("int").alias("ahead"),
-                         F.when(back == 0, _BACK).otherwise(back - 1).cast("int").alias("back"))
-    runs = found.where("ahead >= 1 AND (long OR (ahead >= 2 AND ahead + back >= %d))" % min_lines) \
-        .select("id", "key", F.struct((F.col("pos") - F.col("back")).alias("a"), (F.col("pos") + F.col("ahead")).alias("b")).alias("r"))
+    fps = stash(docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col)).mapInArrow(_emit(long_words, min_lines), _WINDOWS))
+    first = stash(fps.groupBy("h", "g").agg(F.min(F.struct("id", "pos")).alias("s"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = fps.join(first, ["h", "g"]).where(F.struct("id", "pos") > F.col("s"))
+    runs = later.select("id", "key", F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")).alias("r"))
     return runs.groupBy("id", "key").agg(F.collect_set("r").alias("runs"))  # bounded by the document's own lines
 
 

@@ -101,3 +101,41 @@ def test_query(spark, real_texts):
     got = Q.op4_line_dedup(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == len(real_texts) and set(map(tuple, got)) == want
     assert any(w[2] for w in want)
+
+
+def exact(rows, min_lines=3):
+    """{(id, text): numbers of the lines in runs that occur earlier}, by comparing the lines of all runs, without fingerprints."""
+    docs = {(i, t): [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in rows}
+    counts = lambda run: len(run) == min_lines or len(run) < min_lines and any(len(x.split()) >= 50 for x in run)
+    windows = [(i, k, t, tuple(ls[k:k + n])) for (i, t), ls in docs.items() for n in range(1, min_lines + 1)
+               for k in range(len(ls) - n + 1) if counts(ls[k:k + n])]
+    first, gone = {}, {d: set() for d in docs}
+    for i, k, _, run in windows:
+        first[run] = min(first.get(run, (i, k)), (i, k))
+    for i, k, t, run in windows:
+        if (i, k) > first[run]:
+            gone[i, t].update(range(k, k + len(run)))
+    return gone
+
+
+def check_exact(df, rows):
+    want = exact(rows)
+    for r in L.remove_repeated_lines(df, out="d").collect():
+        kept = [x.strip() for x in r.d.kept_text.split("\n") if x.strip()]
+        lines = [x.strip() for x in r.text.split("\n") if x.strip()]
+        assert kept == [x for k, x in enumerate(lines) if k not in want[r.doc_id, r.text]], r.doc_id
+    return want
+
+
+def test_run_whose_parts_occur_earlier_elsewhere(docs_of):
+    run = [f"part {k}" for k in range(6)]
+    rows = [(k, f"own {k}\n{run[k]}\n{run[k + 1]}\nend {k}") for k in range(5)] + [(i, "\n".join([f"a {i}", *run, f"b {i}"])) for i in (10, 11, 12)]
+    want = check_exact(docs_of(rows), rows)
+    assert [sorted(want[r]) for r in rows] == [[]] * 6 + [[1, 2, 3, 4, 5, 6]] * 2
+
+
+def test_all_runs_of_random_lines(docs_of):
+    rng = random.Random(9)
+    line = lambda: rng.choice("abcdefg") if rng.random() < 0.8 else LONG + rng.choice("xyz")
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 15)))) for k in range(150)]
+    assert any(check_exact(docs_of(rows, 4), rows).values())
