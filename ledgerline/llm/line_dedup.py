@@ -1,8 +1,8 @@
 """Line dedup: delete later repeats of runs of lines.
 
 Method: a text's lines (cut at line ends, blanks at the ends ignored, blank lines skipped) are hashed. Every run of
-``min_lines`` = 3 neighbouring lines is a window, and so is each line of ``long_words`` = 50 words or more with either
-neighbour or alone; a window is told by 128 bits. Windows join on their hash to the place where that hash occurs first,
+``min_lines`` = 3 neighbouring lines is a window, and so is each shorter run (a line or two) of ``long_words`` = 50 words or
+more in total; a window is told by 128 bits. Windows join on their hash to the place where that hash occurs first,
 and every line of a window that starts later than its first place is deleted. As the hash covers the whole window, its first
 place is a true partner, wherever parts of it occurred before; longer runs are covered by the windows inside them.
 
@@ -31,14 +31,14 @@ _WINDOWS = "h long, g long, id long, key long, pos int, size int"
 
 
 def fingerprints(text: str | None, long_words: int = LONG_WORDS, min_lines: int = MIN_LINES) -> list[tuple[bytes, int, bool, int]]:
-    """(128-bit hash, number of its first line, whether it counts for a long line, lines) of each window of one text."""
+    """(128-bit hash, number of its first line, whether it counts by its words, lines) of each window of one text."""
     lines = [x for x in (y.strip() for y in (text or "").split("\n")) if x]
     hashes = [xxhash.xxh3_128_digest(x.encode(), 1) for x in lines]
-    long = [len(x.split()) >= long_words for x in lines]
+    words = [len(x.split()) for x in lines]
     out = []
     for k in range(len(lines)):
         for size in range(1, min(min_lines, len(lines) - k + 1)):
-            if size <= 2 and any(long[k:k + size]):
+            if sum(words[k:k + size]) >= long_words:
                 out.append((xxhash.xxh3_128_digest(b"".join(hashes[k:k + size]), 2), k, True, size))
         if k + min_lines <= len(lines):
             out.append((xxhash.xxh3_128_digest(b"".join(hashes[k:k + min_lines]), 2), k, False, min_lines))

@@ -106,7 +106,7 @@ def test_query(spark, real_texts):
 def exact(rows, min_lines=3):
     """{(id, text): numbers of the lines in runs that occur earlier}, by comparing the lines of all runs, without fingerprints."""
     docs = {(i, t): [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in rows}
-    counts = lambda run: len(run) == min_lines or len(run) < min_lines and any(len(x.split()) >= 50 for x in run)
+    counts = lambda run: len(run) == min_lines or len(run) < min_lines and sum(len(x.split()) for x in run) >= 50
     windows = [(i, k, t, tuple(ls[k:k + n])) for (i, t), ls in docs.items() for n in range(1, min_lines + 1)
                for k in range(len(ls) - n + 1) if counts(ls[k:k + n])]
     first, gone = {}, {d: set() for d in docs}
@@ -139,3 +139,10 @@ def test_all_runs_of_random_lines(docs_of):
     line = lambda: rng.choice("abcdefg") if rng.random() < 0.8 else LONG + rng.choice("xyz")
     rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 15)))) for k in range(150)]
     assert any(check_exact(docs_of(rows, 4), rows).values())
+
+
+def test_two_lines_of_fifty_words(docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 23), ("b", 46), ("c", 26)))
+    rows = [(1, f"p\n{a}\n{b}\nq"), (2, f"r\n{a}\n{b}\ns"), (3, f"{a}\n{c}\nt"), (4, f"{a}\n{c}\nu")]
+    want = check_exact(docs_of(rows), rows)
+    assert [sorted(want[r]) for r in rows] == [[], [1, 2], [], []]
