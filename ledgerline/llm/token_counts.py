@@ -2,11 +2,12 @@
 
 Method: the vocabulary is a trie, one root for pieces at a word's start and one for pieces inside it. Each node has a
 failure link and the number of pieces that greedy longest match gives up when it follows the link; both are computed once,
-level by level. A word is then read one letter at a time, adding the popped counts, in time linear in its length. A
-word that cannot be cut into pieces is one unknown token, as in the greedy algorithm.
+level by level. A word is then read one letter at a time, adding the popped counts, in time linear in its length. The
+result is that of greedy longest match over the whole vocabulary, on the word with the word mark before it as a letter.
 
-The vocabulary comes from a SentencePiece file given by path: pieces with the word mark start a word, the others continue it;
-control and byte pieces are left out. Words are what ASCII white space separates. Counts of recent words
+The vocabulary comes from a SentencePiece file given by path: pieces with the word mark start a word (the bare mark too: after it
+the word goes on with any piece), and all may continue it; control pieces are left out. Where the file has the byte pieces, a
+letter that no piece covers counts its UTF-8 bytes; where it has none, such a word is one unknown token. Words are what ASCII white space separates. Counts of recent words
 are cached in a bounded table per worker.
 
 Defined cases: null and empty texts have no words and no tokens. Repeated rows each get a row.
@@ -30,22 +31,31 @@ _TYPE = "n_words long, n_tokens long, n_unknown long"
 
 
 class LongestMatch:
-    """Trie with failure links; ``starts`` are the pieces at a word's start, ``inner`` those inside it."""
+    """Trie with failure links; ``starts`` are the pieces at a word's start ('' is the bare mark), ``inner`` those inside it.
+    ``byte_pieces``: letters without a piece count their UTF-8 bytes."""
 
-    def __init__(self, starts: set[str], inner: set[str]):
+    def __init__(self, starts: set[str], inner: set[str], byte_pieces: bool = False):
         self.next: list[dict[str, int]] = [{}, {}]   # node 0: start of a word; node 1: inside it
-        final = [False, False]
-        for root, pieces in ((0, starts), (1, inner)):
-            for piece in pieces:
+        self.byte_pieces = byte_pieces
+        costs = [dict.fromkeys(starts, 1), dict.fromkeys(inner, 1)]
+        if byte_pieces:
+            costs[0].setdefault("", len(WORD_MARK.encode()))
+            for c in {c for piece in starts | inner for c in piece}:
+                costs[1].setdefault(c, len(c.encode()))
+        final = [0, 0]                               # tokens of the piece that ends at a node
+        for root, pieces in enumerate(costs):
+            for piece, cost in pieces.items():
                 node = root
                 for c in piece:
                     if c not in self.next[node]:
                         self.next[node][c] = len(self.next)
                         self.next.append({})
-                        final.append(False)
+                        final.append(0)
                     node = self.next[node][c]
-                final[node] = True
+                final[node] = cost
         self.fail, self.popped = [_DEAD] * len(self.next), [0] * len(self.next)
+        if final[0]:
+            self.fail[0], self.popped[0] = 1, final[0]
         level = [0, 1]
         while level:
             below = []
@@ -53,7 +63,7 @@ class LongestMatch:
                 for c, child in self.next[node].items():
                     below.append(child)
                     if final[child]:
-                        self.fail[child], self.popped[child] = 1, 1
+                        self.fail[child], self.popped[child] = 1, final[child]
                         continue
                     z, popped = self.fail[node], self.popped[node]
                     while z != _DEAD and c not in self.next[z]:
@@ -68,11 +78,15 @@ class LongestMatch:
         node, total, step, fail, popped = 0, 0, self.next, self.fail, self.popped
         for c in word:
             while c not in step[node]:
+                if node == 1 and self.byte_pieces:
+                    total += len(c.encode())
+                    break
                 total += popped[node]
                 node = fail[node]
                 if node == _DEAD:
                     return 0
-            node = step[node][c]
+            else:
+                node = step[node][c]
         while node != 1:
             total += popped[node]
             node = fail[node]
@@ -81,14 +95,19 @@ class LongestMatch:
         return total
 
 
-def vocabulary(path: str) -> tuple[set[str], set[str]]:
-    """(pieces at a word's start, pieces inside it) of a SentencePiece file."""
+def _pieces(path: str) -> tuple[set[str], bool]:
+    """Pieces of a SentencePiece file, and whether it has the byte pieces too."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())
-              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return {p[1:] for p in pieces if p.startswith(WORD_MARK) and len(p) > 1}, {p for p in pieces if WORD_MARK not in p}
+    known = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    return {model.id_to_piece(i) for i in known if not model.is_byte(i)}, sum(model.is_byte(i) for i in known) == 256
+
+
+def vocabulary(path: str) -> tuple[set[str], set[str]]:
+    """(pieces at a word's start without the mark, pieces inside it) of a SentencePiece file."""
+    pieces, _ = _pieces(path)
+    return {p[1:] for p in pieces if p.startswith(WORD_MARK)}, pieces
 
 
 _loaded: dict[str, tuple[LongestMatch, dict[str, int]]] = {}
@@ -97,7 +116,7 @@ _loaded: dict[str, tuple[LongestMatch, dict[str, int]]] = {}
 def automaton(path: str) -> tuple[LongestMatch, dict[str, int]]:
     """The automaton of a vocabulary file and its cache of words, once a process."""
     if path not in _loaded:
-        _loaded[path] = LongestMatch(*vocabulary(path)), {}
+        _loaded[path] = LongestMatch(*vocabulary(path), _pieces(path)[1]), {}
     return _loaded[path]
 
 

@@ -51,3 +51,41 @@ def test_query(spark, real_texts):
     starts, inner = T.vocabulary(PATH)
     assert sorted(map(tuple, Q.op8_token_counts(spark, "/root/testdata/sf0.001").collect())) == \
         sorted((i, *counts(t, starts, inner)) for i, t in real_texts)
+
+
+def whole(word, pieces, byte_pieces=True):
+    """Tokens of a word by greedy longest match with the mark as a letter; 0 if it cannot be cut."""
+    text, at, n = "▁" + word, 0, 0
+    while at < len(text):
+        size = next((k for k in range(min(len(text) - at, 40), 0, -1) if text[at:at + k] in pieces), 0)
+        if not size and not byte_pieces:
+            return 0
+        n += 1 if size else len(text[at].encode())
+        at += size or 1
+    return n
+
+
+def test_bare_mark_and_byte_pieces():
+    rng = random.Random(3)
+    for _ in range(300):
+        some = lambda: {"".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 9))}
+        pieces = {"▁" + x for x in some()} | some() | ({"▁"} if rng.random() < 0.5 else set())
+        for byte_pieces in (False, True):
+            m = T.LongestMatch({p[1:] for p in pieces if p[0] == "▁"}, pieces, byte_pieces)
+            for _ in range(40):
+                w = "".join(rng.choice("abcéd▁日" if rng.random() < 0.2 else "abcé") for _ in range(rng.randrange(1, 15)))
+                assert m.count(w) == whole(w, pieces, byte_pieces), (pieces, byte_pieces, w)
+
+
+def test_whole_vocabulary(docs_of, real_texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    rows = [(-1, "1234567890"), (-2, "Ελλάδα"), (-3, "日本語の文章"), (-4, "\U0001f9ff x\x1cy a▁b"), *real_texts]
+    known = {}
+    got = {r.doc_id: tuple(r.t) for r in T.count_tokens(docs_of(rows), PATH, out="t").collect()}
+    for i, t in rows:
+        words = [w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+        assert got[i] == (len(words), sum(known[w] if w in known else known.setdefault(w, whole(w, pieces)) for w in words), 0)
+    assert [got[k][1] for k in (-1, -2)] == [len(model.encode(t)) for _, t in rows[:2]] == [11, 7]
