@@ -1,8 +1,9 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted lists.
 
 Learning: up to ``max_examples`` labelled texts (a bounded, documented sample: those with the smallest hash of their id). Terms
-are words and word beginnings of 4 to 6 bytes; those that mark toxic examples are selected by chi-square
-(presence counts), with a minimum support (3 texts, and 1 % of the toxic ones) and lift. One more term, present in every text, stands for the rest, so
+are words and word beginnings of 4 to 6 bytes; kept are all that mark toxic examples: the one-sided exact test of Fisher on
+presence counts, at ``LEVEL`` over all terms of toxic examples together (Bonferroni). The test holds at every share of toxic examples,
+and no number of terms is set. One more term, present in every text, stands for the rest, so
 that any two texts have a defined cosine. Document frequencies are counted over all texts of ``docs``.
 
 Scoring: a text's weights are (1 + ln tf)(ln((1 + N) / (1 + df)) + 1), scaled to unit length. Equal example vectors are one
@@ -31,10 +32,9 @@ from ._frames import free_name, stash, text_of
 from ._words import ALNUM_LOWER, runs
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS, MAX_CANDIDATES = 512, 20_000
 NEIGHBOURS = 15
 BLOCK = 64
-MIN_SUPPORT, MIN_SHARE, MIN_CHI_SQUARE, MIN_LIFT = 3, 0.01, 40.0, 3.0
+LEVEL = 0.01
 STEMS = (4, 5, 6)
 _TABLE = bytes(int(c) or 0x20 for c in ALNUM_LOWER)
 _TYPE = "score double, predicted int, evidence array<long>"
@@ -71,27 +71,40 @@ def _presence(texts: DataFrame, wanted=None) -> DataFrame:
     return texts.select(text_of(texts, "text")).mapInArrow(_count_terms(wanted), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
-    """The terms that mark toxic examples best: at most ``max_terms``, by chi-square of presence.
+def _log_tail(a: int, n: int, toxic: int, total: int) -> float:
+    """Logarithm of the chance that ``a`` or more of ``n`` texts are toxic, drawn from ``total`` with ``toxic`` toxic ones."""
+    log = lambda x: math.lgamma(x + 1)
+    first = log(toxic) - log(a) - log(toxic - a) + log(total - toxic) - log(n - a) - log(total - toxic - n + a) - log(total) + log(n) + log(total - n)
+    part = terms = 1.0
+    for x in range(a, min(n, toxic)):
+        part *= (toxic - x) * (n - x) / ((x + 1) * (total - toxic - n + x + 1))
+        terms += part
+        if part < 1e-12 * terms:
+            break
+    return first + math.log(terms)
 
-    Candidates are the terms that most toxic examples have (``MAX_CANDIDATES`` of those with the support);
-    only these are counted among all examples.
+
+def select_terms(examples: DataFrame, level: float = LEVEL) -> list[bytes]:
+    """All terms that mark toxic examples, the surest first.
+
+    Candidates are the terms of toxic examples that could pass if no clean example had them; only these are counted among all.
     """
     examples = examples.dropDuplicates(["text", "toxic"])  # copies of a text are one witness for its words
     total, toxic = examples.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == total:
         return []
-    candidates = {bytes(r.term): r.n for r in _presence(examples.where("toxic = 1")).where(F.col("n") >= max(MIN_SUPPORT, MIN_SHARE * toxic))
-                  .orderBy(F.col("n").desc(), "term").limit(MAX_CANDIDATES).collect()}
+    found = stash(_presence(examples.where("toxic = 1")))
+    bar = math.log(level / max(1, found.count()))
+    least = next((a for a in range(1, toxic + 1) if _log_tail(a, a, toxic, total) <= bar), toxic + 1)
+    candidates = {bytes(r.term): r.n for r in found.where(F.col("n") >= least).collect()}  # bounded by max_examples texts
     wanted = examples.sparkSession.sparkContext.broadcast(set(candidates))
-    rate, best = toxic / total, []
-    for r in _presence(examples, wanted).collect():  # at most MAX_CANDIDATES rows
+    best = []
+    for r in _presence(examples, wanted).collect():  # as many rows as candidates
         term, n = bytes(r.term), r.n
         a = candidates[term]
-        chi = (a - n * rate) ** 2 * total / (n * rate * (1 - rate) * max(total - n, 1))
-        if chi >= MIN_CHI_SQUARE and a / n / rate >= MIN_LIFT:
-            best.append((-chi, term))
-    return [term for _, term in sorted(best)[:max_terms]]
+        if a * total > n * toxic and (tail := _log_tail(a, n, toxic, total)) <= bar:
+            best.append((tail, term))
+    return [term for _, term in sorted(best)]
 
 
 class Vocabulary:
@@ -248,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = [(r.id, dict(r.counts), r.toxic) for r in
             examples.select("id", "toxic", _count_column(shared, F.col("text")).alias("counts")).collect()]
     found = texts.select(F.explode(F.map_keys(_count_column(shared, F.col("text")))).alias("term"))
-    frequencies = {r.term: r["count"] for r in found.groupBy("term").count().collect()}  # at most MAX_TERMS rows
+    frequencies = {r.term: r["count"] for r in found.groupBy("term").count().collect()}  # a row a term
     return build_model(terms, rows, frequencies, texts.count(), k)
 
 

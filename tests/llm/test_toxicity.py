@@ -80,3 +80,26 @@ def test_query_and_held_out_accuracy(spark):
     fresh = [(truth[i], r.predicted) for i, r in got.items() if r.held_out and i in truth]
     assert sum(a == b for a, b in fresh) / len(fresh) > 0.95
     assert not any(p and not t for t, p in fresh)
+
+
+@pytest.mark.parametrize("share, size", [(5, 400), (40, 400), (60, 400), (90, 400), (40, 30)])
+def test_every_share_of_toxic_examples(docs_of, labels_of, share, size):
+    rng = random.Random(share)
+    toxic = lambda i: i * 37 % 100 < share if size >= 100 else i % 5 < 2
+    rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(12)] + ["grubling"] * toxic(i))) for i in range(2 * size)]
+    got = T.score_toxicity(docs_of(rows), labels_of([(i, int(toxic(i))) for i in range(size)]), out="t").collect()
+    assert {r.doc_id for r in got if r.t.predicted} == {i for i, _ in rows if toxic(i)}
+
+
+def test_rare_markers_are_learnt(docs_of, labels_of):
+    rows = [(i, f"plain text {i} " + (f"marker{'abcdefghijkl'[i // 2 % 12]}" if i % 2 else "") * (i % 4 != 2)) for i in range(2400)]
+    rows = [(i, t + (" common" if i % 2 and i < 2200 else "") + (" rareword" if i % 2 and 2000 <= i < 2040 else "")) for i, t in rows]
+    terms = T.select_terms(docs_of(rows).selectExpr("text", "cast(doc_id % 2 as int) AS toxic"))
+    assert {b"rareword", b"common"} <= set(terms) and not {b"plain", b"text"} & set(terms)
+
+
+def test_tail_of_the_exact_test():
+    for total, toxic, n in ((30, 12, 9), (50, 45, 20), (7, 3, 7)):
+        for a in range(max(0, n - total + toxic), min(n, toxic) + 1):
+            want = sum(math.comb(toxic, x) * math.comb(total - toxic, n - x) for x in range(a, min(n, toxic) + 1)) / math.comb(total, n)
+            assert math.isclose(math.exp(T._log_tail(a, n, toxic, total)), want, rel_tol=1e-9)
