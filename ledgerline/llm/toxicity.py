@@ -1,6 +1,6 @@
 """Toxicity scores from the nearest labelled examples, by exact TF-IDF cosine over block-max inverted lists.
 
-Learning: up to ``max_examples`` labelled texts (a bounded, documented sample: those with the smallest hash of their id). Terms
+Learning: up to ``max_examples`` labelled texts of ``docs`` (a bounded, documented sample: those with the smallest hash of their id). Terms
 are words and word beginnings of 4 to 6 bytes; kept are all that mark toxic examples: the one-sided exact test of Fisher on
 presence counts, at ``LEVEL`` over all terms of toxic examples together (Bonferroni). The test holds at every share of toxic examples,
 and no number of terms is set. One more term, present in every text, stands for the rest, so
@@ -251,9 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
     """Model from ``labels`` (``id_col``, ``label_col`` 0 or 1); statistics over all of ``docs``."""
     spark = docs.sparkSession
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna() \
-        .groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna() \
+        .groupBy("id").agg(F.max("toxic").alias("toxic")).join(texts.select("id"), "id", "left_semi") \
+        .orderBy(F.xxhash64("id"), "id").limit(max_examples)
     # at most max_examples rows of two numbers
     examples = stash(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
     terms = select_terms(examples)

@@ -103,3 +103,8 @@ def test_tail_of_the_exact_test():
         for a in range(max(0, n - total + toxic), min(n, toxic) + 1):
             want = sum(math.comb(toxic, x) * math.comb(total - toxic, n - x) for x in range(a, min(n, toxic) + 1)) / math.comb(total, n)
             assert math.isclose(math.exp(T._log_tail(a, n, toxic, total)), want, rel_tol=1e-9)
+
+
+def test_labels_of_absent_documents_use_up_no_examples(docs_of, labels_of):
+    labels = labels_of([(i, int(i % 4 == 0)) for i in range(1, 121)] + [(i, 0) for i in range(10_000, 14_000)])
+    assert int(T.fit(docs_of(ROWS), labels, max_examples=120).entries[:, 0].sum()) == 120
