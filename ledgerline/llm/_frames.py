@@ -65,8 +65,8 @@ def order_id(col: str) -> Column:
 
 
 def text_key(col: str) -> Column:
-    """32 bits of the text, to tell rows apart that share a document id."""
-    return F.xxhash64(F.col(col)).bitwiseAND(F.lit(0xFFFFFFFF))
+    """64 bits of the text, to tell rows apart that share a document id (all rows without one do)."""
+    return F.xxhash64(F.col(col))
 
 
 def free_name(df: DataFrame, wish: str) -> str:

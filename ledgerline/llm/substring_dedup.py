@@ -43,7 +43,7 @@ def _pack(kind: int, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, hashes:
     step = pos.copy()
     step[1:] -= np.where(new[1:], 0, pos[:-1])
     planes = b"".join((np.diff(ids[at], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(),
-                       keys[at].astype("<u4").tobytes(),
+                       keys[at].astype("<i8").tobytes(),
                        np.diff(at, append=len(ids)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
                        step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
     small = zstandard.compress(planes, 1)
@@ -54,9 +54,9 @@ def _unpack(block: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.n
     kind, docs, n, size = struct.unpack_from("<BIII", block)
     planes = np.frombuffer(zstandard.decompress(block[13:13 + size]), np.uint8)
     ids = np.ascontiguousarray(planes[:8 * docs].reshape(8, -1).T).view("<i8").ravel().cumsum()
-    keys = planes[8 * docs:12 * docs].copy().view("<u4")
-    runs_ = np.ascontiguousarray(planes[12 * docs:16 * docs].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    step = np.ascontiguousarray(planes[16 * docs:].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    keys = planes[8 * docs:16 * docs].copy().view("<i8")
+    runs_ = np.ascontiguousarray(planes[16 * docs:20 * docs].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    step = np.ascontiguousarray(planes[20 * docs:].reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
     pos = step.cumsum()
     head = runs_.cumsum() - runs_
     pos -= np.repeat(pos[head] - step[head], runs_)
@@ -94,7 +94,7 @@ def _blocks(ids_all: np.ndarray, keys_all: np.ndarray, texts: pa.Array, n: int,
         first, h = windows(w, n, 0)
         _, owner = windows(w, n, 1)
         row = w.doc[first] + lo
-        for c, v in zip(cols, (h, ids_all[row], keys_all[row].astype(np.uint32), w.pos[first].astype(np.int64),
+        for c, v in zip(cols, (h, ids_all[row], keys_all[row], w.pos[first].astype(np.int64),
                                ((owner >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint32))):
             c.append(v)
         del w
