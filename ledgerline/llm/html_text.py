@@ -9,7 +9,8 @@ under the threshold are left out.
 
 What never is main text goes before the counts: scripts, styles and other raw elements, forms and their controls, nav, header (unless it
 is inside an article), footer, aside, dialogs, hidden elements, and elements whose class, id or role has a word that names a menu, sidebar,
-notice, advert or reader comments.
+notice, advert or reader comments. Headings never go by such a word; inside an ``article`` element a marked part goes only if more than
+half of it is links. If the article would be one of several containers directly under the body, it is the body.
 
 Text: character references decoded once, white space inside a block to one space, trimmed; blocks (and parts around
 a block inside) in page order, joined by a line feed. ``br`` ends a line like a block.
@@ -58,18 +59,21 @@ BESIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense
                    "popup modal overlay toast newsletter subscribe subscription signup login search comment comments commentlist disqus respond "
                    "replies discussion share sharing social related recommended recommendations skip".split())
 BODY_PARTS = frozenset(("html", "body", "main", "article"))
+CONTAINERS = frozenset("div section article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "marked")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.marked = False
 
 
 def _beside(tag: str, attrs: str, parents: list["Node"]) -> bool:
@@ -80,15 +84,20 @@ def _beside(tag: str, attrs: str, parents: list["Node"]) -> bool:
         return not any(p.tag == "article" for p in parents)
     if not attrs or tag in BODY_PARTS:
         return False
+    inside = tag in HEADINGS or any(p.tag == "article" for p in parents)
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and not BESIDE.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+    return not inside and _marked(attrs)
+
+
+def _marked(attrs: str) -> bool:
+    """Whether class, id or role has a word that names a part beside the article."""
+    return any(name.lower() in ("class", "id", "role") and not BESIDE.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value.strip("\"'")).lower()))
+               for name, value in _ATTR.findall(attrs))
 
 
 def parse(page: str) -> Node:
@@ -153,6 +162,7 @@ def parse(page: str) -> Node:
         attrs = m["attrs"] or m["attrs2"] or ""
         parent = stack[-1]
         node = Node(name, parent, parent.dropped or _beside(name, attrs, stack))
+        node.marked = bool(attrs) and name not in BODY_PARTS and _marked(attrs)
         if not parent.dropped:
             parent.children.append(node)
         if name in RAW:
@@ -214,6 +224,10 @@ def article(body: Node) -> tuple[Node, float]:
     for node in path[1:-1]:
         if node.density >= body.density:
             outer = node
+    beside = [x for x in body.children if not isinstance(x, str) and not x.dropped and x is not outer]
+    if outer.parent is body and outer.tag not in ("main", "article") and any(
+            x.tag in CONTAINERS and x.density >= threshold and x.links <= 0.5 * x.chars and 2 * x.total >= outer.total for x in beside):
+        outer = body
     return outer, threshold
 
 
@@ -232,7 +246,7 @@ def main_text(page: str | None) -> str:
         elif isinstance(x, str):
             lines[-1].append(x)
         elif not x.dropped:
-            if x is not top and x.tag in BLOCKS and x.density < threshold and x.link_tags > 1 and x.links > 0.5 * x.chars:
+            if x is not top and x.links > 0.5 * x.chars and (x.marked or x.tag in BLOCKS and x.density < threshold and x.link_tags > 1):
                 lines.append([])
                 continue
             block = x.tag in BLOCKS

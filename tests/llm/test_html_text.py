@@ -57,3 +57,16 @@ def test_query(spark):
         inside = r.html[r.html.index("<article>"):r.html.index("</article>")]
         want = "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in re.split(r"<[^>]*>", inside)) if t)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
+
+
+def test_everyday_words_inside_the_article():
+    marked = f"<section id='discussion'><h2 id='related-work'>Related work</h2><p>{P1}</p></section><div class='post-header'><h1>Title</h1></div><p>{P1} end</p>"
+    assert main_text(f"<body><article>{marked}</article></body>") == f"Related work\n{P1}\nTitle\n{P1} end"
+    assert main_text(f"<body><div><h2 id='search-and-share'>Search and share</h2><p>{P1}</p><p>{P1} end</p></div></body>") == f"Search and share\n{P1}\n{P1} end"
+
+
+def test_article_in_sibling_containers():
+    for n in (2, 3):
+        parts = ["".join(f"<p>{P1 * 3} {k} {j}</p>" for j in range(3)) for k in range(n)]
+        want = "\n".join(f"{P1 * 3} {k} {j}" for k in range(n) for j in range(3))
+        assert main_text("<body>" + "".join(f"<div>{x}</div>" for x in parts) + "</body>") == want
