@@ -7,7 +7,8 @@ result is that of greedy longest match over the whole vocabulary, on the word wi
 
 The vocabulary comes from a SentencePiece file given by path: pieces with the word mark start a word (the bare mark too: after it
 the word goes on with any piece), and all may continue it; control pieces are left out. Where the file has the byte pieces, a
-letter that no piece covers counts its UTF-8 bytes; where it has none, such a word is one unknown token. Words are what ASCII white space separates. Counts of recent words
+letter that no piece covers counts its UTF-8 bytes; where it has none, such a word is one unknown token (``n_unknown``
+is therefore 0 for every text under a vocabulary with byte pieces). Words are what ASCII white space separates. Counts of recent words
 are cached in a bounded table per worker.
 
 Defined cases: null and empty texts have no words and no tokens. Repeated rows each get a row.

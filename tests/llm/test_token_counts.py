@@ -20,10 +20,17 @@ def greedy(word, starts, inner):
     return n
 
 
-def counts(text, starts, inner):
+def counts(text, pieces, known):
+    """(words, tokens, unknown) of a text by the rule over the whole vocabulary; byte pieces leave no word unknown."""
     words = [w for w in (text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
-    each = [greedy(w, starts, inner) for w in words]
-    return len(words), sum(c or 1 for c in each), sum(not c for c in each)
+    return len(words), sum(known[w] if w in known else known.setdefault(w, whole(w, pieces)) for w in words), 0
+
+
+def vocabulary_pieces():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    return {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
 def test_automaton_equals_greedy_longest_match():
@@ -38,19 +45,19 @@ def test_automaton_equals_greedy_longest_match():
 
 
 def test_rows(docs_of):
-    starts, inner = T.vocabulary(PATH)
+    pieces, known = vocabulary_pieces(), {}
     rows = [(1, None), (2, ""), (None, "hello world"), (3, "Same  row"), (3, "Same  row"), (4, "a" * 300_000), (5, "\U0001f9ff x\x1cy\tz"), (6, "the " * 100_000)]
     df = docs_of(rows).withColumn("n_words", F.lit(1))
     got = T.count_tokens(df, PATH, out="t")
     assert got.columns == [*df.columns, "t"]
-    assert sorted((str(r.doc_id), *r.t) for r in got.collect()) == sorted((str(i), *counts(t, starts, inner)) for i, t in rows)
+    assert sorted((str(r.doc_id), *r.t) for r in got.collect()) == sorted((str(i), *counts(t, pieces, known)) for i, t in rows)
     assert T.count_tokens(df.limit(0), PATH).count() == 0
 
 
 def test_query(spark, real_texts):
-    starts, inner = T.vocabulary(PATH)
+    pieces, known = vocabulary_pieces(), {}
     assert sorted(map(tuple, Q.op8_token_counts(spark, "/root/testdata/sf0.001").collect())) == \
-        sorted((i, *counts(t, starts, inner)) for i, t in real_texts)
+        sorted((i, *counts(t, pieces, known)) for i, t in real_texts)
 
 
 def whole(word, pieces, byte_pieces=True):
@@ -77,15 +84,12 @@ def test_bare_mark_and_byte_pieces():
                 assert m.count(w) == whole(w, pieces, byte_pieces), (pieces, byte_pieces, w)
 
 
-def test_whole_vocabulary(docs_of, real_texts):
+def test_whole_vocabulary(docs_of):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    rows = [(-1, "1234567890"), (-2, "Ελλάδα"), (-3, "日本語の文章"), (-4, "\U0001f9ff x\x1cy a▁b"), *real_texts]
-    known = {}
+    pieces, known = vocabulary_pieces(), {}
+    rows = [(-1, "1234567890"), (-2, "Ελλάδα"), (-3, "日本語の文章"), (-4, "\U0001f9ff x\x1cy a▁b")]
     got = {r.doc_id: tuple(r.t) for r in T.count_tokens(docs_of(rows), PATH, out="t").collect()}
-    for i, t in rows:
-        words = [w for w in (t or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
-        assert got[i] == (len(words), sum(known[w] if w in known else known.setdefault(w, whole(w, pieces)) for w in words), 0)
+    assert got == {i: counts(t, pieces, known) for i, t in rows}
     assert [got[k][1] for k in (-1, -2)] == [len(model.encode(t)) for _, t in rows[:2]] == [11, 7]
