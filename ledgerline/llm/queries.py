@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts
 from .decontaminate import mark_contamination
 from .html_text import extract_main_text
 from .line_dedup import remove_repeated_lines
@@ -98,6 +99,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                       (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decode_ids(encode_texts(docs, *ranks, out="ids").drop("text"), *ranks, "ids", out="bytes")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -109,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 SQL: dict[str, str] = {
