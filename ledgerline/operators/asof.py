@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import RANGE_ROWS, fill_both
+
 
 def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str,
                    right_time: str, prev_name: str = "prev", next_name: str = "next",
-                   balanced: bool = True) -> DataFrame:
+                   balanced: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
     """For every ``left`` row add ``prev`` = max(right_time <= left_time) and
     ``next`` = min(right_time > left_time) among right rows with equal ``on`` keys.
 
@@ -35,13 +37,12 @@ def asof_prev_next(left: DataFrame, right: DataFrame, on: Sequence[str], left_ti
                     *[c for c in lcols if c not in on])
     both = r.unionByName(l)
     if balanced:
-        # One chunked pass (operators.ordered): a key with most of the rows is split across
-        # tasks by 32-day spans; the nearest value crosses chunk boundaries through a summary.
+        # One pass in ranges (operators.ordered): a key with more than ``range_rows`` rows is split across tasks at points
+        # drawn from its times; the nearest value crosses the borders through a summary.
         # Right rows sort before left rows at the same instant ("at or before" includes them);
         # in the reversed order left rows come first ("after" stays strict).
-        from .ordered import date_chunk, fill_both
         out = fill_both(both, on, [F.col("_t"), F.col("_side")], [F.col("_t").desc(), F.col("_side").desc()],
-                        date_chunk(F.col("_t")), "_rt", prev_name, next_name)
+                        "_rt", prev_name, next_name, range_rows, ties=[F.xxhash64(*both.columns)])
         return _known_times(out.where(F.col("_side") == 1), prev_name, next_name).select(*lcols, prev_name, next_name)
     w_prev = (Window.partitionBy(*on).orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import wall_micros
+from .ordered import RANGE_ROWS, sequence
 
 
 def asc_key(col: Column, kind: str = "number") -> Column:
@@ -38,15 +39,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def sequence_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                     name: str = "seq", chunk: Column | None = None) -> DataFrame:
+                     name: str = "seq", balanced: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` added as ``name``.
 
-    With ``chunk`` (a value that never decreases along ``order``, e.g. ``ordered.id_chunk``) it
-    runs as a chunked scan (``operators.ordered``), so a key holding a large share of the rows
+    ``balanced`` (default) uses the scan in ranges of ``operators.ordered``: a key with more than ``range_rows`` rows
     is split across tasks; ``order`` must then be unique within a key.
     """
-    if chunk is not None:
-        from .ordered import sequence
-        return sequence(df, keys, order, chunk, name)
+    if balanced:
+        return sequence(df, keys, order, name, range_rows)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))

@@ -11,7 +11,6 @@ from ledgerline.functions import (band, flag_list, json_present, json_str, label
 from ledgerline.functions.dates import first_of, wall_micros
 from ledgerline.functions.money import exact_div
 from ledgerline.operators import asof_prev_next, expand_periods, gaps, latest_per_key, mode_per_key, semi_flag, sequence_per_key
-from ledgerline.operators.ordered import date_chunk
 from ledgerline.plans.common import norm
 
 
@@ -56,13 +55,13 @@ def _rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_chunked_operators_keep_null_keys_and_null_order(spark):
+def test_balanced_operators_keep_null_keys_and_null_order(spark):
     rows = [(1, "2021-01-01"), (1, "2021-03-09"), (1, None), (None, "2021-02-02"), (None, "2021-02-12"), (None, None), (2, None)]
     df = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "k int, i int, t string").withColumn("t", F.col("t").cast("date"))
     got = gaps(df, ["k"], "t", order=["i"])
     assert got.count() == len(rows) and _rows(got) == _rows(gaps(df, ["k"], "t", order=["i"], balanced=False))
-    balanced = sequence_per_key(df, ["k"], [F.col("t"), F.col("i")], chunk=date_chunk(F.col("t")))
-    assert _rows(balanced) == _rows(sequence_per_key(df, ["k"], [F.col("t"), F.col("i")]))
+    order = [F.col("t"), F.col("i")]
+    assert _rows(sequence_per_key(df, ["k"], order)) == _rows(sequence_per_key(df, ["k"], order, balanced=False))
     right = spark.createDataFrame([(1, "2021-01-05"), (None, "2021-02-05"), (2, None), (2, "2021-05-05")], "k int, r string") \
         .withColumn("r", F.col("r").cast("date"))
     both = [asof_prev_next(df, right, ["k"], "t", "r", balanced=b) for b in (True, False)]
