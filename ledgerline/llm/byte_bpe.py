@@ -71,12 +71,11 @@ def encode(enc: tiktoken.Encoding, text: str, size: int = SLICE) -> np.ndarray:
     return np.concatenate([np.array(p, np.int32) for p in parts])
 
 
-def decode(enc: tiktoken.Encoding, ids: list[int | None] | None) -> bytes | None:
+def decode(enc: tiktoken.Encoding, ids: list[int | None]) -> bytes | None:
     """Raw bytes of ids; None where one of them is no id of the vocabulary."""
-    known = all(i is not None and 0 <= i < enc.n_vocab for i in ids or ())
     try:
-        return enc.decode_bytes(ids or []) if known else None
-    except KeyError:
+        return enc.decode_bytes(ids)
+    except (KeyError, OverflowError, TypeError):
         return None
 
 
@@ -89,7 +88,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
         ends = np.cumsum([0, *map(len, each)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *each])))
 
-    return docs.withColumn(out, F.arrow_udf(ids, "array<int>")(text_of(docs, text_col)))
+    # not deterministic in name only: Spark then keeps it apart from a decoder that reads it, and encodes once
+    return docs.withColumn(out, F.arrow_udf(ids, "array<int>").asNondeterministic()(text_of(docs, text_col)))
 
 
 def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
@@ -98,6 +98,8 @@ def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
 
     def raw(ids: pa.Array) -> pa.Array:
         enc = encoding(ranks_path, pattern)
-        return pa.array([decode(enc, row.as_py()) for row in ids], pa.binary())
+        flat, ends = ids.values.to_pylist() if ids.values.null_count else ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
+        known = [] if not len(ids) else ids.is_valid().to_pylist()
+        return pa.array([decode(enc, flat[a:b]) if ok else b"" for a, b, ok in zip(ends, ends[1:], known)], pa.binary())
 
     return rows.withColumn(out, F.arrow_udf(raw, "binary")(F.col(ids_col)))
