@@ -19,6 +19,7 @@ from .substring_dedup import remove_repeated_windows
 from .token_counts import count_tokens
 from .topk import top_k
 from .toxicity import held_out, score_toxicity
+from .turn_repair import damage_turns, repair_reports, repair_turns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_reports(repair_turns(damage_turns(turns), also=turns.select("conv_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
