@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._frames import stash
 from .byte_bpe import decode_ids, encode_texts
 from .decontaminate import mark_contamination
 from .html_text import extract_main_text
 from .line_dedup import remove_repeated_lines
 from .packing import pack, token_pieces
 from .pii import BASE_KINDS, find_personal_data
+from .prefix_trie import branched, numbered_turns, prefix_trie
 from .simhash import near_duplicate_groups
 from .substring_dedup import remove_repeated_windows
 from .token_counts import count_tokens
@@ -111,6 +113,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = branched(stash(numbered_turns(table(spark, sf_dir, "conversations"))))
+    return prefix_trie(turns, convs)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return repair_reports(repair_turns(damage_turns(turns), also=turns.select("conv_id")))
@@ -128,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
