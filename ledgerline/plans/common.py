@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import domain
+from ..sources.shared import shared_view
 
 # Fixed "today" of the checked reports; every report takes it as a parameter instead of
 # reading the clock.
@@ -19,6 +20,11 @@ def d(spark, t, name: str) -> DataFrame:
     return domain(spark, t, name)
 
 
+def ledger_view(spark, t) -> DataFrame:
+    """The ledger bucketed by agreement (sources.shared), written once for all reports that read it by agreement."""
+    return shared_view(t, "ledger", "agreement_id", lambda: domain(spark, t, "ledger"))
+
+
 def for_employer(df: DataFrame, employer_id: int | None, col: str = "employer_id") -> DataFrame:
     """Rows of one employer; ``None`` keeps every employer."""
     return df if employer_id is None else df.where(F.col(col) == employer_id)
