@@ -7,9 +7,9 @@ from .mode import mode_per_key
 from .schedule import expand_periods
 from .semi import semi_flag
 from .literal import literal_table
-from .eav import eav_value
+from .eav import attribute_ids, eav_values
 
 __all__ = [
     "asc_key", "latest_per_key", "sequence_per_key", "asof_prev_next", "gaps", "mode_per_key",
-    "expand_periods", "semi_flag", "literal_table", "eav_value",
+    "expand_periods", "semi_flag", "literal_table", "attribute_ids", "eav_values",
 ]

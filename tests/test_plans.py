@@ -59,7 +59,7 @@ def test_flagship_prunes_lineitem_columns(spark):
 # fixture derives employee records from two scans, agreements from two and paystubs from three.)
 MAX_SCANS = {"customer_status": (1, 23), "past_due_change_summary": (0, 19), "risk_burndown": (1, 19), "order_history": (2, 23),
              "schedule_anomalies": (0, 15), "ledger_risk": (0, 15), "pay_frequency_infer": (1, 14), "past_due_reconcile": (0, 11),
-             "schedule_compare_detail": (1, 10), "schedule_start_compare": (0, 12), "product_hierarchy": (0, 22)}
+             "schedule_compare_detail": (1, 10), "schedule_start_compare": (0, 12), "product_hierarchy": (0, 17)}
 
 
 def _final(df) -> list[str]:
