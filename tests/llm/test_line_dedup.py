@@ -146,3 +146,22 @@ def test_two_lines_of_fifty_words(docs_of):
     rows = [(1, f"p\n{a}\n{b}\nq"), (2, f"r\n{a}\n{b}\ns"), (3, f"{a}\n{c}\nt"), (4, f"{a}\n{c}\nu")]
     want = check_exact(docs_of(rows), rows)
     assert [sorted(want[r]) for r in rows] == [[], [1, 2], [], []]
+
+
+def test_every_window_has_its_fingerprint_and_equal_windows_the_same():
+    rng = random.Random(5)
+    line_of = {}
+    for _ in range(300):
+        text = "\n".join(rng.choice("abcdefg") if rng.random() < 0.8 else LONG + rng.choice("xyz") for _ in range(rng.randrange(15)))
+        lines, (hashes, chosen) = text.split("\n"), L.winnow(text)
+        assert sorted((h, k, n) for mine in chosen.values() for h, k, n in mine) == sorted((h, k, n) for h, k, _, n in L.fingerprints(text))
+        for at, mine in chosen.items():
+            for h, k, n in mine:
+                assert k <= at < k + n and line_of.setdefault(h, lines[at]) == lines[at]
+    texts = [f"unique {rng.random()}" for _ in range(2000)]
+    assert len(L.winnow("\n".join(texts))[1]) < 0.6 * len(texts)       # about half of the lines are fingerprints
+
+
+def test_texts_of_one_id_are_ordered_by_their_hash(docs_of):
+    got = [r.d.n_removed for r in L.remove_repeated_lines(docs_of([(None, SHORT), (None, SHORT + "\nmore"), (None, "x\n" + SHORT)]), out="d").collect()]
+    assert sorted(got) == [0, 6, 6]
