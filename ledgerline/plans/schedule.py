@@ -294,7 +294,7 @@ detail AS (
   SELECT v.*, near.* EXCLUDE (agreement_id, total), near.total AS total_amount, ag.magento_order_number,
          ag.status AS agreement_status, ag.past_due_amount AS agreement_past_due_amt,
          (SELECT sum(o.past_due_amount) FROM agreements o WHERE o.customer_id = near.customer_id) AS total_customer_past_due,
-         if(v.effective_date <= DATE '2001-06-30', 'current', 'future') || '_transactions' AS transaction_timeframe,
+         if(v.effective_date <= DATE '2001-06-30', 'current_transactions', 'future_transactions') AS transaction_timeframe,
          if(v.analysis_source = 'schedule_model', v.amount, NULL) AS scheduled_amt_model,
          if(v.analysis_source = 'schedule_ledger', v.amount, NULL) AS scheduled_amt_ledger,
          if(v.analysis_source = 'payments', v.amount, NULL) AS paid_amount
