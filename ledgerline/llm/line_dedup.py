@@ -8,8 +8,8 @@ Method: every counting run of at most three lines is a window, and the line with
 equal windows have the same line as fingerprint: a repeated run cannot be missed. Neighbouring windows mostly
 share a fingerprint, so about half of the lines are one. Fingerprints are grouped by line hash first; those of lines that are no
 fingerprint elsewhere go at once. The others are keyed by line hash and window (128 bits), so that the first place of a key is a true
-partner wherever parts of the window occurred before; joined to that place; and the match is extended both ways over the two lines on
-either side that a fingerprint carries. The ranges found merge into runs.
+partner wherever parts of the window occurred before; joined to that place; and the match is extended both ways, over the window and the
+lines on either side that a fingerprint carries. The ranges found merge into runs.
 
 Only the first place of a key meets the others (n - 1 rows for n places, never all pairs), and the two sides of each join are
 written tables, so adaptive execution splits the partition of a very common line.
@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from ._frames import free_name, order_id, stash, text_key, text_of
 
 MIN_LINES, LONG_WORDS = 3, 50
-REACH = 2                   # lines on either side that a fingerprint carries
+REACH = 1                   # lines on either side that a fingerprint carries beside its windows
+_PACKED = 18                # bytes of a window: lines before the fingerprint, lines, 128-bit hash
 _SIDES = [f"{side}{k}" for side in ("up", "down") for k in range(1, REACH + 1)]
-_FINGERPRINTS = f"line long, id long, key long, pos int, {', '.join(f'{c} long' for c in _SIDES)}, windows array<struct<a:int,n:int,h:long,g:long>>"
-_WINDOW = pa.struct([("a", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+_FINGERPRINTS = f"line long, id long, key long, pos int, {', '.join(f'{c} long' for c in _SIDES)}, windows binary"
 
 
 def _hashed(text: str | None) -> tuple[list[bytes], list[int]]:
@@ -71,17 +71,17 @@ def winnow(text: str | None, long_words: int = LONG_WORDS, min_lines: int = MIN_
 
 
 def _emit(long_words: int, min_lines: int):
-    def halves(digests: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    def first_half(digests: list[bytes]) -> list[int]:
+        return np.frombuffer(b"".join(digests), "<i8")[::2].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                row, pos, line, sides, ends, wins = [], [], [], [[] for _ in _SIDES], [0], []
+                row, pos, line, sides, wins = [], [], [], [[] for _ in _SIDES], []
                 for i, t in enumerate(part.column(2)):
                     hashes, chosen = winnow(t.as_py(), long_words, min_lines)
-                    short = [int(x) for x in halves(hashes)[:, 0]]
+                    short = first_half(hashes)
                     padded = [0] * REACH + short + [0] * REACH      # 0: no line there
                     for at, mine in chosen.items():
                         row.append(i)
@@ -89,14 +89,11 @@ def _emit(long_words: int, min_lines: int):
                         line.append(short[at])
                         for c, shift in zip(sides, [*range(-1, -REACH - 1, -1), *range(1, REACH + 1)]):
                             c.append(padded[at + REACH + shift])
-                        wins += mine
-                        ends.append(len(wins))
-                two, at = halves([w[0] for w in wins]), pa.array(row, pa.int32())
-                each = pa.StructArray.from_arrays([pa.array([w[1] for w in wins], pa.int32()), pa.array([w[2] for w in wins], pa.int32()),
-                                                   pa.array(two[:, 0]), pa.array(two[:, 1])], fields=list(_WINDOW))
+                        wins.append(b"".join([bytes((at - k, n)) + digest for digest, k, n in mine]))
+                at = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(line, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(pos, pa.int32()),
-                     *[pa.array(c, pa.int64()) for c in sides], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)],
+                     *[pa.array(c, pa.int64()) for c in sides], pa.array(wins, pa.binary())],
                     ["line", "id", "key", "pos", *_SIDES, "windows"])
 
     return run
@@ -116,11 +113,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, key, runs): for each document with a later repeat, its ranges of line numbers (end exclusive)."""
     prints = stash(docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col)).mapInArrow(_emit(long_words, min_lines), _FINGERPRINTS))
     several = stash(prints.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"))
-    keyed = prints.join(several, "line", "left_semi").select("id", "key", "pos", *_SIDES, F.explode("windows").alias("w"))
-    keyed = stash(keyed.select("w.h", "w.g", "id", "key", "w.a", "w.n", "pos", *_SIDES))
+    keyed = prints.join(several, "line", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.length("windows") - _PACKED, F.lit(_PACKED))).alias("at"))
+    byte = lambda k: F.conv(F.hex(F.substring("windows", F.col("at") + k, F.lit(1))), 16, 10).cast("int")
+    keyed = stash(keyed.select(F.substring("windows", F.col("at") + 3, F.lit(16)).alias("window"), "id", "key", (F.col("pos") - byte(1)).alias("a"),
+                               byte(2).alias("n"), "pos", *_SIDES))
     place = ["id", "key", "a"]
-    first = stash(keyed.groupBy("h", "g").agg(F.min(F.struct(*place, "pos", *_SIDES)).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    later = keyed.join(first, ["h", "g"]).where(F.struct(*place) > F.struct(*[F.col(f"s.{c}") for c in place]))
+    first = stash(keyed.groupBy("window").agg(F.min(F.struct(*place, "pos", *_SIDES)).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    later = keyed.join(first, "window").where(F.struct(*place) > F.struct(*[F.col(f"s.{c}") for c in place]))
     start = F.least("a", F.col("pos") - _extended("up"))
     end = F.greatest(F.col("a") + F.col("n"), F.col("pos") + 1 + _extended("down"))
     runs = later.select("id", "key", F.struct(start.alias("a"), end.alias("b")).alias("r"))
