@@ -139,6 +139,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
+def _sql_crc32(text: str) -> str:
+    """DuckDB text of the unsigned CRC-32 (reflected, polynomial 0xEDB88320) of an ASCII string."""
+    byte = ("list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)")
+    data = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda crc, b: {byte}), 4294967295::BIGINT)"
+
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
@@ -176,4 +183,66 @@ SQL: dict[str, str] = {
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_conversation_trie": f"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_sql_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (SELECT c.conv_id, place, role, text FROM c JOIN t USING (conv_id) WHERE place > h
+              UNION ALL SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE place <= h),
+        p AS (SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (place IS NOT NULL), []) AS turns
+              FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+        q AS (SELECT conv_id, d, sha256(turns[1:d]::VARCHAR) AS node, if(d > 0, sha256(turns[1:d - 1]::VARCHAR), NULL) AS up, len(turns) = d AS ends,
+                     if(d > 0, len(regexp_extract_all(turns[d].text, '[^\\x20\\x09-\\x0D]+')), 0) AS words,
+                     list_transform(range(0, d + 1), lambda k: sha256(turns[1:k]::VARCHAR)) AS above
+              FROM p, unnest(range(0, len(turns) + 1)) AS x(d)),
+        n AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     (count(*) - 1) * any_value(words) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+              FROM q GROUP BY node),
+        k AS (SELECT up AS node, count(*) AS n_children FROM n GROUP BY up),
+        b AS (SELECT top AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL)::BIGINT AS n_leaves
+              FROM (SELECT unnest(above) AS top, saved, n_children FROM n LEFT JOIN k USING (node)) GROUP BY top)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+               n_leaves, saved_tokens, n.ends_sha256
+        FROM n JOIN b USING (node) LEFT JOIN k USING (node) LEFT JOIN n o ON o.node = n.up""",
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE hit AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 {_sql_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+        bad AS (SELECT conv_id, turn, if(kind = 4, 'user', role) AS role, unnest(range(if(kind = 3, 2, 1))) AS copy,
+                       CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hit WHERE kind <> 0),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM bad),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                             WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault, left(role, 1) AS initial,
+                     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM seen),
+        c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        -- cheapest, then least edits that reach a state: z nothing yet, s after system, u after user, a after assistant
+        w AS (
+          SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'e': '', 't': []::VARCHAR[]}} AS z, NULL::STRUCT(c INTEGER, e VARCHAR, t VARCHAR[]) AS s,
+                 {{'c': 2, 'e': 'I', 't': ['user:']}} AS u, {{'c': 4, 'e': 'II', 't': ['user:', 'assistant:']}} AS a FROM c
+          UNION ALL
+          SELECT conv_id, i, z, s, u, list_min([a, {{'c': u.c + 2, 'e': u.e || 'I', 't': list_append(u.t, 'assistant:')}}]) AS a FROM (
+            SELECT conv_id, i, z, s, list_min(list_filter([u, {{'c': z.c + 2, 'e': z.e || 'I', 't': list_append(z.t, 'user:')}},
+                     {{'c': s.c + 2, 'e': s.e || 'I', 't': list_append(s.t, 'user:')}}, {{'c': a.c + 2, 'e': a.e || 'I', 't': list_append(a.t, 'user:')}}],
+                     lambda x: x.c IS NOT NULL)) AS u, a FROM (
+              SELECT w.conv_id, f.i, {{'c': z.c + 3, 'e': z.e || 'D', 't': z.t}} AS z,
+                     list_min(list_filter([{{'c': s.c + 3, 'e': s.e || 'D', 't': s.t}},
+                       {{'c': if(stays AND initial = 's', z.c + late, NULL), 'e': z.e || 'K', 't': list_append(z.t, kept)}}], lambda x: x.c IS NOT NULL)) AS s,
+                     list_min(list_filter(list_concat([{{'c': u.c + 3, 'e': u.e || 'D', 't': u.t}}], flatten(list_transform([z, s, a], lambda x: [
+                       {{'c': if(stays AND initial = 'u', x.c + late, NULL), 'e': x.e || 'K', 't': list_append(x.t, kept)}},
+                       {{'c': if(stays, x.c + 2 + late, NULL), 'e': x.e || 'R', 't': list_append(x.t, 'user:' || text)}}]))), lambda x: x.c IS NOT NULL)) AS u,
+                     list_min(list_filter([{{'c': a.c + 3, 'e': a.e || 'D', 't': a.t}},
+                       {{'c': if(stays AND initial = 'a', u.c + late, NULL), 'e': u.e || 'K', 't': list_append(u.t, kept)}},
+                       {{'c': if(stays, u.c + 2 + late, NULL), 'e': u.e || 'R', 't': list_append(u.t, 'assistant:' || text)}}], lambda x: x.c IS NOT NULL)) AS a
+              FROM w JOIN (SELECT conv_id, i, text, initial, role || ':' || text AS kept, fault IS NULL OR fault = 'truncated' AS stays,
+                                  CAST(fault IS NOT NULL AS INTEGER) AS late FROM f) f
+                ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+        best AS (SELECT conv_id, list_min([z, a]) AS x, c.* EXCLUDE (conv_id, n) FROM w JOIN c USING (conv_id) WHERE i = n)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost,
+               coalesce(x.e, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best USING (conv_id)""",
 }
