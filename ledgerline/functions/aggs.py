@@ -29,8 +29,9 @@ def text_list(col: Column, sep: str = ",", distinct: bool = True, order_by: Colu
     """group_concat: NULLs skipped, sorted ascending (by ``order_by`` when given, else by the
     text), NULL (not '') when nothing is left.
 
-    ``collect_set`` / ``collect_list`` are partial aggregates (map-side combine), so the
-    list per key is built incrementally, never by gathering the raw rows in one place.
+    The values of a key end in one aggregate buffer of one task (``collect_set`` drops repeats before the shuffle,
+    ``collect_list`` does not), so this is for keys with a moderate number of values. For any number use
+    ``operators.text_list_per_key`` or, as rows, ``operators.list_rows``.
     """
     if order_by is not None:
         pairs = F.array_sort(F.collect_list(F.struct(order_by.alias("k"), col.alias("v"))))

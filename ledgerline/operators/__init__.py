@@ -3,6 +3,7 @@
 from .latest import asc_key, latest_per_key, sequence_per_key
 from .asof import asof_prev_next
 from .gaps import gaps
+from .lists import list_rows, text_list_per_key
 from .mode import mode_per_key
 from .schedule import expand_periods
 from .semi import semi_flag
@@ -11,5 +12,5 @@ from .eav import attribute_ids, eav_values
 
 __all__ = [
     "asc_key", "latest_per_key", "sequence_per_key", "asof_prev_next", "gaps", "mode_per_key",
-    "expand_periods", "semi_flag", "literal_table", "attribute_ids", "eav_values",
+    "expand_periods", "semi_flag", "literal_table", "attribute_ids", "eav_values", "list_rows", "text_list_per_key",
 ]

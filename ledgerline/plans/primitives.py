@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import (any_if, band, flag_list, label, local_date, max_if, min_if,
                          prefix_before, shift_weekend, split_cents, text_list, whole_units)
 from ..operators import (asc_key, asof_prev_next, gaps, latest_per_key, literal_table,
-                         mode_per_key, semi_flag, sequence_per_key)
+                         list_rows, mode_per_key, semi_flag, sequence_per_key,
+                         text_list_per_key)
 from ..registry import register
 
 AS_OF_TS = "2001-09-01 00:00:00"
@@ -165,6 +166,27 @@ def string_agg_ordered(spark, t):
         text_list(F.date_format("o_orderdate", "yyyy-MM-dd"), ";").alias("order_dates"))
 
 
+@register("text_list_large", """
+SELECT l_returnflag, string_agg(CAST(CAST(l_shipdate AS DATE) AS VARCHAR), ',' ORDER BY l_shipdate) AS ship_dates,
+       string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ';' ORDER BY CAST(l_suppkey AS VARCHAR)) AS suppliers
+FROM lineitem GROUP BY l_returnflag
+""")
+def text_list_large(spark, t):
+    li = t["lineitem"].select("l_returnflag", F.to_date("l_shipdate").alias("ship_date"), "l_suppkey")
+    dates = text_list_per_key(li, ["l_returnflag"], "ship_date", "ship_dates", distinct=False)
+    return dates.join(text_list_per_key(li, ["l_returnflag"], "l_suppkey", "suppliers", sep=";"), "l_returnflag")
+
+
+@register("text_list_rows", """
+SELECT l_returnflag, l_linestatus, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS BIGINT) AS position,
+       CAST(l_extendedprice AS DOUBLE) AS l_extendedprice
+FROM lineitem
+""")
+def text_list_rows(spark, t):
+    rows = list_rows(t["lineitem"], ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return rows.withColumns({"position": F.col("position").cast("bigint"), "l_extendedprice": F.col("l_extendedprice").cast("double")})
+
+
 @register("flag_list", """
 SELECT o_orderkey,
        nullif(concat_ws(', ',
