@@ -7,16 +7,20 @@ with the largest sum anchors the article; the least density on the path from it
 the article is the highest node on that path (below the body) whose density is above the body's own. Inside it, link lists
 under the threshold are left out.
 
-What never is main text goes before the counts: scripts, styles and other raw elements, forms and their controls, nav, header (unless it
-is inside an article), footer, aside, dialogs, hidden elements, and elements whose class, id or role has a word that names a menu, sidebar,
-notice, advert or reader comments. Headings never go by such a word; inside an ``article`` element a marked part goes only if more than
-half of it is links. If the article would be one of several containers directly under the body, it is the body.
+What never is main text goes before the counts: scripts, styles and other raw elements, controls of forms, nav, header (unless it
+is inside an article), footer, aside, dialogs and hidden elements. Forms, and elements marked as a menu, sidebar, notice, advert or reader
+comments by a name in class, id or role, go by what they hold: one with over half of the page's characters stays if it holds the
+article, main or h1 element, or if next to nothing is left without it. A name marks as a whole, at the end of a compound (``user-comments``)
+or before a word for a holder (``ad-box``); not after a state word (``has-sidebar``), and in an id, which may stem from a heading, not if it is
+an everyday word. Headings are never marked. Inside an ``article`` element reader comments, adverts, notices of consent and newsletter boxes go
+by their name, other marked parts only if more than half of them is links. If the article would be one of several containers
+directly under the body, it is the body.
 
 Text: character references decoded once, white space inside a block to one space, trimmed; blocks (and parts around
 a block inside) in page order, joined by a line feed. ``br`` ends a line like a block.
 
 Defined cases: a null or empty page, or one without text, gives an empty text. Text outside of any element counts as the
-body's. Very deep nesting is flat work (no recursion). Repeated pages each get a row.
+body's. Very deep nesting is flat work (no recursion, no walk over the open elements). Repeated pages each get a row.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +43,7 @@ _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style noscript template head title svg math canvas iframe object embed audio video map nav footer aside form button "
+DROPPED = frozenset("script style noscript template head title svg math canvas iframe object embed audio video map nav footer aside button "
                     "select option textarea input label fieldset legend dialog menu datalist optgroup noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary "
@@ -52,12 +57,18 @@ IMPLIED = {
     "thead": (("tbody", "tfoot", "tr", "td", "th"), ("table",)), "option": (("option",), ("select", "datalist")),
     "optgroup": (("option", "optgroup"), ("select",)),
 }
-# Words of class, id and role that name a part beside the article.
-BESIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted outbrain taboola "
-                   "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside rail widget widgets "
-                   "header masthead topbar footer foot colophon copyright complementary contentinfo cookie cookies consent gdpr notice notices notification alert "
-                   "popup modal overlay toast newsletter subscribe subscription signup login search comment comments commentlist disqus respond "
-                   "replies discussion share sharing social related recommended recommendations skip".split())
+# Words of class, id and role that name a part beside the article. READERS go inside of one too; EVERYDAY words are
+# also common in headings and so in ids made from them.
+READERS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promoted outbrain taboola "
+                    "cookie cookies consent gdpr popup modal newsletter subscribe subscription comment comments commentlist disqus respond".split())
+STRUCTURE = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside widget widgets "
+                      "header masthead topbar footer foot colophon copyright complementary contentinfo".split())
+EVERYDAY = frozenset("promotion rail notice notices notification alert overlay toast signup login search replies discussion share sharing social related "
+                     "recommended recommendations skip".split())
+BESIDE = READERS | STRUCTURE | EVERYDAY
+STATES = frozenset("has have no not with without is show hide hidden non".split())
+HOLDERS = frozenset("box bar wrapper wrap container block area section list form links link panel slot unit holder inner group module row strip region thread".split())
+OWN_PARTS = frozenset("post entry article content story section title page".split())
 BODY_PARTS = frozenset(("html", "body", "main", "article"))
 CONTAINERS = frozenset("div section article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -66,44 +77,64 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "marked")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "links", "tags", "link_tags", "density", "total", "mark", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.marked = False
+        self.mark, self.inside = "", False
 
 
-def _beside(tag: str, attrs: str, parents: list["Node"]) -> bool:
-    """Whether an element is no main text whatever it holds."""
-    if tag in DROPPED:
+def _beside(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is no main text whatever it holds; ``inside``: of an article element."""
+    if tag in DROPPED or tag == "header" and not inside:
         return True
-    if tag == "header":
-        return not any(p.tag == "article" for p in parents)
     if not attrs or tag in BODY_PARTS:
         return False
-    inside = tag in HEADINGS or any(p.tag == "article" for p in parents)
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return not inside and _marked(attrs)
+    return False
 
 
-def _marked(attrs: str) -> bool:
-    """Whether class, id or role has a word that names a part beside the article."""
-    return any(name.lower() in ("class", "id", "role") and not BESIDE.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value.strip("\"'")).lower()))
-               for name, value in _ATTR.findall(attrs))
+def _mark(attrs: str) -> str:
+    """The word of class, id or role that names a part beside the article, READERS first, or an empty text."""
+    found = ""
+    for name, value in _ATTR.findall(attrs):
+        name = name.lower()
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.strip("\"'").split():
+            parts = _WORDS.findall(_CAMEL.sub(" ", token).lower())
+            if not parts or parts[0] in STATES:
+                continue
+            words = [parts[-1]]
+            if len(parts) > 1 and (parts[-1] in HOLDERS or parts[-1] in BESIDE):
+                words.append(parts[0])
+            if len(parts) > 1 and parts[-1] in ("header", "foot", "footer") and parts[0] in OWN_PARTS:
+                words = []
+            for word in words:
+                if word in READERS:
+                    return word
+                if word in STRUCTURE or word in EVERYDAY and name != "id":
+                    found = found or word
+    return found
 
 
 def parse(page: str) -> Node:
     """The DOM under a body node; dropped elements are kept as empty nodes."""
     body = Node("body", None, False)
     stack, at, end = [body], 0, len(page)
+    opened: Counter[str] = Counter()        # of each name on the stack, so that nothing is looked for in vain
+
+    def cut(low: int) -> None:
+        opened.subtract(n.tag for n in stack[low:])
+        del stack[low:]
 
     def text(s: str) -> None:
         if s and not stack[-1].dropped:
@@ -111,6 +142,8 @@ def parse(page: str) -> Node:
 
     def close(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
         """Close the outermost open element of ``names`` above the nearest of ``stops``."""
+        if not any(opened[n] for n in names):
+            return
         low = 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in stops:
@@ -118,7 +151,7 @@ def parse(page: str) -> Node:
             if stack[k].tag in names:
                 low = k
         if low:
-            del stack[low:]
+            cut(low)
 
     while at < end:
         lt = page.find("<", at)
@@ -139,12 +172,12 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m["close"] or m["close2"]:
-            if name == "p" and not any(n.tag == "p" for n in stack):
+            if name == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p", stack[-1], False))
-            elif name not in ("html", "body"):
+            elif name not in ("html", "body") and opened[name]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == name:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].tag in ("td", "th", "table") and name not in BLOCKS:
                         break
@@ -152,7 +185,7 @@ def parse(page: str) -> Node:
         if name in ("html", "body"):
             continue
         if name not in ("head",) and stack[-1].tag == "head" and name not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            stack.pop()
+            cut(len(stack) - 1)
         if name in CLOSES_P and stack[-1].tag != "body":
             close(("p",), ("button", "td", "th", "table", "article", "section", "div", "li", "blockquote", "main", "figure"))
         if name in IMPLIED:
@@ -161,8 +194,9 @@ def parse(page: str) -> Node:
             close(("a",), ("td", "th", "table", "div", "li", "p"))
         attrs = m["attrs"] or m["attrs2"] or ""
         parent = stack[-1]
-        node = Node(name, parent, parent.dropped or _beside(name, attrs, stack))
-        node.marked = bool(attrs) and name not in BODY_PARTS and _marked(attrs)
+        node = Node(name, parent, parent.dropped or _beside(name, attrs, opened["article"] > 0))
+        node.inside = opened["article"] > 0
+        node.mark = "form" if name == "form" else _mark(attrs) if attrs and name not in BODY_PARTS and name not in HEADINGS else ""
         if not parent.dropped:
             parent.children.append(node)
         if name in RAW:
@@ -172,6 +206,7 @@ def parse(page: str) -> Node:
                 node.children.append(html.unescape(inside))
         elif name not in VOID and not attrs.rstrip().endswith("/") or name not in VOID and name in BLOCKS:
             stack.append(node)
+            opened[name] += 1
     return body
 
 
@@ -185,6 +220,39 @@ def _walk(top: Node) -> list[Node]:
     return out
 
 
+def leave_out(body: Node) -> None:
+    """Drop forms and marked parts by what they hold (module docstring)."""
+    nodes = _walk(body)
+    size: dict[int, int] = {}
+    titled: dict[int, bool] = {}            # holds an article, main or h1 element with text
+    for node in reversed(nodes):
+        size[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else size.get(id(c), 0) for c in node.children)
+        titled[id(node)] = size[id(node)] > 0 and (node.tag in ("article", "main", "h1") or any(titled.get(id(c), False) for c in node.children if not isinstance(c, str)))
+    outer, todo = [], [body]                # marked parts outside of an article, the outermost ones
+    rest, rest_titled = size[id(body)], False
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str) or c.dropped:
+                continue
+            if c.mark and not c.inside:
+                outer.append(c)
+                rest -= size[id(c)]
+            else:
+                rest_titled = rest_titled or size[id(c)] > 0 and c.tag in ("article", "main", "h1")
+                todo.append(c)
+    whole = size[id(body)]
+
+    def goes(node: Node) -> bool:
+        if node.inside:
+            return (node.mark == "form" or node.mark in READERS) and not titled[id(node)]
+        if 2 * size[id(node)] <= whole:
+            return True
+        return not titled[id(node)] and (rest_titled or 4 * rest >= whole)
+    for node in nodes:
+        if node.mark:
+            node.dropped = goes(node)
+
+
 def measure(body: Node) -> list[Node]:
     """Counts, composite densities and density sums of every node; returns the nodes in page order."""
     nodes = _walk(body)
@@ -236,6 +304,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     body = parse(page)
+    leave_out(body)
     top, threshold = article(body)
     lines: list[list[str]] = [[]]
     todo: list[Node | str | None] = [top]
@@ -246,7 +315,7 @@ def main_text(page: str | None) -> str:
         elif isinstance(x, str):
             lines[-1].append(x)
         elif not x.dropped:
-            if x is not top and x.links > 0.5 * x.chars and (x.marked or x.tag in BLOCKS and x.density < threshold and x.link_tags > 1):
+            if x is not top and x.links > 0.5 * x.chars and (x.mark or x.tag in BLOCKS and x.density < threshold and x.link_tags > 1):
                 lines.append([])
                 continue
             block = x.tag in BLOCKS

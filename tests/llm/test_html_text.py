@@ -70,3 +70,91 @@ def test_article_in_sibling_containers():
         parts = ["".join(f"<p>{P1 * 3} {k} {j}</p>" for j in range(3)) for k in range(n)]
         want = "\n".join(f"{P1 * 3} {k} {j}" for k in range(n) for j in range(3))
         assert main_text("<body>" + "".join(f"<div>{x}</div>" for x in parts) + "</body>") == want
+
+
+BODY = f"<h1>Title here</h1><p>{P1}</p><p>{P1} end</p>"
+BODY_TEXT = f"Title here\n{P1}\n{P1} end"
+
+
+def test_layout_words_do_not_hide_the_article():
+    for page in (f'<div class="layout has-sidebar"><article>{BODY}</article></div>', f'<div class="search-results-page"><article>{BODY}</article></div>',
+                 f'<div id="social-science"><article>{BODY}</article></div>', f'<main><div class="content no-comments">{BODY}</div></main>',
+                 f'<form action="/x"><div><article>{BODY}</article></div><input value="v"><button>Go</button></form>',
+                 f'<form><div class="sidebar"><p>menu</p></div>{BODY}</form>', f'<div class="sidebar"><div>{BODY}</div></div>',
+                 f'<div class="page-header"></div><div class="widget"><main>{BODY}</main></div><div class="comments"><p>{P1}</p></div>'):
+        assert main_text(f"<body>{page}</body>") == BODY_TEXT, page
+
+
+def test_titles_and_sections_of_a_page_without_an_article_element():
+    page = f"<div class='post-header'><h1>Title here</h1></div><div><p>{P1}</p><section id='discussion'><h2>Discussion</h2><p>{P1} end</p></section></div>"
+    assert main_text(f"<body><div>{page}</div></body>") == f"Title here\n{P1}\nDiscussion\n{P1} end"
+    for word in ("search", "share", "social", "notice", "related", "skip"):
+        assert main_text(f"<body><div>{BODY}<section id='{word}'><h2>{word}</h2><p>{P1} {word}</p></section></div></body>") == f"{BODY_TEXT}\n{word}\n{P1} {word}"
+
+
+def test_reader_comments_and_adverts_inside_the_article_go_without_links():
+    for mark in ("class='comments'", "id=comments", "class='user-comments'", "class='commentlist'", "class=ad", "class='ad-box'", "class='sponsored'",
+                 "class='newsletter'", "id='newsletterBox'", "class='cookie-notice'"):
+        assert main_text(f"<body><article>{BODY}<div {mark}><p>{P1} beside</p><p>{P1} more</p></div></article></body>") == BODY_TEXT, mark
+    kept = f"<div class='discussion'><p>{P1} own</p></div>"
+    assert main_text(f"<body><article>{BODY}{kept}</article></body>") == f"{BODY_TEXT}\n{P1} own"
+
+
+def test_more_comments_than_article():
+    page = f"<article>{BODY}</article><div class='comments'>" + f"<p>{P1} said</p>" * 40 + "</div>"
+    assert main_text(f"<body>{page}</body>") == BODY_TEXT
+    assert main_text(f"<body><div>{BODY}</div><div class='comments'>" + f"<p>{P1} said</p>" * 40 + "</div></body>") == BODY_TEXT
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(n, page):
+        start = time.perf_counter()
+        assert main_text(page(n)) != ""
+        return time.perf_counter() - start
+    for page in (lambda n: "<div class='x'>" * n + "deep words", lambda n: "<span id=a>" * n + "deep words" + "</p>" * n,
+                 lambda n: "<i>" * n + "deep words" + "</b>" * n, lambda n: "<ul><li class=x>" * n + "deep words"):
+        assert seconds(100_000, page) < 40 * max(0.05, seconds(10_000, page))       # quadratic work would take 100 times
+
+
+def brute_density(node):
+    """(characters, link characters, tags, link tags) of a subtree, by plain recursion."""
+    c = l = t = lt = 0
+    for x in node.children:
+        if isinstance(x, str):
+            c += len("".join(x.split()))
+        elif not x.dropped:
+            a, b, d, e = brute_density(x)
+            c, l, t, lt = c + a, l + b, t + d + 1, lt + e
+    return (c, c, t, lt + 1) if node.tag == "a" else (c, l, t, lt)
+
+
+def test_densities_and_anchor_by_brute_force():
+    import math
+    import random
+
+    from ledgerline.llm import html_text as H
+
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randrange(12)
+        tag = rng.choice(["div", "p", "a", "section", "span", "ul"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag}>"
+    for _ in range(200):
+        body = H.parse("<body>" + "".join(tree(4) for _ in range(3)) + "</body>")
+        H.leave_out(body)
+        nodes = H.measure(body)
+        c, l, _, _ = brute_density(body)
+        whole = l / max(1, c)
+        value = {}
+        for n in nodes:
+            c, l, t, lt = brute_density(n)
+            t, lt = max(1, t), max(1, lt)
+            base = math.log(c * l / max(1, c - l) + whole * c + math.e)
+            value[id(n)] = c / t * math.log(max(1.0, c / max(1, l) * t / lt) + 1) / base if c else 0.0
+            assert math.isclose(n.density, value[id(n)], abs_tol=1e-9)
+        sums = {id(n): sum(value[id(x)] for x in n.children if not isinstance(x, str) and not x.dropped) for n in nodes}
+        assert math.isclose(max(n.total for n in nodes), max(sums.values()), abs_tol=1e-9)
