@@ -7,7 +7,9 @@ set it. A text without words (or null) has fingerprint zero and links like any o
 Links: equal fingerprints are grouped first, so copies cost nothing. A vantage-point tree over a bounded
 sample splits the distinct fingerprints by Hamming distance to a vantage point into shards; a fingerprint within
 ``max_bits`` of a border also visits the other side (triangle inequality), so each pair within
-``max_bits`` meets in the home shard of either. A shard searches its own vantage-point tree with the same
+``max_bits`` meets in the home shard of either. Where the input is so large that the sample cannot tell shards of the wanted size apart,
+shards over twice that size go on dividing in Spark, level by level: each draws a vantage point from a bounded sample of its own, and its
+rows are dealt by distance. A shard searches its own vantage-point tree with the same
 bounds and emits a star a local component instead of all pairs. Stars join to components across shards.
 
 A shard cannot be split further only where its fingerprints lie within a few bits of each other; that
@@ -34,6 +36,8 @@ SHINGLE, MAX_BITS = 3, 2
 SAMPLE = 8192          # fingerprints that the driver sees to place the shards' borders
 SHARD = 16384          # distinct fingerprints a shard, about
 LEAF = 256
+OWN_SAMPLE = 1024      # fingerprints, about, that a shard draws to divide again
+_LEAST = 8             # sampled fingerprints that a shard of the first tree stands on at least
 _CANDIDATES = 24       # vantage points tried at a node
 
 
@@ -85,7 +89,7 @@ class Shards:
     def __init__(self, sample: np.ndarray, share: float, bits: int):
         """``share``: the part of all fingerprints that one shard may hold."""
         self.bits, self.nodes, self.count = bits, [], 0
-        self.root = self._grow(sample, max(8.0, share * len(sample)))
+        self.root = self._grow(sample, max(float(_LEAST), share * len(sample)))
 
     def _grow(self, points: np.ndarray, most: float) -> int:
         cut = _split(points, self.bits) if len(points) > most else None
@@ -178,13 +182,44 @@ def link_shard(points: np.ndarray, home: np.ndarray, bits: int = MAX_BITS) -> tu
     return points[linked], points[label[linked]]
 
 
+def _cut(key: tuple, sample: pa.Table, bits: int) -> pa.Table:
+    """The vantage point and radius by which a shard divides, from its sample; no row if no border helps."""
+    points = np.sort(sample.column("fp").to_numpy().view(np.uint64))
+    cut = _split(points, bits)
+    rows = [] if cut is None else [(key[0].as_py(), int(cut[0].view(np.int64)), cut[1])]
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.string()), "point": pa.array([r[1] for r in rows], pa.int64()),
+                     "radius": pa.array([r[2] for r in rows], pa.int32())})
+
+
+def divide(routed: DataFrame, bits: int, most: int) -> DataFrame:
+    """``routed`` (shard, fp, home) with shards of more than ``most`` rows divided, until none is left that a border divides."""
+    done = []
+    while True:
+        sizes = stash(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+        if sizes.isEmpty():
+            break
+        one_in = F.greatest(F.lit(1), F.floor(F.col("n") / OWN_SAMPLE)).cast("long")
+        sample = routed.join(sizes, "shard").where(F.pmod(F.xxhash64("fp"), one_in) == 0).select("shard", "fp")
+        cuts = stash(sample.groupBy("shard").applyInArrow(lambda key, rows: _cut(key, rows, bits), "shard string, point long, radius int"))
+        done.append(routed.join(cuts.select("shard"), "shard", "left_anti"))
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
+        sides = F.array(F.when(far - bits <= F.col("radius"), F.struct(F.lit("i").alias("side"), (F.col("home") & (far <= F.col("radius"))).alias("home"))),
+                        F.when(far + bits > F.col("radius"), F.struct(F.lit("o").alias("side"), (F.col("home") & (far > F.col("radius"))).alias("home"))))
+        dealt = routed.join(cuts, "shard").select("shard", "fp", F.explode(F.array_compact(sides)).alias("s"))
+        routed = stash(dealt.select(F.concat("shard", "s.side").alias("shard"), "fp", F.col("s.home").alias("home")))
+    for more in done:
+        routed = routed.unionByName(more)
+    return routed
+
+
 def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Distinct fingerprints (column ``fp``, long) -> edges (a, b) that connect all within ``bits`` of each other."""
     spark = distinct.sparkSession
     total = distinct.count()
-    seen = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // (2 * SAMPLE)))) == 0)     # about twice the sample reaches the driver
+    seen = [r.fp for r in some.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     shards = Shards(np.array(seen, np.int64).view(np.uint64), min(1.0, SHARD / max(1, total)), bits)
-    tree = spark.sparkContext.broadcast(shards)  # at most SAMPLE / 8 nodes
+    tree = spark.sparkContext.broadcast(shards)  # at most SAMPLE / _LEAST nodes
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,18 +228,40 @@ def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(points[at].view(np.int64)),
                                                   pa.array(home)], ["shard", "fp", "home"])
 
+    def star(points: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        points = points.view(np.uint64)
+        order = np.argsort(points)  # the least index is then the least fingerprint, whatever the order of arrival
+        x, y = link_shard(points[order], home.astype(bool)[order], bits)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column("fp").to_numpy(zero_copy_only=False), b.column("home").to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
-            return
-        points = np.concatenate([p[0] for p in parts]).view(np.uint64)
-        home = np.concatenate([p[1] for p in parts]).astype(bool)
-        order = np.argsort(points)  # the least index is then the least fingerprint, whatever the order of arrival
-        x, y = link_shard(points[order], home[order], bits)
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+        if parts:
+            yield star(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+    def link_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shards one after the other, in the order of their name."""
+        now, fps, homes = None, [], []
+        for b in batches:
+            names = b.column("shard").to_pylist()
+            edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            fp, home = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "home"))
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi:
+                    if now is not None and names[lo] != now:
+                        yield star(np.concatenate(fps), np.concatenate(homes))
+                        fps, homes = [], []
+                    now = names[lo]
+                    fps.append(fp[lo:hi])
+                    homes.append(home[lo:hi])
+        if fps:
+            yield star(np.concatenate(fps), np.concatenate(homes))
 
     routed = distinct.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
-    return routed.repartitionById(shards.count, F.col("shard")).mapInArrow(link, "a long, b long")
+    if SHARD * len(seen) >= _LEAST * total:
+        return routed.repartitionById(shards.count, F.col("shard")).mapInArrow(link, "a long, b long")
+    parts = divide(stash(routed.withColumn("shard", F.col("shard").cast("string"))), bits, 2 * SHARD)
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(link_each, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -72,6 +72,32 @@ def test_shards_and_local_trees_find_every_link(spark, monkeypatch):
     assert len(set(mine.values())) == len(mine)
 
 
+def test_shards_that_divide_again_find_every_link(spark, monkeypatch):
+    """A first tree that is far too coarse: 16 sampled fingerprints for 4,600."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2 ** 64, 60, dtype=np.uint64)
+    near = [c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centre[:25]]
+    x = np.unique(np.concatenate([centre, *near, *(n ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for n in near[:5]),
+                                  rng.integers(0, 2 ** 64, 3000, dtype=np.uint64)]))
+    for name, value in (("SHARD", 100), ("SAMPLE", 16), ("OWN_SAMPLE", 64)):
+        monkeypatch.setattr(S, name, value)
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(6)
+    divided, sizes = S.divide, []
+
+    def seen(*args):
+        out = divided(*args)
+        sizes.extend(r["count"] for r in out.groupBy("shard").count().collect())
+        homes = out.where("home").groupBy("fp").count().where("count <> 1").count()
+        assert homes == 0 and out.where("home").count() == len(x)
+        return out
+    monkeypatch.setattr(S, "divide", seen)
+    comp = {r.node & (1 << 64) - 1: r.component for r in connected_components(S.link_fingerprints(df)).collect()}
+    want = groups([int(v) for v in x])
+    for k, v in enumerate(x):
+        assert comp.get(int(v), int(np.int64(v.view(np.int64)))) == int(x[want == want[k]].view(np.int64).min())
+    assert len(sizes) > 30 and max(sizes) < len(x) / 4      # many shards, none near the whole
+
+
 def test_components_long_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7), (300, 100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
