@@ -8,7 +8,7 @@ Links: equal fingerprints are grouped first, so copies cost nothing. A vantage-p
 sample splits the distinct fingerprints by Hamming distance to a vantage point into shards; a fingerprint within
 ``max_bits`` of a border also visits the other side (triangle inequality), so each pair within
 ``max_bits`` meets in the home shard of either. Where the input is so large that the sample cannot tell shards of the wanted size apart,
-shards over twice that size go on dividing in Spark, level by level: each draws a vantage point from a bounded sample of its own, and its
+shards of more than ``MOST_ROWS`` rows go on dividing in Spark, level by level: each draws a vantage point from a bounded sample of its own, and its
 rows are dealt by distance. A shard searches its own vantage-point tree with the same
 bounds and emits a star a local component instead of all pairs. Stars join to components across shards.
 
@@ -36,6 +36,7 @@ SHINGLE, MAX_BITS = 3, 2
 SAMPLE = 8192          # fingerprints that the driver sees to place the shards' borders
 SHARD = 16384          # distinct fingerprints a shard, about
 LEAF = 256
+MOST_ROWS = 1 << 20    # rows of a shard, visitors included, above which it divides again (9 bytes each)
 OWN_SAMPLE = 1024      # fingerprints, about, that a shard draws to divide again
 _LEAST = 8             # sampled fingerprints that a shard of the first tree stands on at least
 _CANDIDATES = 24       # vantage points tried at a node
@@ -260,7 +261,7 @@ def link_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     routed = distinct.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
     if SHARD * len(seen) >= _LEAST * total:
         return routed.repartitionById(shards.count, F.col("shard")).mapInArrow(link, "a long, b long")
-    parts = divide(stash(routed.withColumn("shard", F.col("shard").cast("string"))), bits, 2 * SHARD)
+    parts = divide(stash(routed.withColumn("shard", F.col("shard").cast("string"))), bits, MOST_ROWS)
     return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(link_each, "a long, b long")
 
 

@@ -79,7 +79,7 @@ def test_shards_that_divide_again_find_every_link(spark, monkeypatch):
     near = [c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centre[:25]]
     x = np.unique(np.concatenate([centre, *near, *(n ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for n in near[:5]),
                                   rng.integers(0, 2 ** 64, 3000, dtype=np.uint64)]))
-    for name, value in (("SHARD", 100), ("SAMPLE", 16), ("OWN_SAMPLE", 64)):
+    for name, value in (("SHARD", 100), ("SAMPLE", 16), ("OWN_SAMPLE", 64), ("MOST_ROWS", 200)):
         monkeypatch.setattr(S, name, value)
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(6)
     divided, sizes = S.divide, []
