@@ -582,7 +582,7 @@ UNION ALL SELECT p_partkey + 100000, 73, 1, upper(p_name) FROM {part} WHERE p_si
 """)
 
 _adapter("catalog_product_entity_int", """
-SELECT p_partkey + 100000 AS row_id, 97 AS attribute_id, 0 AS store_id,
+SELECT p_partkey + 100000 AS row_id, CASE WHEN p_size = 7 THEN 99 ELSE 97 END AS attribute_id, 0 AS store_id,
        CASE WHEN p_partkey % 10 = 0 THEN 2 ELSE 1 END AS value FROM {part}
 """)
 
