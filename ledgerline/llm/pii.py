@@ -1,6 +1,6 @@
 """Personal data by anchor expansion: an Aho-Corasick automaton finds anchors, local parsers set and check the borders.
 
-Anchors are the at-sign, the scheme mark ``://``, a plus before a digit, digits, and words that announce an account number. One pass of the
+Anchors are the at-sign, the scheme mark ``://``, a plus before a digit, digits, and words that announce an account number or a secret. One pass of the
 automaton over a text yields them from left to right; each kind's parser expands from its anchor:
 
 * ``email``: local part to the left of the at-sign, dotted labels to its right;
@@ -8,7 +8,9 @@ automaton over a text yields them from left to right; each kind's parser expands
 * ``card``: a chain of digits with single blanks or dashes between, 12 to 19 digits, Luhn check;
 * ``phone``: plus, digits, blanks, brackets, dots and dashes up to the last digit, 9 to 15 digits;
 * ``account`` (added by the method): after an announcing word, an IBAN with its check digits, or 6 to 20 digits;
-* ``login`` (added by the method): user information in front of the host of a URL.
+* ``login`` (added by the method): user information in front of the host of a URL;
+* ``secret`` (added by the method): after a whole announcing word (alone or at the end of a name such as ``api_key``) and ``=`` or ``:``, a value
+  in quotes of at least 8 characters, or a bare one of at least 16; both hold a digit, so that prose after a colon is none. Announcing words inside a value are part of it.
 
 The first four equal leftmost, non-overlapping matches of their patterns, in time linear in the text (parsers
 do not look again at what they have passed). Offsets are code points, ends exclusive.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ._frames import text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "login")
+KINDS = (*BASE_KINDS, "account", "login", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -39,6 +41,9 @@ _LOGIN = re.compile(r"[^\s/?#@<>\"']++@[A-Za-z0-9.-]+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 # Words that announce an account number.
 CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta")
+# Words that announce a secret, as whole words or at the end of a name.
+SECRETS = ("token", "secret", "password", "passwd", "apikey", "api key", "api_key", "api-key", "access_key", "private_key")
+_SECRET = re.compile(r"[\"']?[ \t]{0,8}[:=][ \t]{0,8}(?:\"([^\s\"]{8,})\"|'([^\s']{8,})'|([A-Za-z0-9_~+/=.-]{16,}))")
 _SPANS = "array<struct<kind string, start int, end int>>"
 
 
@@ -51,6 +56,9 @@ def _automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in (cue, cue.title(), cue.upper()):
             a.add_word(form, "cue")
+    for cue in SECRETS:
+        for form in (cue, cue.title(), cue.upper()):
+            a.add_word(form, "secret" + str(len(cue)))
     a.make_automaton()
     return a
 
@@ -111,10 +119,18 @@ def _account(text: str, after: int) -> tuple[int, int] | None:
     return m.span(2)
 
 
+def _secret(text: str, start: int, after: int) -> tuple[int, int, bool] | None:
+    """The value behind the announcing word of text[start:after], and whether it holds a digit."""
+    if start and text[start - 1].isalnum():
+        return None
+    m = _SECRET.match(text, after)
+    return m and (*m.span(m.lastindex), any("0" <= c <= "9" for c in m[m.lastindex]))
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span, by start and kind."""
     out: list[tuple[int, int, int]] = []
-    email_end = dotted_end = card_end = 0
+    email_end = dotted_end = card_end = secret_end = 0
     for last, what in _ANCHORS.iter(text or ""):
         if what == "0":
             if last >= dotted_end:
@@ -140,6 +156,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
             m = _LOGIN.match(text, last + 1) if scheme else None
             if m:
                 out.append((last + 1, 5, last + 1 + m[0].index("@")))
+        elif what.startswith("secret"):
+            found = _secret(text, last + 1 - int(what[6:]), last + 1) if last >= secret_end else None
+            if found:
+                secret_end = found[1]
+                if found[2]:
+                    out.append((found[0], 6, secret_end))
         elif not (last + 1 < len(text) and text[last + 1].isalpha()):
             found = _account(text, last + 1)
             if found:

@@ -91,7 +91,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = F.filter("p", lambda s: s.kind.isin(*BASE_KINDS))
     counts = [F.size(F.filter("p", lambda s: s.kind == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return got.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("p")).alias("spans"))
+    return got.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("p")).alias("spans"),
+                      F.size("p").cast("long").alias("n_spans"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

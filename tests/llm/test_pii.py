@@ -47,6 +47,18 @@ def test_added_kinds():
     assert found("see https://bob:pw1@host.example/x and http://plain.example/") == [("login", "bob:pw1")]
 
 
+def test_secrets():
+    found = lambda t: [t[a:b] for a, k, b in P.find_spans(t) if P.KINDS[k] == "secret"]
+    assert found('er token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" th') == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    assert found("API_KEY: 'abcd-1234'; \"secret\": \"s3cr3t-value\"") == ["abcd-1234", "s3cr3t-value"]
+    assert found("my_access_token=Zm9vYmFyYmF6cXV4MTIz.x9 rest") == ["Zm9vYmFyYmF6cXV4MTIz.x9"]
+    assert found("Password: \"abc1\" token: wonderful secret = short1 tokens = \"0123456789\" mytoken = \"0123456789\" api key: \"plain words\"") == []
+    assert found('token = "0123456789') == [] and found("token") == [] and found("token=" + "=" * 50_000) == []
+    assert found("token = " * 20_000) == [] and found("token" + " " * 100_000 + '= "0123456789"') == []
+    assert found("token=" * 3 + "0123456789abcdef") == ["token=token=0123456789abcdef"]
+    assert found("token=" * 100_000) == [] and found("token=" * 100_000 + "1") == ["token=" * 99_999 + "1"]
+
+
 def test_rows(docs_of):
     rows = [(1, None), (2, ""), (None, "a@b.cd"), (3, "a@b.cd"), (3, "a@b.cd"), (4, "w " * 300_000 + "é 10.0.0.1"), (5, "Konto: 1234567890")]
     df = docs_of(rows).withColumn("start", F.lit(1)).withColumn("kind", F.lit("k"))
