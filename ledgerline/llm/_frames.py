@@ -46,6 +46,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(df: DataFrame, text_col: str, target: int) -> int:
+    """Shuffle partitions such that about ``target`` bytes of text stand behind each, at least the session's number."""
+    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-size // target))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES`` from here on, unless the session has a smaller bound: what a Python task holds
     at once then follows neither the rows nor the length of the texts (one text is the least)."""

@@ -4,7 +4,7 @@ Method: Rabin-Karp hashes of every window of ``n`` consecutive words. Each task
 prefix sums modulo 2**64, keeps the earliest occurrence of a hash among its own texts (the rest are known
 repeats), and sends the survivors in packed blocks to the partition that owns the hash range. There all
 occurrences of a hash meet, at most one per (slice of input, hash), so a passage that a third of the corpus
-shares is no hot key. Every occurrence but the earliest is a repeat; repeated windows return to their
+shares is no hot key. The number of partitions follows the bytes of the texts, counted first. Every occurrence but the earliest is a repeat; repeated windows return to their
 document, where overlapping ones merge into maximal removal intervals.
 
 A window is told by 64 bits of one rolling hash and the partition number drawn from a second,
@@ -27,14 +27,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import free_name, order_id, shuffle_partitions, text_key, text_of
+from ._frames import free_name, order_id, partitions_for, text_key, text_of
 from ._words import SPACE_SEPARATED, mix, runs, windows, words
 
 WINDOW = 20
 SLICE_BYTES = 8 << 20       # text whose windows are in a task's memory at once, unless one text is longer
+OWNER_BYTES = 16 << 20      # text behind the windows that one owner partition holds, about 2.7 million windows of 32 bytes
 _MARKS, _ENTRIES = 0, 1
 
 
+def _home(ids: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partition of a document, by id and text: the rows without an id are spread like any others."""
+    return (mix(ids.astype(np.uint64) ^ mix(keys.astype(np.uint64))) % np.uint64(parts)).astype(np.uint32)
+
+
 def _pack(kind: int, ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> bytes:
     """One block: entries in (document, position) order; documents run-length coded, positions as steps."""
     new = np.ones(len(ids), bool)
@@ -104,7 +110,7 @@ def _blocks(ids_all: np.ndarray, keys_all: np.ndarray, texts: pa.Array, n: int,
     order, again = _earliest(h, ids, pos)
     repeat, keep = order[again], order[~again]
     del order, again
-    for kind, at, to in ((_MARKS, repeat, (ids[repeat] % parts).astype(np.uint32)), (_ENTRIES, keep, owner[keep])):
+    for kind, at, to in ((_MARKS, repeat, _home(ids[repeat], keys[repeat], parts)), (_ENTRIES, keep, owner[keep])):
         sort = np.lexsort((pos[at], keys[at], ids[at], to))
         at, to = at[sort], to[sort]
         cut = np.searchsorted(to, np.arange(parts + 1))
@@ -151,7 +157,7 @@ def _meet(parts: int):
         if not marks[0]:
             return
         ids, keys, pos = (np.concatenate(c) for c in marks)
-        to = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        to = _home(ids, keys, parts)
         sort = np.lexsort((pos, keys, ids, to))
         ids, keys, pos, to = ids[sort], keys[sort], pos[sort], to[sort]
         cut = np.searchsorted(to, np.arange(parts + 1))
@@ -207,8 +213,7 @@ def _cut(n: int):
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
     """Starts of repeated windows: (_rid, _rkey, starts: packed positions), one row a document that has any."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = partitions_for(docs, text_col, OWNER_BYTES)
     blocks = (docs.select(order_id(id_col), text_key(text_col), text_of(docs, text_col))
               .mapInArrow(_scatter(n, parts), "owner int, block binary"))
     met = blocks.repartitionById(parts, F.col("owner")).mapInArrow(_meet(parts), "owner int, block binary")

@@ -1,10 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import queries as Q
+from ledgerline.llm import substring_dedup as S
+from ledgerline.llm._frames import LAST_ID, partitions_for, shuffle_partitions
 from ledgerline.llm.substring_dedup import remove_repeated_windows
 
 
@@ -55,6 +58,22 @@ def test_very_long_text(docs_of):
     check(docs_of(rows, 2), rows)
 
 
+def test_rows_without_an_id_are_spread(docs_of, monkeypatch):
+    keys = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63, 10_000)
+    sizes = np.bincount(S._home(np.full(10_000, LAST_ID), keys, 16), minlength=16)
+    assert sizes.min() > 400 and sizes.max() < 900
+    rng = random.Random(4)
+    rows = [(None, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 25)))) for _ in range(60)] + [(1, "a b c a b"), (-3, "c a b c a b b")]
+    monkeypatch.setattr(S, "OWNER_BYTES", 50)  # many small owner partitions
+    check(docs_of(rows, 4), rows, n=4)
+
+
+def test_partitions_follow_the_bytes(spark, docs_of):
+    df = docs_of([(1, "é" * 500), (2, None), (3, "x" * 1000)])
+    assert partitions_for(df, "text", 10) == 200 and partitions_for(df, "text", 10 ** 6) == shuffle_partitions(spark)
+    assert partitions_for(df.limit(0), "text", 10) == shuffle_partitions(spark)
+
+
 def test_empty_table_and_clashing_columns(spark, docs_of):
     assert remove_repeated_windows(docs_of([(1, "a")]).limit(0)).count() == 0
     df = docs_of([(1, "a b"), (2, "c")]).withColumn("_rid", F.lit(1)).withColumn("_marks", F.lit("m")).withColumn("n_words", F.lit(-1)).withColumn("block", F.lit(0))
