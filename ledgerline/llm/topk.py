@@ -1,14 +1,16 @@
 """Exact top-k inner products by no-random-access aggregation (NRA) over sorted lists.
 
 Vectors become integers, floor(scale * x). Candidates are dealt into shards by a hash of their id; each shard sorts one
-list a dimension. A query reads its lists in step, from the end that its sign favours, some entries of each list at a
-time. A candidate's score is bounded below and above by what was read of it plus, for each list where it was not read, the
+list a dimension. A query reads its lists from the end that its sign favours, a piece at a time, always on the list whose unread
+rest can still move a score most (|query| times the spread of the rest), so that fronts fall where it pays. Scores add up from the
+entries as they are read. A candidate's score is bounded below and above by that sum plus, for each list where it was not read, the
 worst value of that list and the value the list has reached. A candidate whose upper bound falls under the k-th best lower bound is out;
-candidates never read are bounded by the lists' fronts alone. Reading stops when no outsider can qualify (or the lists end),
-and the final scores of those left are resolved. Shards' results merge by a grouped top-k.
+candidates never read have the sum of the fronts as their upper bound. Reading stops when few are left in (or the lists end),
+and the final scores of those left are resolved from their unread entries. Shards' results merge by a grouped top-k.
 
 Queries meet candidates on a grid: ``rows x shards`` cells, queries copied along the shards and candidates along the rows, the shape with
-the least copying for queries of a given share. No side is broadcast or collected.
+the least copying for queries of a given share. Both sides of a cell are bounded: their numbers of components are counted first and
+divided by a fixed size. No side is broadcast or collected.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; vectors meet only vectors of their
 own length. A null id takes no part. Exact repeats of a row count once; of rows with one id and different vectors each is a
@@ -29,59 +31,72 @@ from pyspark.sql import functions as F
 from ._frames import bounded_batches, shuffle_partitions
 
 SCALE, K = 1024, 10
-FIRST_STEP, STEP = 32, 4       # entries read of each list before the first look at the bounds; then so many times as many
+PIECES = 8                     # a list is read in so many pieces
+LOOKS = 24                     # looks at the bounds on the way through all lists
 RESOLVE = 4                    # reading stops when every query has at most this times k candidates left
 QUERY_BLOCK = 256
+CELL_COMPONENTS = 1 << 22      # vector components of a side of a cell; a candidate's take 16 bytes each
 _HITS = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """The lists of one shard: every dimension's candidates by falling value. Exact repeats of a row count once."""
+    """The lists of one shard: every dimension's candidates by falling value. Exact repeats of a row count once.
+
+    ``read`` and ``resolved`` count the list entries read and the (query, candidate) scores that were resolved at the end."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         rows = np.unique(np.column_stack((ids, values)), axis=0)     # by id, which settles ties
-        self.ids, self.values = np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1:])
-        self.lists = np.argsort(-self.values, axis=0, kind="stable")
-        self.place = np.empty_like(self.lists)                        # by candidate and dimension: how deep in the list
-        np.put_along_axis(self.place, self.lists, np.arange(len(rows))[:, None], axis=0)
-        self.low, self.high = self.values.min(0).astype(float), self.values.max(0).astype(float)
-
-    def _bounds(self, depth: int, up: np.ndarray, down: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(lower, upper, whether anything was read), candidate by query, after ``depth`` entries of each list; ``up`` and ``down``
-        are the positive and the negative parts of the queries, which read the lists from the top and from the bottom."""
-        n = len(self.ids)
-        first, last = self.place[at] < depth, self.place[at] >= n - depth
-        every = np.arange(self.values.shape[1])
-        front_up, front_down = self.values[self.lists[depth - 1], every], self.values[self.lists[n - depth], every]
-        value = self.values[at].astype(float)
-        known = np.hstack((value * first, value * last)) @ np.hstack((up, down)).T
-        unread = np.hstack((~first, ~last)).astype(float)
-        lower = known + unread @ np.hstack((up * self.low, down * self.high)).T
-        upper = known + unread @ np.hstack((up * front_up, down * front_down)).T
-        seen = np.hstack((first, last)).astype(float) @ (np.hstack((up, down)) != 0).T.astype(float) > 0
-        return lower, upper, seen
+        self.ids, values = np.ascontiguousarray(rows[:, 0]), rows[:, 1:].T
+        self.who = np.argsort(-values, axis=1, kind="stable").astype(np.int32)
+        self.value = np.take_along_axis(values, self.who, axis=1)
+        self.place = np.empty_like(self.who)                          # by dimension and candidate: how deep in the list
+        np.put_along_axis(self.place, self.who, np.arange(len(rows), dtype=np.int32)[None, :], axis=1)
+        self.read = self.resolved = 0
+
+    def _unread(self, query: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Dimension by candidate: whether the list has not come to it; lists of negative weight are read from the bottom."""
+        n, place = len(self.ids), self.place[:, at]
+        up = query > 0
+        return np.where(up[:, None], place >= pos[:, None], place < (n - pos)[:, None]) & (query != 0)[:, None]
+
+    def _read(self, query: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Read on until few are left of ``alive``, which loses the others: (sums of the entries read, depth of each list)."""
+        n, dims = len(self.ids), np.flatnonzero(query)
+        score, pos = np.zeros(n, np.int64), np.zeros(len(query), np.int64)
+        worst = np.where(query > 0, self.value[:, -1], self.value[:, 0]) * query.astype(float)
+        front = np.where(query > 0, self.value[:, 0], self.value[:, -1]) * query.astype(float)
+        slack = 1e-9 * (1 + np.maximum(np.abs(front), np.abs(worst)).sum())   # of the float bounds
+        piece, since = max(RESOLVE * k, -(-n // PIECES)), 0
+        while alive.sum() > RESOLVE * k:
+            d = int(np.argmax(front - worst))
+            if front[d] <= worst[d]:                                  # what is unread is the same for every candidate
+                break
+            a, b = pos[d], min(n, pos[d] + piece)
+            part = slice(a, b) if query[d] > 0 else slice(n - b, n - a)
+            score[self.who[d, part]] += query[d] * self.value[d, part]
+            pos[d], since = b, since + b - a
+            front[d] = worst[d] if b == n else float(query[d]) * self.value[d, b if query[d] > 0 else n - 1 - b]
+            if since * LOOKS >= n * len(dims):
+                self.read, since = self.read + since, 0
+                at = np.flatnonzero(alive)
+                lower, upper = np.vstack((worst, front)) @ self._unread(query, pos, at) + score[at]
+                alive[at] = upper >= np.partition(lower, -k)[-k] - slack
+        self.read += since
+        return score, pos
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, scores) of each query's ``k`` best, ties to the smaller id, without its ``own`` id."""
-        n = len(self.ids)
-        up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        alive = self.ids[:, None] != own[None, :]
-        slack = 1e-9 * (1 + (np.abs(queries).astype(float) @ np.maximum(np.abs(self.low), np.abs(self.high))))  # of the float bounds
-        depth = FIRST_STEP
-        while depth < n and (alive.sum(0) > RESOLVE * k).any():
-            at = np.flatnonzero(alive.any(1))
-            lower, upper, seen = self._bounds(depth, up, down, at)
-            lower[~(seen & alive[at])] = -np.inf
-            if len(at) >= k:
-                kth = np.partition(lower, -k, axis=0)[-k]
-                # a candidate never read has the sum of the fronts as its upper bound
-                alive[at] &= upper >= kth - slack
-            depth *= STEP
-        for j in range(len(queries)):
-            at = np.flatnonzero(alive[:, j])
-            score = self.values[at] @ queries[j]
-            best = np.argsort(-score, kind="stable")[:k]  # candidates are in the order of their ids
-            yield j, self.ids[at][best], score[best]
+        for j, query in enumerate(queries):
+            alive = self.ids != own[j]
+            score, pos = self._read(query, alive, k)
+            at = np.flatnonzero(alive)
+            rest = self._unread(query, pos, at)
+            self.resolved += int(rest.any(0).sum())
+            for d in np.flatnonzero(rest.any(1)):
+                mine = at[rest[d]]
+                score[mine] += query[d] * self.value[d, self.place[d, mine]]
+            best = at[np.argsort(-score[at], kind="stable")[:k]]      # candidates are in the order of their ids
+            yield j, self.ids[best], score[best]
 
 
 def _matrix(blob: pa.Array, size: int) -> np.ndarray:
@@ -123,13 +138,20 @@ def _integers(scale: int):
     return F.arrow_udf(of, "binary")
 
 
+def _grid(sizes: DataFrame, cells: int) -> tuple[int, int]:
+    """(rows, shards) of at least about ``cells`` cells, with at most ``CELL_COMPONENTS`` components of queries or of candidates in a cell
+    (up to the evenness of a hash)."""
+    every, asks = sizes.agg(F.sum("n"), F.sum(F.when(F.col("ask"), F.col("n")))).first()
+    rows = max(1, round(math.sqrt(cells / 100)), -(-(asks or 0) // CELL_COMPONENTS))  # queries are about a hundredth of the candidates
+    return rows, max(1, cells // rows, -(-(every or 0) // CELL_COMPONENTS))
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE,
           shards: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best inner products of each query among all other vectors."""
     bounded_batches(vectors.sparkSession)
-    cells = shards or shuffle_partitions(vectors.sparkSession)
-    rows = max(1, round(math.sqrt(cells / 100)))  # queries are about a hundredth of the candidates
-    across = max(1, cells // rows)
+    rows, across = _grid(vectors.select(F.array_size(vector_col).alias("n"), is_query.alias("ask")),
+                         shards or shuffle_partitions(vectors.sparkSession))
     base = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("ask"),
                           _integers(scale)(F.col(vector_col).cast("array<double>")).alias("v")) \
         .where("id IS NOT NULL AND v IS NOT NULL").select("id", "ask", "v", (F.octet_length("v") / 8).cast("int").alias("size"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import queries as Q
+from ledgerline.llm import topk as T
 from ledgerline.llm.topk import top_k
 
 
@@ -37,6 +38,46 @@ def test_edges_against_brute_force(spark, shards):
     assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 10 == 0, 7)
 
 
+def lists_against_brute_force(values, queries, k=10):
+    ids = np.arange(len(values)) * 3
+    lists = T.SortedLists(ids, values)
+    for j, got, score in lists.top(queries, np.full(len(queries), 30), k):
+        want = sorted((-int(values[i] @ queries[j]), int(ids[i])) for i in range(len(values)) if ids[i] != 30)[:k]
+        assert [(-s, i) for i, s in zip(got.tolist(), score.tolist())] == want
+    share = len(queries) * len(values)
+    return lists.read / (share * values.shape[1]), lists.resolved / share
+
+
+def test_skewed_vectors_are_mostly_left_out():
+    rng = np.random.default_rng(5)
+    weight = 0.7 ** np.arange(64)
+    values, queries = (np.floor(1024 * rng.standard_normal((n, 64)) * weight).astype(np.int64) for n in (4000, 25))
+    read, resolved = lists_against_brute_force(values, queries)
+    assert read < 0.2 and resolved < 0.02
+
+
+def test_dense_vectors_are_not_read_to_the_end():
+    rng = np.random.default_rng(6)
+    values, queries = (np.floor(1024 * rng.standard_normal((n, 64)) / 8).astype(np.int64) for n in (4000, 25))
+    read, resolved = lists_against_brute_force(values, queries)
+    assert read < 0.95 and resolved < 0.05
+
+
+def test_lists_with_ties_zeros_and_equal_columns():
+    rng = np.random.default_rng(7)
+    for n, size, top in ((1, 3, 1), (60, 3, 2), (500, 5, 3), (500, 4, 1)):
+        values, queries = rng.integers(-top, top + 1, (n, size)), rng.integers(-1, 2, (30, size))
+        values[:, 0] = 2
+        lists_against_brute_force(values, queries, 4)
+
+
+def test_grid_follows_the_components(spark, monkeypatch):
+    sizes = spark.range(10_000).selectExpr("IF(id % 7 = 0, NULL, 64) AS n", "id % 100 = 0 AS ask")
+    assert T._grid(sizes, 8) == (1, 8)
+    monkeypatch.setattr(T, "CELL_COMPONENTS", 1000)
+    assert T._grid(sizes, 8) == (6, 549) and T._grid(sizes.limit(0), 8) == (1, 8)
+
+
 def test_fewer_than_k_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, -1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
