@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ._frames import bounded_batches, shuffle_partitions
 
 SCALE, K = 1024, 10
-PIECES = 8                     # a list is read in so many pieces
-LOOKS = 24                     # looks at the bounds on the way through all lists
+PIECES, LEAST = 8, 1024        # a list is read in so many pieces, of at least so many entries
+LOOK = 0.75                    # the bounds are looked at whenever the spread of all that is unread has fallen to this share
 RESOLVE = 4                    # reading stops when every query has at most this times k candidates left
 QUERY_BLOCK = 256
 CELL_COMPONENTS = 1 << 22      # vector components of a side of a cell; a candidate's take 16 bytes each
@@ -53,44 +53,43 @@ class SortedLists:
         np.put_along_axis(self.place, self.who, np.arange(len(rows), dtype=np.int32)[None, :], axis=1)
         self.read = self.resolved = 0
 
-    def _unread(self, query: np.ndarray, pos: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Dimension by candidate: whether the list has not come to it; lists of negative weight are read from the bottom."""
-        n, place = len(self.ids), self.place[:, at]
-        up = query > 0
-        return np.where(up[:, None], place >= pos[:, None], place < (n - pos)[:, None]) & (query != 0)[:, None]
-
     def _read(self, query: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Read on until few are left of ``alive``, which loses the others: (sums of the entries read, depth of each list)."""
-        n, dims = len(self.ids), np.flatnonzero(query)
-        score, pos = np.zeros(n, np.int64), np.zeros(len(query), np.int64)
+        """Read on until few are left of ``alive``, which loses the others: sums of the entries read, and 1 for each entry unread
+        (dimension by candidate)."""
+        n = len(self.ids)
+        score, unread = np.zeros(n, np.int64), np.ones(self.who.shape)
+        unread[query == 0] = 0
         worst = np.where(query > 0, self.value[:, -1], self.value[:, 0]) * query.astype(float)
         front = np.where(query > 0, self.value[:, 0], self.value[:, -1]) * query.astype(float)
         slack = 1e-9 * (1 + np.maximum(np.abs(front), np.abs(worst)).sum())   # of the float bounds
-        piece, since = max(RESOLVE * k, -(-n // PIECES)), 0
-        while alive.sum() > RESOLVE * k:
-            d = int(np.argmax(front - worst))
-            if front[d] <= worst[d]:                                  # what is unread is the same for every candidate
+        pos, piece, seen = [0] * len(query), max(LEAST, -(-n // PIECES)), (front - worst).sum()
+        gap, left = front - worst, alive.sum()
+        while left > RESOLVE * k:
+            d = int(gap.argmax())
+            if gap[d] <= 0:                                           # what is unread is the same for every candidate
                 break
             a, b = pos[d], min(n, pos[d] + piece)
-            part = slice(a, b) if query[d] > 0 else slice(n - b, n - a)
-            score[self.who[d, part]] += query[d] * self.value[d, part]
-            pos[d], since = b, since + b - a
+            part = slice(a, b) if query[d] > 0 else slice(n - b, n - a)   # lists of negative weight are read from the bottom
+            who = self.who[d, part]
+            score[who] += query[d] * self.value[d, part]
+            unread[d, who] = 0
+            pos[d], self.read = b, self.read + b - a
             front[d] = worst[d] if b == n else float(query[d]) * self.value[d, b if query[d] > 0 else n - 1 - b]
-            if since * LOOKS >= n * len(dims):
-                self.read, since = self.read + since, 0
-                at = np.flatnonzero(alive)
-                lower, upper = np.vstack((worst, front)) @ self._unread(query, pos, at) + score[at]
-                alive[at] = upper >= np.partition(lower, -k)[-k] - slack
-        self.read += since
-        return score, pos
+            gap[d] = front[d] - worst[d]
+            if gap.sum() <= LOOK * seen:
+                seen = gap.sum()
+                lower, upper = np.vstack((worst, front)) @ unread + score
+                alive &= upper >= np.partition(lower[alive], -k)[-k] - slack
+                left = alive.sum()
+        return score, unread
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, ids, scores) of each query's ``k`` best, ties to the smaller id, without its ``own`` id."""
         for j, query in enumerate(queries):
             alive = self.ids != own[j]
-            score, pos = self._read(query, alive, k)
+            score, unread = self._read(query, alive, k)
             at = np.flatnonzero(alive)
-            rest = self._unread(query, pos, at)
+            rest = unread[:, at] > 0
             self.resolved += int(rest.any(0).sum())
             for d in np.flatnonzero(rest.any(1)):
                 mine = at[rest[d]]
