@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import (any_if, band, flag_list, label, local_date, max_if, min_if,
                          prefix_before, shift_weekend, split_cents, text_list, whole_units)
-from ..operators import (asc_key, asof_prev_next, gaps, latest_per_key, literal_table,
+from ..operators import (asc_key, asof_prev_next, gaps, latest_per_key, latest_per_key_packed, literal_table,
                          list_rows, mode_per_key, semi_flag, sequence_per_key,
                          text_list_per_key)
 from ..registry import register
@@ -39,6 +39,36 @@ def latest_events(spark, t):
                      F.col("value").alias("last_value")))
 
 
+@register("latest_per_key_packed", """
+WITH r AS (
+  SELECT user_id, event_type, event_id, ts, value, props,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST) AS rn
+  FROM events)
+SELECT user_id, event_type, event_id, ts, value, props FROM r WHERE rn = 1
+""")
+def latest_events_by_type(spark, t):
+    return latest_per_key_packed(t["events"], ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], "event_id",
+                                 ["event_id", "ts", "value", "props"])
+
+
+@register("priority_per_key_packed", """
+WITH r AS (
+  SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY
+           CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 WHEN 'F' THEN 3 ELSE 4 END,
+           o_orderdate DESC NULLS LAST, o_orderkey) AS rn
+  FROM orders)
+SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM r WHERE rn = 1
+""")
+def priority_orders_packed(spark, t):
+    o = t["orders"]
+    rank = label([(F.col("o_orderstatus") == "P", 1), (F.col("o_orderstatus") == "O", 2),
+                  (F.col("o_orderstatus") == "F", 3)], 4)
+    return latest_per_key_packed(o, ["o_custkey"],
+                                 [(asc_key(rank), 1), F.col("o_orderdate"), (asc_key(F.col("o_orderkey")), 17)], "o_orderkey",
+                                 ["o_orderkey", "o_totalprice", "o_orderdate"])
+
+
 @register("priority_per_key", """
 WITH r AS (
   SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate,
