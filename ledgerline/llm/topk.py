@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ._frames import bounded_batches, shuffle_partitions
 
 SCALE, K = 1024, 10
-PIECES, LEAST = 8, 1024        # a list is read in so many pieces, of at least so many entries
-LOOK = 0.75                    # the bounds are looked at whenever the spread of all that is unread has fallen to this share
+PIECES, LEAST = 2, 1024        # a list is read in so many pieces, of at least so many entries
+LOOK = 0.6                     # the bounds are looked at whenever the spread of all that is unread has fallen to this share
 RESOLVE = 4                    # reading stops when every query has at most this times k candidates left
 QUERY_BLOCK = 256
 CELL_COMPONENTS = 1 << 22      # vector components of a side of a cell; a candidate's take 16 bytes each
@@ -78,8 +78,10 @@ class SortedLists:
             gap[d] = front[d] - worst[d]
             if gap.sum() <= LOOK * seen:
                 seen = gap.sum()
-                lower, upper = np.vstack((worst, front)) @ unread + score
-                alive &= upper >= np.partition(lower[alive], -k)[-k] - slack
+                at = np.flatnonzero(alive)
+                bounds = np.vstack((worst, front))
+                lower, upper = (bounds @ unread[:, at] if left * 4 < n else (bounds @ unread)[:, at]) + score[at]
+                alive[at] = upper >= np.partition(lower, -k)[-k] - slack
                 left = alive.sum()
         return score, unread
 
