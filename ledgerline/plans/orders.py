@@ -113,13 +113,13 @@ def order_history(spark, summary: DataFrame, agreements: DataFrame, clarity: Dat
                                 F.col("employer_name").alias("employer_self_reported")), "customer_signup_id")
            .drop("customer_signup_id"))
     apd = past_due.select("agreement_id", F.col("amount").alias("past_due_amount"), "due_date")
-    j = (c.join(a, "customer_id").join(cc, "customer_id", "left").join(e, "employer_id", "left")
-          .join(csu, "customer_id", "left")
-          .join(las.withColumnRenamed("payments", "las_payments")
-                   .withColumnRenamed("current_balance", "agreement_current_balance"), "agreement_id", "left")
-          .join(apd, "agreement_id", "left")
-          .join(balances, "customer_id", "left")
-          .join(seq, "agreement_id", "left").join(banks, "customer_id", "left")
+    # customers and agreements are put together apart, so that an agreement's row moves once with all that it has
+    buyer = (c.join(e, "employer_id", "left").join(cc, "customer_id", "left").join(csu, "customer_id", "left")
+              .join(balances, "customer_id", "left").join(banks, "customer_id", "left"))
+    order = (a.join(las.withColumnRenamed("payments", "las_payments")
+                       .withColumnRenamed("current_balance", "agreement_current_balance"), "agreement_id", "left")
+              .join(apd, "agreement_id", "left").join(seq, "agreement_id", "left"))
+    j = (buyer.join(order, "customer_id")
           .withColumn("cycle_max_days", label([(F.col("cycle_type") == k, n) for k, n in CYCLE_MAX_DAYS])))
     col = F.col
     base = j.select(
