@@ -313,14 +313,15 @@ def returns_summary(items: DataFrame, sales_order: DataFrame, agreements: DataFr
                        "qty_refunded", "qty_shipped", "base_row_total", F.col("created_at").alias("sales_order_item_created"),
                        "amount_refunded", "fulfillment_cost", "fulfillment_shipping_cost",
                        F.coalesce("fulfillment_vendor", F.lit("unknown")).alias("fulfillment_vendor"))
-    j = soi.join(so, "order_id").join(a, "order_id").join(e, "employer_id").join(em, "customer_id")
-    ed_cond = [j.company_code == ed.company_code]
+    ed_cond = [em.company_code == ed.company_code]
     if employer_id is not None:
-        ed_cond.append(j.em_employer_id == employer_id)   # left-side condition stays in ON: keeps the row
-    j = j.join(ed, ed_cond, "left").drop(ed.company_code)
-    j = (j.join(hierarchy, "item_id", "left").join(cs, "customer_id", "left")
-          .join(cal, F.to_date(j.sales_order_item_created) == cal.calendar_date, "left")
-          .join(cm, "order_id", "left"))
+        ed_cond.append(em.em_employer_id == employer_id)   # left-side condition stays in ON: keeps the row
+    # per customer, then per order; the items, many times as many, move by order and by item id alone
+    buyer = em.join(ed, ed_cond, "left").drop(ed.company_code).join(cs, "customer_id", "left")
+    order = a.join(e, "employer_id").join(buyer, "customer_id").join(so, "order_id").join(cm, "order_id", "left")
+    j = soi.join(order, "order_id")
+    j = (j.join(hierarchy, "item_id", "left")
+          .join(cal, F.to_date(j.sales_order_item_created) == cal.calendar_date, "left"))
     ret = F.col("returned_date_approximate")
     return j.select(
         "order_id", "item_id", "product_id", "sku", "product_name", "qty_ordered", "qty_refunded", "qty_shipped",
