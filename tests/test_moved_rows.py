@@ -81,3 +81,71 @@ def test_buckets_follow_the_sources(spark, monkeypatch):
     assert bucket_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(shared, "BUCKET_BYTES", 500)
     assert bucket_count(rows, rows) == 32
+
+
+@pytest.fixture()
+def grown(spark, monkeypatch):
+    """The tables count as if they had grown to many buckets; the session's settings are put back."""
+    from ledgerline.sources import shared
+
+    monkeypatch.setattr(shared, "BUCKET_BYTES", 8000)
+    keys = [shared.INITIAL, shared.ADVISORY, shared._OURS]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _partition_counts(df) -> list[int]:
+    """Partitions of each shuffle of the planned query."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan().initialPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.outputPartitioning().numPartitions())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["past_due_reconcile", "generate_schedule"])
+def test_no_shuffle_keeps_its_number_of_partitions_when_the_tables_grow(grown, name):
+    t = Tables(grown, SF)
+    few = int(grown.conf.get("spark.sql.shuffle.partitions"))
+    counts = _partition_counts(QUERIES[name].build(grown, t))
+    large = bucket_count(t["lineitem"], t["orders"])
+    assert counts and min(c for c in counts if c > 1) >= large > 2 * few
+
+
+def test_the_operator_s_numbers_are_left_alone(grown):
+    from ledgerline.sources import shared
+
+    grown.conf.set(shared.INITIAL, "7")
+    grown.conf.set(shared.ADVISORY, "3m")
+    QUERIES["generate_schedule"].build(grown, Tables(grown, SF))
+    assert (grown.conf.get(shared.INITIAL), grown.conf.get(shared.ADVISORY)) == ("7", "3m")
+
+
+def test_the_number_of_partitions_is_only_raised(grown):
+    from ledgerline.sources import follow_sources, shared
+
+    grown.conf.unset(shared.ADVISORY)
+    follow_sources(grown.range(50_000))
+    assert grown.conf.get(shared.INITIAL) == "50" and grown.conf.get(shared.ADVISORY) == "8000"
+    follow_sources(grown.range(100_000))
+    follow_sources(grown.range(10_000))
+    assert grown.conf.get(shared.INITIAL) == "100"
+
+
+def test_a_source_of_unknown_size_counts_nothing(spark):
+    rows = spark.createDataFrame([(1,)], "k long")
+    assert bucket_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_plan_is_made_where_the_agreements_view_is_read(spark):
+    from ledgerline.plans.schedule import _detail, _generated, _schedule
+
+    t = Tables(spark, SF)
+    _detail(spark, t)
+    assert "%schedule" not in t
+    assert sorted(map(str, _schedule(spark, t).collect())) == sorted(map(str, _generated(spark, Tables(spark, SF)).collect()))
