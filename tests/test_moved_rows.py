@@ -142,10 +142,14 @@ def test_a_source_of_unknown_size_counts_nothing(spark):
     assert bucket_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def test_the_plan_is_made_where_the_agreements_view_is_read(spark):
-    from ledgerline.plans.schedule import _detail, _generated, _schedule
+def test_the_detail_makes_the_plan_where_it_reads_the_agreements(spark):
+    from ledgerline.plans.schedule import _detail, _schedule
 
-    t = Tables(spark, SF)
-    _detail(spark, t)
+    t, other = Tables(spark, SF), Tables(spark, SF)
+    direct = _detail(spark, t)
     assert "%schedule" not in t
-    assert sorted(map(str, _schedule(spark, t).collect())) == sorted(map(str, _generated(spark, Tables(spark, SF)).collect()))
+    _schedule(spark, other)
+    assert "%schedule" in other
+    through_view = _detail(spark, other)
+    assert direct.columns == through_view.columns
+    assert sorted(map(str, direct.collect())) == sorted(map(str, through_view.collect()))
