@@ -6,8 +6,8 @@ too many are open the fullest one closes. Pieces reach the tasks by a hash of th
 inside a task, in tasks of about ``task_pieces`` pieces whatever the size of the input.
 
 Token ids are those of the given ``tokenizers`` file (byte-level BPE), without added special tokens,
-followed by ``end_id``. Ids come from the same vocabulary through a faster encoder, with a bounded
-cache of encoded words per worker; tests/llm hold them against the ``tokenizers`` library itself.
+followed by ``end_id``. Ids come from the same vocabulary through the tiktoken library, a whole text a call; long texts and very long
+runs of white space are cut as in byte_bpe.py. tests/llm hold the ids against the ``tokenizers`` library itself.
 
 Defined cases: a null text is an empty one, which is the one-token piece [end_id]. Only documents of more than ``capacity``
 tokens are cut: the first piece takes the remainder, the others are full. Repeated rows are packed each.
@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._frames import bounded_batches, stash, text_of
+from .byte_bpe import SLICE, slices
 
 CAPACITY, END_ID = 2048, 0
 OPEN_BINS = 1 << 16
 TASK_PIECES = 100_000
-CACHE_WORDS = 200_000
-_WORD = re.compile(r" ?[^ \n]+|\n")
-_UNUSUAL = re.compile(r"\s\s|[^\S \n]|<\||^[ ]|\s$")
-_encoders: dict[str, tuple[tiktoken.Encoding, dict[str, bytes]]] = {}
+_encoders: dict[str, tuple[tiktoken.Encoding, re.Pattern]] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,8 +44,8 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def encoder(path: str) -> tuple[tiktoken.Encoding, dict[str, bytes]]:
-    """Encoder of a byte-level BPE ``tokenizers`` file and its cache of words, once a process."""
+def encoder(path: str) -> tuple[tiktoken.Encoding, re.Pattern]:
+    """Encoder of a byte-level BPE ``tokenizers`` file and what splits a text at its special tokens, once a process."""
     if path not in _encoders:
         import public_tokenizers
 
@@ -56,30 +54,26 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, dict[str, bytes]]:
         letters = _byte_letters()
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
-        _encoders[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), {}
+        enc = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        longest_first = sorted(special, key=len, reverse=True)
+        _encoders[path] = enc, re.compile(f"({'|'.join(map(re.escape, longest_first)) or '(?!)'})")
     return _encoders[path]
 
 
-def encode(path: str, text: str) -> bytes:
+def encode(path: str, text: str, size: int = SLICE) -> bytes:
     """Token ids of one text as little-endian unsigned 32-bit integers.
 
-    A blank between two words starts a token whatever stands around it, and so does a single line end; texts
-    with other white space are encoded whole.
+    What lies between special tokens is encoded apart, as the ``tokenizers`` library does, in slices of about ``size`` characters.
     """
-    enc, cache = encoder(path)
-    if _UNUSUAL.search(text):
-        return np.array(enc.encode(text, allowed_special="all"), "<u4").tobytes()
-    parts = _WORD.findall(text)
-    try:
-        return b"".join([cache[w] for w in parts])
-    except KeyError:
-        for w in parts:
-            if w not in cache:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                    return np.array(enc.encode(text, allowed_special="all"), "<u4").tobytes()
-                cache[w] = np.array(enc.encode_ordinary(w), "<u4").tobytes()
-        return b"".join([cache[w] for w in parts])
+    enc, special = encoder(path)
+    ids = []
+    for k, span in enumerate(special.split(text)):
+        if k % 2:
+            ids.append([enc.encode_single_token(span)])
+            continue
+        for part, single in slices(span, size):
+            ids.append(enc._encode_single_piece(part) if single else enc.encode_to_numpy(part, disallowed_special=()))
+    return b"".join([np.asarray(x, "<u4").tobytes() for x in ids])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,

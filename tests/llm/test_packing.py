@@ -4,11 +4,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm import packing as P
 from ledgerline.llm import queries as Q
+from ledgerline.llm.byte_bpe import SLICE
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a<|endoftext|>b", " lead", "trail ", "two  blanks", "line\n\nline", "a \nb", "tab\tx", "x　y z", "don't WE'LL 12½١", "\n", " ",
@@ -28,6 +30,36 @@ def test_ids_equal_the_tokenizers_library(real_texts):
         assert np.frombuffer(P.encode(PATH, t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_a_text_is_encoded_in_few_calls(monkeypatch):
+    text = " ".join(f"only{k}once" for k in range(20_000))
+    want, calls = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, []
+    P.encoder(PATH)
+    for name in ("encode", "encode_ordinary", "encode_to_numpy", "_encode_single_piece"):
+        inner = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, t, inner=inner, **more: (calls.append(len(t)), inner(self, t, **more))[1])
+    assert np.frombuffer(P.encode(PATH, text), "<u4").tolist() == want
+    assert 1 < len(calls) <= len(text) // SLICE + 1 and sum(calls) == len(text)
+
+
+def test_slices_change_no_id():
+    rng = random.Random(2)
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "9", ".", "日", "<|", "<|endoftext|>", "\u3000", "\x85", "word "]
+    tok = Tokenizer.from_file(PATH)
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        want = tok.encode(text, add_special_tokens=False).ids
+        for size in (1, 4, SLICE):
+            assert np.frombuffer(P.encode(PATH, text, size), "<u4").tolist() == want, repr(text)
+
+
+def test_very_long_white_space():
+    tok = Tokenizer.from_file(PATH)
+    for text in ("a" + " " * 3000 + "<|endoftext|>" + "\n" * 3000 + "b", " " * 5000, "x " + " \t" * 2000):
+        assert np.frombuffer(P.encode(PATH, text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    ids = np.frombuffer(P.encode(PATH, " " * 1_000_000), "<u4").tolist()   # overflows the library's pattern engine whole
+    assert P.encoder(PATH)[0].decode(ids) == " " * 1_000_000
+
+
 def check(rows, got, capacity=2048):
     """Every document whole and in order, every sequence gapless and within capacity; returns the number of sequences."""
     want = defaultdict(list)
